@@ -95,10 +95,9 @@ def compact_repr(m) -> Column:
     return F.to_json(col(m))
 
 
-ZEROS = F.array(F.array(F.lit(0).cast("bigint"), F.lit(0).cast("bigint")),
-                F.array(F.lit(0).cast("bigint"), F.lit(0).cast("bigint")))
-ONES = F.array(F.array(F.lit(1).cast("bigint"), F.lit(1).cast("bigint")),
-               F.array(F.lit(1).cast("bigint"), F.lit(1).cast("bigint")))
+def constant_matrix(v: int) -> Column:
+    x = F.lit(v).cast("bigint")
+    return F.array(F.array(x, x), F.array(x, x))
 
 # Four numbers inside [[a, b], [c, d]] with optional blanks and decimals.
 MATRIX_TEXT_RE = ("\\[\\[\\s*(-?\\d+(?:\\.\\d+)?)\\s*,\\s*(-?\\d+(?:\\.\\d+)?)\\s*\\]\\s*,"

@@ -35,9 +35,14 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The same set as plain characters, for trim(): a scan, not a regex.
+WS_TRIM = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+           + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def py_strip(c) -> Column:
-    """``str.strip()``."""
-    return F.regexp_replace(col(c), STRIP_RE, "")
+    """``str.strip()`` (X1): Unicode whitespace off both ends."""
+    return F.trim(col(c), F.lit(WS_TRIM))
 
 
 def remove_tokens(c, tokens=None) -> Column:

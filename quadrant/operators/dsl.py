@@ -67,6 +67,12 @@ TERMS_T = T.ArrayType(TERM_T)
 
 # ---- IR constructors --------------------------------------------------------
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body`` (a one-element
+    transform): interpreted lambdas do not share common subexpressions."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _atom(s: int, text: Column) -> Column:
     return F.struct(F.lit(s).alias("s"), text.alias("a"))
 
@@ -88,19 +94,21 @@ def _signed_segments(e: Column) -> tuple[Column, Column, Column]:
     sign characters).  Empty operands are skipped, so in a run of signs the
     last one applies, and a trailing sign is ignored."""
     first = py_strip(F.regexp_extract(e, "^([^+-]*)", 1))
-    raw = F.regexp_extract_all(e, F.lit("[+-][^+-]*"), 0)
-    rest = F.filter(
+    seg = F.regexp_extract_all(e, F.lit("[+-][^+-]*"), 0)
+    parts = let(seg, lambda raw: F.struct(F.size(raw).alias("n"), F.filter(
         F.transform(raw, lambda m: F.struct(F.when(F.substring(m, 1, 1) == "-", -1).otherwise(1).alias("s"),
                                             py_strip(m.substr(F.lit(2), F.lit(1 << 30))).alias("a"))),
-        lambda x: x["a"] != "")
-    return first, rest, F.size(raw)
+        lambda x: x["a"] != "").alias("rest")))
+    return first, parts["rest"], parts["n"]
 
 
-def _simple(e: Column) -> Column:
+def _simple(e_value: Column) -> Column:
     """A parenthesised factor: one atom, or a +/- chain of atoms."""
-    first, rest, n_signs = _signed_segments(e)
-    return (F.when(e.rlike(SIMPLE_ATOM_RE) | (n_signs == 0), F.array(_atom(1, e)))
-            .otherwise(F.concat(F.array(_atom(1, first)), rest)))
+    def body(e):
+        first, rest, n_signs = _signed_segments(e)
+        return (F.when(e.rlike(SIMPLE_ATOM_RE) | ~e.rlike("[+-]"), F.array(_atom(1, e)))
+                .otherwise(F.concat(F.array(_atom(1, first)), rest)))
+    return let(e_value, body)
 
 
 def _single_terms(atoms: Column) -> Column:
@@ -129,32 +137,44 @@ def _binary_terms(a: Column, op: Column, b: Column) -> Column:
 
 # ---- per-dialect expression parsers -> (terms, err) ----------------------------
 
-def _parse_long(ex: Column, products_in_chain: bool) -> tuple[Column, Column]:
-    """Dialects E1 (products_in_chain=False) and E2 (True)."""
-    first, rest, n_signs = _signed_segments(ex)
-    if products_in_chain:
-        segs = F.concat(F.array(_atom(1, first)), rest)
-        chain = F.transform(segs, lambda a: F.when(F.instr(a["a"], "*") > 0, _product_term(a["a"], a["s"]))
-                            .otherwise(_term(a["s"], F.array(_atom(1, a["a"])))))
-        chain_err = F.when(n_signs == 0, F.lit("malformed expression")).when(
-            F.exists(chain, lambda t: t.isNull()), F.lit("malformed expression"))
-    else:
-        chain = _single_terms(F.concat(F.array(_atom(1, first)), rest))
-        chain_err = F.when(n_signs == 0, F.lit("malformed expression"))
-    terms = (F.when(ex.rlike(ASSIGN_RE), F.array(_term(1, F.array(_atom(1, _group(ex, ASSIGN_RE, 1))))))
-             .when(ex.rlike(PAREN_MUL_RE), F.array(_term(1, _simple(_group(ex, PAREN_MUL_RE, 1)),
-                                                          _simple(_group(ex, PAREN_MUL_RE, 2)))))
-             .when(ex.rlike(NAME_PAREN_RE), F.array(_term(1, F.array(_atom(1, _group(ex, NAME_PAREN_RE, 1))),
-                                                           _simple(_group(ex, NAME_PAREN_RE, 2)))))
-             .when(ex.rlike(PAREN_NAME_RE), F.array(_term(1, _simple(_group(ex, PAREN_NAME_RE, 1)),
-                                                           F.array(_atom(1, _group(ex, PAREN_NAME_RE, 2))))))
-             .when(ex.rlike(BINARY_RE), _binary_terms(_group(ex, BINARY_RE, 1), _group(ex, BINARY_RE, 2),
-                                                      _group(ex, BINARY_RE, 3)))
-             .otherwise(chain))
-    matched = (ex.rlike(ASSIGN_RE) | ex.rlike(PAREN_MUL_RE) | ex.rlike(NAME_PAREN_RE)
-               | ex.rlike(PAREN_NAME_RE) | ex.rlike(BINARY_RE))
-    err = F.when(~matched, chain_err)
-    return terms, err
+def _classify(ex: Column) -> Column:
+    """Index of the first matching line form: 1 assign, 2 (..)*(..),
+    3 name*(..), 4 (..)*name, 5 binary, 0 chain."""
+    return (F.when(ex.rlike(ASSIGN_RE), 1).when(ex.rlike(PAREN_MUL_RE), 2).when(ex.rlike(NAME_PAREN_RE), 3)
+            .when(ex.rlike(PAREN_NAME_RE), 4).when(ex.rlike(BINARY_RE), 5).otherwise(0))
+
+
+def _parse_long(ex_value: Column, products_in_chain: bool) -> Column:
+    """Dialects E1 (products_in_chain=False) and E2 (True) -> struct(terms, err)."""
+    def body(ex):
+        def chain_parse():
+            first, rest, n_signs = _signed_segments(ex)
+            segs = F.concat(F.array(_atom(1, first)), rest)
+            if products_in_chain:
+                def with_chain(chain):
+                    bad = (n_signs == 0) | F.exists(chain, lambda t: t.isNull())
+                    return F.struct(chain.alias("terms"), F.when(bad, F.lit("malformed expression")).alias("err"))
+                return let(F.transform(segs, lambda a: F.when(F.instr(a["a"], "*") > 0, _product_term(a["a"], a["s"]))
+                                       .otherwise(_term(a["s"], F.array(_atom(1, a["a"]))))), with_chain)
+            return F.struct(_single_terms(segs).alias("terms"),
+                            F.when(n_signs == 0, F.lit("malformed expression")).alias("err"))
+
+        def ok(terms):
+            return F.struct(terms.alias("terms"), F.lit(None).cast("string").alias("err"))
+
+        def by_class(cls):
+            return (F.when(cls == 1, ok(F.array(_term(1, F.array(_atom(1, _group(ex, ASSIGN_RE, 1)))))))
+                    .when(cls == 2, ok(F.array(_term(1, _simple(_group(ex, PAREN_MUL_RE, 1)),
+                                                     _simple(_group(ex, PAREN_MUL_RE, 2))))))
+                    .when(cls == 3, ok(F.array(_term(1, F.array(_atom(1, _group(ex, NAME_PAREN_RE, 1))),
+                                                     _simple(_group(ex, NAME_PAREN_RE, 2))))))
+                    .when(cls == 4, ok(F.array(_term(1, _simple(_group(ex, PAREN_NAME_RE, 1)),
+                                                     F.array(_atom(1, _group(ex, PAREN_NAME_RE, 2)))))))
+                    .when(cls == 5, ok(_binary_terms(_group(ex, BINARY_RE, 1), _group(ex, BINARY_RE, 2),
+                                                     _group(ex, BINARY_RE, 3))))
+                    .otherwise(chain_parse()))
+        return let(_classify(ex), by_class)
+    return let(ex_value, body)
 
 
 def _parse_short(ex: Column) -> Column:
@@ -165,7 +185,7 @@ def _parse_short(ex: Column) -> Column:
             .otherwise(F.array(_term(1, F.array(_atom(1, ex))))))
 
 
-def _parse_e4(ex: Column) -> tuple[Column, Column]:
+def _parse_e4(ex: Column) -> Column:
     """Dialect E4: E3 plus ``p + q`` of two products and exactly ``a - b - c``."""
     plus = F.split(ex, "[+]", -1)
     minus = F.split(ex, "-", -1)
@@ -186,31 +206,43 @@ def _parse_e4(ex: Column) -> tuple[Column, Column]:
                            _term(-1, F.array(_atom(1, py_strip(F.get(minus, 2)))))))
              .otherwise(_parse_short(ex)))
     err = F.when(both & (F.size(plus) != 2), F.lit("complex expression"))
-    return terms, err
+    return F.struct(terms.alias("terms"), err.alias("err"))
 
 
-def parse_line(line: Column, pos: Column, dialect: str = "E1") -> Column:
+def parse_line(line_value: Column, pos: Column, dialect: str = "E1") -> Column:
     """One clean (stripped, non-blank) line -> IR statement struct."""
     if dialect not in DIALECTS:
         raise ValueError(f"unknown dialect {dialect!r}")
-    skip = F.lit(False)
-    if dialect == "E2":
-        line = drop_trailing_semicolon(line)
-        skip = line == ""
-    has_eq = F.instr(line, "=") > 0
-    target = py_strip(F.substring_index(line, "=", 1))
-    ex = py_strip(line.substr(F.instr(line, "=") + 1, F.lit(1 << 30)))
+
+    def body(line):
+        skip = line == "" if dialect == "E2" else F.lit(False)
+        has_eq = F.instr(line, "=") > 0
+        target = py_strip(F.substring_index(line, "=", 1))
+        ex = py_strip(line.substr(F.instr(line, "=") + 1, F.lit(1 << 30)))
+        if dialect == "E2":
+            target = canonical_name(target)
+        if dialect in ("E1", "E2"):
+            parsed = _parse_long(ex, products_in_chain=(dialect == "E2"))
+        elif dialect == "E3":
+            parsed = F.struct(let(ex, _parse_short).alias("terms"), F.lit(None).cast("string").alias("err"))
+        else:
+            parsed = let(ex, _parse_e4)
+        if dialect == "E2":  # every atom is looked up by its canonical name
+            parsed = let(parsed, lambda pr: F.struct(F.transform(pr["terms"], lambda t: F.struct(
+                t["s"].alias("s"),
+                F.transform(t["f1"], lambda a: F.struct(a["s"].alias("s"), canonical_name(a["a"]).alias("a"))).alias("f1"),
+                F.transform(t["f2"], lambda a: F.struct(a["s"].alias("s"), canonical_name(a["a"]).alias("a"))).alias("f2")))
+                .alias("terms"), pr["err"].alias("err")))
+
+        def finish(pr):
+            err = F.when(~skip & ~has_eq, F.lit("malformed step")).otherwise(F.when(~skip, pr["err"]))
+            return F.struct((pos + 1).cast("int").alias("line"), target.alias("t"), pr["terms"].alias("terms"),
+                            err.alias("err"), skip.alias("skip"))
+        return let(F.when(has_eq & ~skip, parsed), finish)
+
     if dialect == "E2":
-        target = canonical_name(target)
-    if dialect in ("E1", "E2"):
-        terms, err = _parse_long(ex, products_in_chain=(dialect == "E2"))
-    elif dialect == "E3":
-        terms, err = _parse_short(ex), F.lit(None).cast("string")
-    else:
-        terms, err = _parse_e4(ex)
-    err = F.when(~skip & ~has_eq, F.lit("malformed step")).otherwise(F.when(~skip, err))
-    return F.struct((pos + 1).cast("int").alias("line"), target.alias("t"), terms.alias("terms"),
-                    err.alias("err"), skip.alias("skip"))
+        line_value = drop_trailing_semicolon(line_value)
+    return let(line_value, body)
 
 
 def parse_script(script, dialect: str = "E1", drop_comments: bool = False) -> Column:
@@ -239,20 +271,19 @@ def _digits_mod(text: Column, p: int) -> Column:
     return F.when(text.startswith("-"), F.pmod(-m, F.lit(p))).otherwise(m)
 
 
-def _resolve_atom(a: Column, names: Column, idx: Column, canon: bool) -> Column:
-    text = canonical_name(a["a"]) if canon else a["a"]
-    is_int = text.rlike(INT_LIT_RE)
-    is_float = text.rlike(FLOAT_LIT_RE)
-    pos = F.array_position(names, text)
-    slot = (F.when(is_int | is_float, F.lit(0))
-            .when(pos > 0, F.element_at(idx, pos.cast("int"))))
-    return F.struct(
-        a["s"].alias("s"), slot.cast("int").alias("i"),
-        F.when(is_int, text.try_cast("bigint")).alias("v"),
-        F.when(is_int, _digits_mod(text, P1)).alias("m1"),
-        F.when(is_int, _digits_mod(text, P2)).alias("m2"),
-        F.when(is_int | is_float, text.try_cast("double")).alias("d"),
-    )
+def _resolve_atom(a: Column, names: Column, idx: Column) -> Column:
+    def body(kind):  # 1 integer literal, 2 decimal literal, 0 name
+        text = a["a"]
+        pos = F.array_position(names, text)
+        slot = F.when(kind > 0, F.lit(0)).when(pos > 0, F.element_at(idx, F.greatest(pos, F.lit(1)).cast("int")))
+        return F.struct(
+            a["s"].alias("s"), slot.cast("int").alias("i"),
+            F.when(kind == 1, text.try_cast("bigint")).alias("v"),
+            F.when(kind == 1, _digits_mod(text, P1)).alias("m1"),
+            F.when(kind == 1, _digits_mod(text, P2)).alias("m2"),
+            F.when(kind > 0, text.try_cast("double")).alias("d"),
+        )
+    return let(F.when(a["a"].rlike(INT_LIT_RE), 1).when(a["a"].rlike(FLOAT_LIT_RE), 2).otherwise(0), body)
 
 
 def compile_program(stmts, dialect: str = "E1") -> Column:
@@ -260,7 +291,6 @@ def compile_program(stmts, dialect: str = "E1") -> Column:
 
     ``ok``, ``err``/``eline`` (first failure and its line), ``code`` (SSA
     statements), ``out`` (slots of the four C cells), ``has_float``."""
-    canon = dialect == "E2"
     init = F.struct(
         F.array(*[F.lit(n) for n in reversed(INPUT_NAMES)]).alias("names"),
         F.array(*[F.lit(i) for i in range(8, 0, -1)]).alias("idx"),
@@ -272,8 +302,8 @@ def compile_program(stmts, dialect: str = "E1") -> Column:
     def step(acc, st):
         resolved = F.transform(st["terms"], lambda t: F.struct(
             t["s"].alias("s"),
-            F.transform(t["f1"], lambda a: _resolve_atom(a, acc["names"], acc["idx"], canon)).alias("f1"),
-            F.transform(t["f2"], lambda a: _resolve_atom(a, acc["names"], acc["idx"], canon)).alias("f2")))
+            F.transform(t["f1"], lambda a: _resolve_atom(a, acc["names"], acc["idx"])).alias("f1"),
+            F.transform(t["f2"], lambda a: _resolve_atom(a, acc["names"], acc["idx"])).alias("f2")))
 
         def with_resolved(r):
             undefined = F.exists(r, lambda t: F.exists(F.concat(t["f1"], F.coalesce(t["f2"], F.array().cast(T.ArrayType(RATOM_T)))),
@@ -444,13 +474,17 @@ def count_stars(script) -> Column:
 
 
 def _pattern_count_line(ex: Column) -> Column:
-    hits = F.lit(0)
-    rest = ex
-    for p in COUNT_PATTERNS:
-        hits = hits + F.regexp_count(rest, F.lit(p))
-        rest = F.regexp_replace(rest, p, "PLACEHOLDER")
-    leftover = F.regexp_replace(F.regexp_replace(rest, "\\[[^\\]]+\\]", ""), "PLACEHOLDER", "")
-    return F.greatest(hits, F.regexp_count(leftover, F.lit("\\*")))
+    def step(k: int, state: Column) -> Column:
+        if k == len(COUNT_PATTERNS):
+            leftover = F.regexp_replace(F.regexp_replace(state["rest"], "\\[[^\\]]+\\]", ""), "PLACEHOLDER", "")
+            return F.greatest(state["hits"], F.regexp_count(leftover, F.lit("\\*")))
+        p = COUNT_PATTERNS[k]
+        nxt = F.struct((state["hits"] + F.regexp_count(state["rest"], F.lit(p))).alias("hits"),
+                       F.regexp_replace(state["rest"], p, "PLACEHOLDER").alias("rest"))
+        return let(nxt, lambda st: step(k + 1, st))
+    # every pattern and the leftover count need a '*': lines without one count 0
+    return let(ex, lambda e: F.when(F.instr(e, "*") == 0, F.lit(0)).otherwise(
+        let(F.struct(F.lit(0).alias("hits"), e.alias("rest")), lambda st: step(0, st))))
 
 
 def count_by_pattern(script) -> Column:
@@ -473,13 +507,28 @@ COUNTERS = {"stars": count_stars, "pattern": count_by_pattern, "product_lines":
 # ---- DataFrame-level helpers ---------------------------------------------------
 
 def compile_distinct(df: DataFrame, script_col: str = "script", dialect: str = "E1",
-                     drop_comments: bool = False, dedupe: bool = True) -> DataFrame:
-    """Attach ``prog`` (compiled script).  With ``dedupe`` each distinct script
-    is compiled once and joined back on the script text; AQE picks broadcast
-    or shuffle join from the measured size of the distinct set and splits a
-    hot script's partition."""
+                     drop_comments: bool = False, dedupe: bool = True,
+                     per_script: dict | None = None) -> DataFrame:
+    """Attach ``prog`` (compiled script), plus ``per_script`` columns
+    (name -> function of the script column, e.g. a multiplication counter).
+
+    With ``dedupe`` each distinct script is compiled once and joined back on
+    the script text (D1: parse once per distinct script).  The distinct set
+    is a partial-then-final aggregate, so a hot script collapses map-side;
+    AQE picks broadcast or shuffle join from the measured size of the
+    distinct set and splits a hot script's join partition."""
+    per_script = per_script or {}
     if not dedupe:
-        return df.withColumn("prog", compile_script(F.col(script_col), dialect, drop_comments))
-    progs = (df.select(F.col(script_col).alias("_s")).where(F.col("_s").isNotNull()).distinct()
-             .withColumn("prog", compile_script(F.col("_s"), dialect, drop_comments)))
+        df = df.withColumn("prog", compile_script(F.col(script_col), dialect, drop_comments))
+        for name, fn in per_script.items():
+            df = df.withColumn(name, fn(F.col(script_col)))
+        return df
+    progs = df.select(F.col(script_col).alias("_s")).where(F.col("_s").isNotNull()).distinct()
+    # AQE packs the (small) distinct set into few partitions; compiling is
+    # CPU-bound, so spread it again before the expensive projection.
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    progs = progs.repartition(n).withColumn("prog", compile_script(F.col("_s"), dialect, drop_comments))
+    for name, fn in per_script.items():
+        progs = progs.withColumn(name, fn(F.col("_s")))
     return (df.join(progs, df[script_col].eqNullSafe(progs["_s"]), "left").drop("_s"))
