@@ -57,11 +57,11 @@ def completions_cte() -> str:
     src = ("(SELECT l_orderkey AS prompt_id, CAST(l_linenumber - 1 AS INTEGER) AS gen_idx, "
            "l_orderkey * 8 + l_linenumber AS _key, l_partkey FROM lineitem)")
     body = nest_stages(src, dv.completion_stages(DUCK, "_key", "l_partkey"))
-    return f"q_completions AS (SELECT prompt_id, gen_idx, completion FROM {body})"
+    return f"q_completions AS MATERIALIZED (SELECT prompt_id, gen_idx, completion FROM {body})"
 
 
 def scripts_cte() -> str:
-    return f"q_scripts AS (SELECT *, {Q.script_from_completion('completion')} AS script FROM q_completions)"
+    return f"q_scripts AS MATERIALIZED (SELECT *, {Q.script_from_completion('completion')} AS script FROM q_completions)"
 
 
 def valid_2x2(m: str) -> str:
@@ -100,12 +100,12 @@ q_s1 AS (SELECT *, {Q.rx('completion', Q.TAG_RE)} AS tagged, {Q.script_from_comp
 q_s1b AS (SELECT *, {bonus} AS tag_bonus, {Q.is_sentinel('script')} AS empty,
    (A IS NOT NULL AND B IS NOT NULL AND E IS NOT NULL) AS readable, ({valid_2x2('A')} AND {valid_2x2('B')}) AS valid FROM q_s1),
 q_s2 AS (SELECT *, CASE WHEN readable AND NOT empty AND valid THEN script END AS run_script FROM q_s1b),
-q_s3 AS (SELECT *, coalesce(CASE WHEN run_script IS NOT NULL THEN {Q.count_by_pattern('run_script')} END, 0) AS n_mults,
+q_s3 AS MATERIALIZED (SELECT *, coalesce(CASE WHEN run_script IS NOT NULL THEN {Q.count_by_pattern('run_script')} END, 0) AS n_mults,
    CASE WHEN NOT readable THEN 'bad_matrix' WHEN empty THEN 'empty'
         WHEN NOT valid OR NOT coalesce(exec_ok, false) THEN 'failed'
         WHEN exec_correct AND {e_shape} THEN 'correct' ELSE 'incorrect' END AS status
    FROM {execd}),
-q_scored AS (SELECT *, CASE WHEN status = 'bad_matrix' THEN -100.0::DOUBLE + 0.1::DOUBLE
+q_scored AS MATERIALIZED (SELECT *, CASE WHEN status = 'bad_matrix' THEN -100.0::DOUBLE + 0.1::DOUBLE
    WHEN status = 'correct' THEN {right} WHEN status = 'incorrect' THEN {wrong}
    ELSE -100.0::DOUBLE + tag_bonus END AS reward, status = 'correct' AS correct FROM q_s3)"""
 
@@ -340,7 +340,7 @@ q_v2 AS (SELECT *, coalesce(exec_ok, false) AS _ok, {reason} AS reason FROM {bod
 q_verified AS (SELECT *, CASE WHEN _ok THEN 'SUCCESS' ELSE 'FAILED' END AS status,
   _ok AND coalesce(exec_correct, false) AS correct,
   CASE WHEN _ok THEN {Q.COUNTERS[counter]('_script')} ELSE 0 END AS multiplications FROM q_v2),
-q_verified2 AS (SELECT *, _ok AND multiplications <= {sc.EFFICIENT_MAX_MULTS} AS efficient FROM q_verified)"""
+q_verified2 AS MATERIALIZED (SELECT *, _ok AND multiplications <= {sc.EFFICIENT_MAX_MULTS} AS efficient FROM q_verified)"""
 
 
 def _v1_ctes(counter: str) -> str:
