@@ -134,11 +134,15 @@ def think_answer_format(c) -> Column:
 
 
 def canonical_name(c) -> Column:
-    """Upper-case a leading letter, drop blanks inside ``[r,c]``."""
+    """Upper-case a leading letter, drop blanks inside ``[r,c]``.
+    The regexes only run when they can change the name: the first character
+    changes under upper-casing, or the name holds whitespace."""
     s = py_strip(c)
     first = F.substring(s, 1, 1)
-    upped = F.when(first.rlike("^\\p{L}"), F.concat(F.upper(first), s.substr(F.lit(2), F.lit(1 << 30)))).otherwise(s)
-    return F.regexp_replace(upped, f"\\[{WS}*(\\d+){WS}*,{WS}*(\\d+){WS}*\\]", "[$1,$2]")
+    upped = F.when((F.upper(first) != first) & first.rlike("^\\p{L}"),
+                   F.concat(F.upper(first), s.substr(F.lit(2), F.lit(1 << 30)))).otherwise(s)
+    has_ws = F.length(F.translate(s, WS_TRIM, "")) != F.length(s)
+    return F.when(has_ws, F.regexp_replace(upped, f"\\[{WS}*(\\d+){WS}*,{WS}*(\\d+){WS}*\\]", "[$1,$2]")).otherwise(upped)
 
 
 def drop_trailing_semicolon(c) -> Column:

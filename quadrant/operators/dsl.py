@@ -140,8 +140,11 @@ def _binary_terms(a: Column, op: Column, b: Column) -> Column:
 def _classify(ex: Column) -> Column:
     """Index of the first matching line form: 1 assign, 2 (..)*(..),
     3 name*(..), 4 (..)*name, 5 binary, 0 chain."""
-    return (F.when(ex.rlike(ASSIGN_RE), 1).when(ex.rlike(PAREN_MUL_RE), 2).when(ex.rlike(NAME_PAREN_RE), 3)
+    # forms 2-4 need a '(': lines without one skip those patterns (same result)
+    no_paren = F.when(ex.rlike(ASSIGN_RE), 1).when(ex.rlike(BINARY_RE), 5).otherwise(0)
+    full = (F.when(ex.rlike(ASSIGN_RE), 1).when(ex.rlike(PAREN_MUL_RE), 2).when(ex.rlike(NAME_PAREN_RE), 3)
             .when(ex.rlike(PAREN_NAME_RE), 4).when(ex.rlike(BINARY_RE), 5).otherwise(0))
+    return F.when(F.instr(ex, "(") == 0, no_paren).otherwise(full)
 
 
 def _parse_long(ex_value: Column, products_in_chain: bool) -> Column:
@@ -283,7 +286,10 @@ def _resolve_atom(a: Column, names: Column, idx: Column) -> Column:
             F.when(kind == 1, _digits_mod(text, P2)).alias("m2"),
             F.when(kind > 0, text.try_cast("double")).alias("d"),
         )
-    return let(F.when(a["a"].rlike(INT_LIT_RE), 1).when(a["a"].rlike(FLOAT_LIT_RE), 2).otherwise(0), body)
+    first = F.substring(a["a"], 1, 1)
+    maybe_number = first.isin("-", "0", "1", "2", "3", "4", "5", "6", "7", "8", "9")
+    kind = F.when(~maybe_number, 0).when(a["a"].rlike(INT_LIT_RE), 1).when(a["a"].rlike(FLOAT_LIT_RE), 2).otherwise(0)
+    return let(kind, body)
 
 
 def compile_program(stmts, dialect: str = "E1") -> Column:
@@ -481,6 +487,8 @@ def _pattern_count_line(ex: Column) -> Column:
         p = COUNT_PATTERNS[k]
         nxt = F.struct((state["hits"] + F.regexp_count(state["rest"], F.lit(p))).alias("hits"),
                        F.regexp_replace(state["rest"], p, "PLACEHOLDER").alias("rest"))
+        if k < 3:  # patterns 1-3 need a '(': skip them (unchanged state) when there is none
+            nxt = F.when(F.instr(state["rest"], "(") == 0, state).otherwise(nxt)
         return let(nxt, lambda st: step(k + 1, st))
     # every pattern and the leftover count need a '*': lines without one count 0
     return let(ex, lambda e: F.when(F.instr(e, "*") == 0, F.lit(0)).otherwise(

@@ -122,7 +122,8 @@ def prompt_matrices(q: Sql, key: str) -> tuple[str, str]:
 
 # ---- random programs (G6) -----------------------------------------------------
 
-def program_stages(q: Sql, key: str, prefix: str = "_g", max_mul: int = 12) -> list[tuple[str, str]]:
+def program_stages(q: Sql, key: str, prefix: str = "_g", max_mul: int = 12,
+                   when: str | None = None) -> list[tuple[str, str]]:
     """Stages computing a random program's lines into ``{prefix}_lines``.
 
     Line counts are drawn first (0-3 T lines, 0-3 U lines, 2..max_mul
@@ -196,8 +197,9 @@ def program_stages(q: Sql, key: str, prefix: str = "_g", max_mul: int = 12) -> l
         (nU, f"CAST({h('2')} % 4 AS INT)"),
         (nM, f"CAST(2 + {h('3')} % {max_mul - 1} AS INT)"),
         (nS, f"CAST({h('4')} % 4 AS INT)"),
-        (names, name_pool),
-        (f"{prefix}_lines", q.cat(t_lines, u_lines, m_lines, s_lines, q.arr(*c_lines))),
+        (names, name_pool if when is None else f"CASE WHEN {when} THEN {name_pool} END"),
+        (f"{prefix}_lines", q.cat(t_lines, u_lines, m_lines, s_lines, q.arr(*c_lines)) if when is None else
+         f"CASE WHEN {when} THEN {q.cat(t_lines, u_lines, m_lines, s_lines, q.arr(*c_lines))} END"),
     ]
 
 
@@ -218,8 +220,8 @@ def completion_stages(q: Sql, key: str, partkey: str) -> list[tuple[str, str]]:
     catalogue script with one line dropped), then a wrapper by hash (tags,
     prose, lower-case tags, special token, no tags, spaced indices and
     lower-case names, semicolons, two tag blocks)."""
-    stages = program_stages(q, key)
     kind = f"({q.mix(key, '100')} % 16)"
+    stages = program_stages(q, key, when=f"{kind} < 6")
     drop_at = f"({q.mix(key, '101')} % 11)"
     strassen_lines = q.split(q.lit(STRASSEN), "\n")
     dropped = q.join(q.filter(strassen_lines, "x, i", f"i <> {drop_at}" if q.spark else f"i - 1 <> {drop_at}"),
