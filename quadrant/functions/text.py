@@ -154,3 +154,51 @@ def drop_trailing_semicolon(c) -> Column:
 def truncate(c, n: int = 100) -> Column:
     """Message truncation."""
     return F.substring(col(c), 1, n)
+
+
+def token_list(extras=None) -> list[str]:
+    """Fixed special tokens united with tokenizer extras (e.g. the
+    tokenizer's special tokens and eos), de-duplicated, empties dropped;
+    resolved on the driver once, then folded into the plan as literals."""
+    out = []
+    for t in SPECIAL_TOKENS + list(extras or []):
+        if t and isinstance(t, str) and t not in out:
+            out.append(t)
+    return out
+
+
+def run_stamp(fmt: str = "yyyyMMdd_HHmmss") -> Column:
+    """Run label from the current time (``%Y%m%d_%H%M%S``; use
+    ``HH:mm:ss`` for the log-line clock)."""
+    return F.date_format(F.current_timestamp(), fmt)
+
+
+def inference_prompt(user, a, b, style: str = "using") -> Column:
+    """The evaluation prompt suffix: `` (Using A=.., B=..)`` or
+    ``\\nA = ..\\nB = ..`` with matrices rendered like Python lists."""
+    from quadrant.functions.matrix import py_repr
+    if style == "using":
+        return F.concat(col(user), F.lit(" (Using A="), py_repr(a), F.lit(", B="), py_repr(b), F.lit(")"))
+    return F.concat(col(user), F.lit("\nA = "), py_repr(a), F.lit("\nB = "), py_repr(b))
+
+
+def normalize_completion(df, name: str, out: str = "completion"):
+    """A completion given as text, a {role, content} message, or a
+    list of either becomes text; the branch is chosen from the column's type
+    at analysis time (a one-element list yields its element's content; other
+    lists and shapes their JSON text)."""
+    from pyspark.sql import types as T
+    dt = df.schema[name].dataType
+    c = F.col(name)
+    if isinstance(dt, T.StringType):
+        v = c
+    elif isinstance(dt, T.StructType) and "content" in dt.fieldNames():
+        v = c["content"]
+    elif isinstance(dt, T.ArrayType) and isinstance(dt.elementType, T.StructType) \
+            and "content" in dt.elementType.fieldNames():
+        v = F.when(F.size(c) == 1, F.get(c, 0)["content"]).otherwise(F.to_json(c))
+    elif isinstance(dt, T.ArrayType) and isinstance(dt.elementType, T.StringType):
+        v = F.when(F.size(c) == 1, F.get(c, 0)).otherwise(F.to_json(c))
+    else:
+        v = F.to_json(c) if isinstance(dt, (T.ArrayType, T.StructType, T.MapType)) else c.cast("string")
+    return df.withColumn(out, v)

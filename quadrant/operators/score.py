@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quadrant.functions import matrix as mx
 from quadrant.functions import text as tx
 from quadrant.operators import dsl
+from quadrant.session import materialize
 
 # ---- fixed values: reward constants -------------------------------------------
 TAG_BONUS = 0.1
@@ -127,10 +128,13 @@ def best_script(scored: DataFrame) -> DataFrame:
                   F.count(F.lit(1)).alias("n_correct"))
 
 
-def advantages(scored: DataFrame, scale: bool = True, eps: float = ADV_EPS) -> DataFrame:
+def advantages(scored: DataFrame, scale: bool = True, eps: float = ADV_EPS, cut: bool = True) -> DataFrame:
     """Group-relative advantage per prompt: reward minus the prompt's
     mean, divided by its sample std + eps when ``scale``.  Group stats are a
-    grouped aggregate joined back on the key (skew-safe)."""
+    grouped aggregate joined back on the key (skew-safe); the input is
+    checkpointed first (``cut``) so it is computed once."""
+    if cut:
+        scored = materialize(scored)
     g = (scored.groupBy("prompt_id")
          .agg(F.avg("reward").alias("group_mean"), F.stddev_samp("reward").alias("group_std"),
               F.count(F.lit(1)).alias("group_size")))
@@ -163,7 +167,8 @@ def pass_at_k(scored: DataFrame, ks=(1, 2, 4)) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_prompts"), F.avg("p").alias("pass_at_k")))
 
 
-def running_best(scored: DataFrame, prompts_per_call: int = 4, max_events: int = 100_000) -> DataFrame:
+def running_best(scored: DataFrame, prompts_per_call: int = 4, max_events: int = 100_000,
+                 cut: bool = True) -> DataFrame:
     """Best multiplication count among correct completions
     strictly before each row in (call, prompt_id, gen_idx) order, and whether
     the row is a strict improvement.
@@ -173,7 +178,7 @@ def running_best(scored: DataFrame, prompts_per_call: int = 4, max_events: int =
     counts whose first row precedes every smaller count's first row.  That
     event list is bounded by the number of distinct counts, checked, and
     becomes a CASE expression over the row key."""
-    df = with_call(scored, prompts_per_call)
+    df = with_call(materialize(scored) if cut else scored, prompts_per_call)
     key = F.struct("call", "prompt_id", "gen_idx")
     firsts = (df.where(F.col("correct")).groupBy("n_mults").agg(F.min(key).alias("first")))
     w = Window.orderBy("n_mults").rowsBetween(Window.unboundedPreceding, -1)

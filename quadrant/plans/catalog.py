@@ -223,7 +223,7 @@ def q_a5_best_script(spark, sf):
 
 
 def q_a12_advantage(spark, sf):
-    a = sc.advantages(scored(spark, sf, 2))
+    a = sc.advantages(scored(spark, sf, 2).select("prompt_id", "gen_idx", "reward"))
     return a.select("prompt_id", "gen_idx", _r(F.col("reward")).alias("reward"),
                     _r(F.col("group_mean")).alias("group_mean"), _r(F.col("advantage"), 4).alias("advantage"))
 
@@ -235,7 +235,7 @@ def q_a13_pass_at_k(spark, sf):
 
 
 def q_w1_running_best(spark, sf):
-    w = sc.running_best(scored(spark, sf, 2), PROMPTS_PER_CALL)
+    w = sc.running_best(scored(spark, sf, 2).select("prompt_id", "gen_idx", "correct", "n_mults"), PROMPTS_PER_CALL)
     return w.select("prompt_id", "gen_idx", "call", F.col("best_before").cast("bigint").alias("best_before"),
                     "is_event")
 

@@ -49,3 +49,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the shared checkpoint folder
+    (never ``localCheckpoint``): a table read twice (grouped statistics joined
+    back to their input) is computed once, and survives executor loss."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

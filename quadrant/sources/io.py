@@ -58,3 +58,9 @@ def good_rows(df: DataFrame) -> DataFrame:
     if CORRUPT not in df.columns:
         return df
     return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def first_rows(df: DataFrame, order_by: str, n: int) -> DataFrame:
+    """T-4: the first ``n`` rows by a key, for display (the limit is the
+    feature here; it is a top-n, not a sample)."""
+    return df.orderBy(order_by).limit(n)

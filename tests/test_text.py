@@ -44,3 +44,17 @@ def test_format_cases(spark):
 def test_canonical_name(spark):
     assert one(spark, tx.canonical_name("s"), " a[0 , 1] ") == "A[0,1]"
     assert one(spark, tx.drop_trailing_semicolon("s"), "x = 1 ;") == "x = 1"
+
+
+def test_normalize_completion(spark):
+    df = spark.createDataFrame([([("assistant", "hi")],), ([("a", "x"), ("b", "y")],)],
+                               "c array<struct<role:string,content:string>>")
+    got = [r.completion for r in tx.normalize_completion(df, "c").collect()]
+    assert got[0] == "hi" and got[1].startswith("[{")
+    assert tx.token_list(["<|im_end|>", "", "<eos>"]) == tx.SPECIAL_TOKENS + ["<eos>"]
+
+
+def test_inference_prompt(spark):
+    df = spark.createDataFrame([("q", [[1, 2], [3, 4]], [[5, 6], [7, 8]])],
+                               "u string, a array<array<bigint>>, b array<array<bigint>>")
+    assert df.select(tx.inference_prompt("u", "a", "b")).first()[0] == "q (Using A=[[1, 2], [3, 4]], B=[[5, 6], [7, 8]])"
