@@ -186,3 +186,10 @@ def entropy_monitor(metric_log: DataFrame) -> DataFrame:
     df = df.join(base, "run", "left")
     ratio = F.lit(100.0) * F.col("entropy") / (F.col("entropy0") + F.lit(ENTROPY_EPS))
     return df.withColumn("entropy_pct", F.when(F.col("entropy").isNotNull(), ratio))
+
+
+def prepare_reasoning(df: DataFrame, system: str = REASONING_SYSTEM) -> DataFrame:
+    """P4 + P7 (Q1 row map): a reasoning row (problem, solution, messages, ..)
+    becomes (prompt = [system, user], solution); the raw columns are dropped."""
+    out = df.withColumn("prompt", chat(F.lit(system), F.col("problem")))
+    return out.drop("problem", "messages")

@@ -211,3 +211,26 @@ def truncation_mask(df: DataFrame, n_tokens: str, limit: int, col_in: str = "adv
                     out: str = "masked_advantage") -> DataFrame:
     """completions that hit the length limit contribute nothing."""
     return df.withColumn(out, F.when(F.col(n_tokens) >= limit, F.lit(0.0)).otherwise(F.col(col_in)))
+
+
+# ---- Q2: reward functions by name ---------------------------------------------------
+# Each entry maps a completions-with-context DataFrame to a reward column;
+# ``apply_rewards`` adds them and their weight-1 sum.
+
+def _format_reward(df: DataFrame) -> Column:
+    from quadrant.operators.evaluate import format_reward
+    return format_reward("completion")
+
+
+def _accuracy_reward(df: DataFrame) -> Column:
+    from quadrant.operators.evaluate import accuracy_reward
+    return accuracy_reward("completion", "solution")
+
+
+REWARD_FUNCTIONS = {"format": _format_reward, "accuracy": _accuracy_reward}
+
+
+def apply_rewards(df: DataFrame, names: list[str], out: str = "total_reward") -> DataFrame:
+    for n in names:
+        df = df.withColumn(f"reward_{n}", REWARD_FUNCTIONS[n](df))
+    return reward_sum(df, [f"reward_{n}" for n in names], out)

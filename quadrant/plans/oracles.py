@@ -16,10 +16,6 @@ from quadrant.sources import tables as tb
 from quadrant.sources.sqlgen import DUCK, nest_stages
 
 
-def dbl(x) -> str:
-    return f"CAST({x} AS DOUBLE)"
-
-
 def r6(x, n: int = 6) -> str:
     return f"round({x}, {n})"
 

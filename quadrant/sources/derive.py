@@ -84,11 +84,6 @@ def _case(q: Sql, sel: str, options: list[str], default: str = "NULL") -> str:
     return f"(CASE {sel} {whens} ELSE {default} END)"
 
 
-def cell_ref(q: Sql, m: str, e: str) -> str:
-    """Text ``A[r,c]`` for cell index e in 0..3."""
-    return _case(q, e, [q.lit(f"{m}{c}") for c in CELLS])
-
-
 # ---- prompts (G1, G2, G3) -----------------------------------------------------
 
 def prompt_cell(q: Sql, key: str, m: str, idx: int) -> str:

@@ -18,14 +18,16 @@ from quadrant import schemas
 from quadrant.operators import score as sc
 
 
-def stored_best(spark: SparkSession, path: str) -> tuple[int | None, set[int]]:
+def stored_best(spark: SparkSession, path: str, batch_id: int) -> tuple[int | None, bool]:
+    """(best count so far, whether ``batch_id`` was already written): one
+    aggregate row and a one-row probe, nothing proportional to the log."""
     try:
         d = spark.read.schema(schemas.DISCOVERY).parquet(path)
-        row = d.agg(F.min("n_mults").alias("best")).collect()[0]
-        done = {r.batch_id for r in d.select("batch_id").distinct().collect()}
-        return row.best, done
+        best = d.agg(F.min("n_mults").alias("best")).first().best
+        done = d.where(F.col("batch_id") == batch_id).limit(1).count() > 0
+        return best, done
     except AnalysisException:
-        return None, set()
+        return None, False
 
 
 def improvements(batch: DataFrame, best: int | None) -> DataFrame:
@@ -52,8 +54,8 @@ def start(spark: SparkSession, completions_dir: str, prompts: DataFrame, discove
     scored = sc.score(stream, prompts, version=version)
 
     def on_batch(df: DataFrame, batch_id: int) -> None:
-        best, done = stored_best(spark, discoveries)
-        if batch_id in done:
+        best, done = stored_best(spark, discoveries, batch_id)
+        if done:
             return
         ev = improvements(df, best).select(
             F.lit(batch_id).cast("bigint").alias("batch_id"), "prompt_id", "gen_idx",

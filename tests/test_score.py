@@ -81,3 +81,13 @@ def test_group_stats(spark):
             best = r.n_mults
         else:
             assert not r.is_event
+
+
+def test_reward_registry_and_reasoning_prep(spark):
+    from quadrant.operators import evaluate as ev
+    raw = spark.createDataFrame([("2+2?", "\\boxed{4}", "m", "<think>x</think><answer>$4$</answer>")],
+                                "problem string, solution string, messages string, completion string")
+    prepared = ev.prepare_reasoning(raw)
+    assert "problem" not in prepared.columns and prepared.first().prompt[1].content == "2+2?"
+    r = sc.apply_rewards(prepared, ["format", "accuracy"]).first()
+    assert r.reward_format == 1.0 and r.reward_accuracy == 1.0 and r.total_reward == 2.0
