@@ -247,7 +247,7 @@ def o_a5_best_script() -> str:
 def o_a12_advantage() -> str:
     return with_(scored_ctes(2), f"""g AS (SELECT prompt_id, avg(reward) AS group_mean, stddev_samp(reward) AS group_std FROM q_scored GROUP BY prompt_id)
 SELECT s.prompt_id, s.gen_idx, {r6('s.reward')} AS reward, {r6('g.group_mean')} AS group_mean,
-  {r6(f'(s.reward - g.group_mean) / (coalesce(g.group_std, 0.0::DOUBLE) + {sc.ADV_EPS}::DOUBLE)', 4)} AS advantage
+  ({r6(f'(s.reward - g.group_mean) / (coalesce(g.group_std, 0.0::DOUBLE) + {sc.ADV_EPS}::DOUBLE)', 4)} + 0.0::DOUBLE) AS advantage
 FROM q_scored s JOIN g USING (prompt_id)""")
 
 
@@ -259,7 +259,7 @@ def o_a13_pass_at_k() -> str:
         pk = f"CASE WHEN n < {k} THEN NULL WHEN n - c < {k} THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - {prod} END"
         parts.append(f"SELECT CAST({k} AS BIGINT) AS k, {pk} AS p FROM pp")
     union = " UNION ALL ".join(parts)
-    return with_(scored_ctes(2), f"""pp AS (SELECT prompt_id, count(*) AS n, count_if(correct) AS c FROM q_scored GROUP BY prompt_id),
+    return with_(scored_ctes(2), f"""pp AS (SELECT prompt_id, CAST(count(*) AS BIGINT) AS n, CAST(count_if(correct) AS BIGINT) AS c FROM q_scored GROUP BY prompt_id),
 l AS ({union})
 SELECT k, count(*) AS n_prompts, {r6('avg(p)', 9)} AS pass_at_k FROM l WHERE p IS NOT NULL GROUP BY k""")
 
