@@ -122,10 +122,13 @@ def full_batches(scored: DataFrame, prompts_per_call: int = 4) -> DataFrame:
 def best_script(scored: DataFrame) -> DataFrame:
     """A5 + T-5: fewest multiplications among correct completions and the
     first script reaching it (by prompt, then generation)."""
-    ok = scored.where(F.col("correct"))
-    return ok.agg(F.min("n_mults").alias("best_n_mults"),
-                  F.min_by("script", F.struct("n_mults", "prompt_id", "gen_idx")).alias("best_script"),
-                  F.count(F.lit(1)).alias("n_correct"))
+    # conditional aggregation, not a filter: a filter on a derived column is
+    # pushed below the projections and would re-evaluate the scoring folds
+    ok = F.col("correct")
+    return scored.agg(F.min(F.when(ok, F.col("n_mults"))).alias("best_n_mults"),
+                      F.min_by(F.col("script"), F.when(ok, F.struct("n_mults", "prompt_id", "gen_idx")))
+                      .alias("best_script"),
+                      F.count_if(ok).alias("n_correct"))
 
 
 def advantages(scored: DataFrame, scale: bool = True, eps: float = ADV_EPS, cut: bool = True) -> DataFrame:
@@ -150,7 +153,9 @@ def pass_at_k_expr(n: Column, c: Column, k: int) -> Column:
     1 - prod_{i=n-c+1..n} (1 - k/i); NULL when n < k."""
     prod = F.aggregate(F.sequence(n - c + 1, n), F.lit(1.0),
                        lambda acc, i: acc * (F.lit(1.0) - F.lit(float(k)) / i.cast("double")))
+    # c = 0 must short-circuit: sequence(n+1, n) would count down, not be empty
     return (F.when(n < k, F.lit(None).cast("double"))
+            .when(c == 0, F.lit(0.0))
             .when(n - c < k, F.lit(1.0))
             .otherwise(F.lit(1.0) - prod))
 

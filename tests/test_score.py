@@ -55,8 +55,8 @@ def test_dedupe_equals_inline(frames):
 
 
 def test_group_stats(spark):
-    rows = [(p, g, float((p * 7 + g * 3) % 5) - 2.0, (p + g) % 3 == 0, (p * g) % 4 + 5, f"s{p}{g}")
-            for p in range(12) for g in range(4)]
+    rows = [(p, g, float((p * 7 + g * 3) % 5) - 2.0, (p + g) % 3 == 0 and p < 10, (p * g) % 4 + 5, f"s{p}{g}")
+            for p in range(12) for g in range(4)]  # prompts 10, 11: no correct sample
     df = spark.createDataFrame(rows, "prompt_id bigint, gen_idx int, reward double, correct boolean, "
                                      "n_mults int, script string")
     adv = sc.advantages(df, scale=False).groupBy("prompt_id").agg(F.sum("advantage").alias("s")).collect()
