@@ -5,15 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quadrant.llm import exact_dedup
+import public_tokenizers
+from quadrant.llm import exact_dedup, secret_scan, sentencepiece_codec, token_counts
 from quadrant.llm.common import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.digests(table(spark, sf_dir, "documents"),
+                                       public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+    def shown(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE))
+    return found.select("doc_id", *[number(k) for k in secret_scan.BASE],
+                        F.sha2(shown(base).cast("binary"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"),
+                                     public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
 ORACLE_OP6 = """
 WITH rows AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
@@ -29,7 +55,10 @@ FROM rows r JOIN groups g ON r.t = g.t
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
+        "op5_secret_scan": op5_secret_scan,
         "op6_exact_dedup": op6_exact_dedup,
+        "op10_token_counts": op10_token_counts,
     }
 
 
