@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from quadrant.llm import exact_dedup, secret_scan, sentencepiece_codec, simhash_neardup, token_counts
+from quadrant.llm import exact_dedup, secret_scan, sentencepiece_codec, simhash_neardup, token_counts, topk_search
 from quadrant.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"),
                                      public_tokenizers.path("word_bpe_49k.json"), limit=2048)
@@ -56,6 +60,21 @@ SELECT r.doc_id, g.keep_id, g.group_size, r.doc_id IS NOT DISTINCT FROM g.keep_i
 FROM rows r JOIN groups g ON r.t = g.t
 """
 
+ORACLE_OP9 = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS vec FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.vec, c.vec)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.vec) = len(c.vec)
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+  FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -63,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_scan": op5_secret_scan,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_simhash": op8_simhash,
+        "op9_topk_search": op9_topk_search,
         "op10_token_counts": op10_token_counts,
     }
 
@@ -70,4 +90,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracles() -> dict[str, str]:
     return {
         "op6_exact_dedup": ORACLE_OP6,
+        "op9_topk_search": ORACLE_OP9,
     }
