@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from quadrant.llm import exact_dedup, secret_scan, sentencepiece_codec, simhash_neardup, token_counts, topk_search
+from quadrant.llm import exact_dedup, secret_scan, sentencepiece_codec, simhash_neardup, source_mix, token_counts, topk_search
 from quadrant.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.taken(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
 
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": op1_sentencepiece,
         "op5_secret_scan": op5_secret_scan,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_source_mix": op7_source_mix,
         "op8_simhash": op8_simhash,
         "op9_topk_search": op9_topk_search,
         "op10_token_counts": op10_token_counts,
