@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from quadrant.llm import exact_dedup, secret_scan, sentencepiece_codec, simhash_neardup, source_mix, token_counts, topk_search
-from quadrant.llm.common import table
+from quadrant.llm import exact_dedup, language_id, secret_scan, sentencepiece_codec, simhash_neardup, source_mix, token_counts, topk_search
+from quadrant.llm.common import id_remainder, table
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    filters = language_id.learn(documents.filter(id_remainder("doc_id", 4) != 2))
+    return (language_id.predict(documents, filters)
+            .select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -83,6 +90,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op2_language_id": op2_language_id,
         "op5_secret_scan": op5_secret_scan,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_source_mix": op7_source_mix,
