@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from quadrant.llm import exact_dedup, language_id, secret_scan, sentencepiece_codec, simhash_neardup, source_mix, token_counts, topk_search
+from quadrant.llm import exact_dedup, language_id, quality_classifier, secret_scan, sentencepiece_codec, simhash_neardup, source_mix, token_counts, topk_search
 from quadrant.llm.common import id_remainder, table
 
 
@@ -24,6 +24,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality_classifier.learn(documents, table(spark, sf_dir, "labels"), id_remainder("id", 5) != 0)
+    return (quality_classifier.scores(documents, model)
+            .select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "score",
+                    (F.col("score") >= 0.3).cast("int").alias("predicted")))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -91,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_language_id": op2_language_id,
+        "op3_quality_classifier": op3_quality_classifier,
         "op5_secret_scan": op5_secret_scan,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_source_mix": op7_source_mix,
