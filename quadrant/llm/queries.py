@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from quadrant.llm import exact_dedup, language_id, quality_classifier, secret_scan, sentencepiece_codec, simhash_neardup, source_mix, token_counts, topk_search
+from quadrant.llm import exact_dedup, language_id, quality_classifier, secret_scan, sentencepiece_codec, simhash_neardup, source_mix, token_counts, tool_calls, topk_search
 from quadrant.llm.common import id_remainder, table
 
 
@@ -32,6 +32,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("score") >= 0.3).cast("int").alias("predicted")))
 
 
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return tool_calls.link(tool_calls.calls_of(conversations), tool_calls.results_of(conversations), tool_calls.SCHEMAS)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,56 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+ORACLE_OP4 = r"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id, turn, role, text, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM conversations
+), calls AS (
+  SELECT conv_id, 'call_' || conv_id || '_' || turn AS call_id, turn,
+         CASE role WHEN 'user' THEN 'ask' ELSE 'configure' END AS name, text, words,
+         CASE WHEN role = 'user' AND turn >= 2 THEN 'call_' || conv_id || '_' || (turn - 2) END AS after
+  FROM turns WHERE role IN ('user', 'system')
+), results AS (
+  SELECT conv_id, 'call_' || conv_id || '_' || (turn - 1) AS call_id, count(*) AS n, min(turn) AS turn,
+         arg_min(text, (turn, text)) AS result
+  FROM turns WHERE role = 'assistant' GROUP BY ALL
+), edges AS (
+  SELECT DISTINCT c.conv_id, c.call_id, c.after FROM calls c
+  JOIN calls p ON p.conv_id = c.conv_id AND p.call_id = c.after
+), ranked AS (
+  SELECT DISTINCT conv_id, call_id, 0 AS level FROM calls ANTI JOIN edges USING (conv_id, call_id)
+  UNION ALL
+  SELECT e.conv_id, e.call_id, r.level + 1 FROM edges e JOIN ranked r ON r.conv_id = e.conv_id AND r.call_id = e.after
+), linked AS (
+  SELECT c.*, k.level, r.result, e.call_id IS NULL AND c.after IS NOT NULL AS dangling,
+         CASE WHEN r.n IS NULL THEN 'no_result' WHEN r.n > 1 THEN 'many_results' ELSE 'linked' END AS status,
+         CASE c.name WHEN 'ask' THEN 'query' ELSE 'instructions' END AS key
+  FROM calls c JOIN ranked k USING (conv_id, call_id)
+  LEFT JOIN results r USING (conv_id, call_id) LEFT JOIN edges e USING (conv_id, call_id)
+), checked AS (
+  SELECT *, list_filter([
+      CASE WHEN text IS NULL THEN 'missing ' || key WHEN length(text) NOT BETWEEN 1 AND 2000 THEN 'range ' || key END,
+      CASE WHEN words IS NULL THEN 'missing words' WHEN words NOT BETWEEN 1 AND 60 THEN 'range words' END,
+      CASE WHEN dangling THEN 'unknown call ' || after END], lambda x: x IS NOT NULL) AS errors,
+    '{' || array_to_string(list_filter([
+      CASE WHEN after IS NOT NULL THEN '"after":' || to_json(after)::VARCHAR END,
+      CASE WHEN text IS NOT NULL THEN '"' || key || '":' || to_json(text)::VARCHAR END,
+      CASE WHEN words IS NOT NULL THEN '"words":' || words END], lambda x: x IS NOT NULL), ',') || '}' AS arguments
+  FROM linked
+)
+SELECT conv_id, call_id, turn, name, status, level, array_to_string(errors, ',') AS errors,
+       '{"arguments":' || arguments || ',"call_id":' || to_json(call_id)::VARCHAR
+       || ',"depends_on":' || CASE WHEN after IS NULL THEN '[]' ELSE to_json([after])::VARCHAR END
+       || ',"errors":' || to_json(errors)::VARCHAR || ',"level":' || level || ',"name":' || to_json(name)::VARCHAR
+       || CASE WHEN result IS NULL THEN '' ELSE ',"result":' || to_json(result)::VARCHAR END
+       || ',"status":' || to_json(status)::VARCHAR || '}' AS record
+FROM checked
+UNION ALL
+SELECT conv_id, call_id, turn, NULL, 'orphan_result', NULL, '',
+       '{"call_id":' || to_json(call_id)::VARCHAR || ',"errors":[]'
+       || CASE WHEN result IS NULL THEN '' ELSE ',"result":' || to_json(result)::VARCHAR END || ',"status":"orphan_result"}'
+FROM results ANTI JOIN calls USING (conv_id, call_id)
+"""
+
 ORACLE_OP6 = """
 WITH rows AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
@@ -100,6 +155,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": op1_sentencepiece,
         "op2_language_id": op2_language_id,
         "op3_quality_classifier": op3_quality_classifier,
+        "op4_tool_calls": op4_tool_calls,
         "op5_secret_scan": op5_secret_scan,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_source_mix": op7_source_mix,
@@ -111,6 +167,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracles() -> dict[str, str]:
     return {
+        "op4_tool_calls": ORACLE_OP4,
         "op6_exact_dedup": ORACLE_OP6,
         "op9_topk_search": ORACLE_OP9,
     }
