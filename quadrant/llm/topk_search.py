@@ -147,7 +147,7 @@ def inner(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
         if not vectors.size or np.abs(queries).max() * np.abs(vectors).max() * vectors.shape[1] < EXACT:
             return queries @ vectors.T
     whole = [[int(x) for x in v] for v in vectors]
-    limit = 2**63 - 1
+    limit = 2**63 - 1024  # the largest double that is a long
     return np.array([[float(max(-limit, min(limit, sum(int(a) * b for a, b in zip(q, v, strict=True))))) for v in whole]
                      for q in queries])
 
