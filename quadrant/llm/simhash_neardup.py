@@ -184,8 +184,10 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     linked = nodes.join(labels, nodes["fp"] == labels["node"])
     roots = linked.groupBy(F.col("label").alias("root")).agg(F.min("least").alias("component"))
     linked = linked.join(roots, F.col("label") == F.col("root")).select(F.col("fp").alias("node"), "component")
-    ids = (nodes.join(linked, F.col("fp") == F.col("node"), "left")
-                .select(F.col("fp").alias("node"), F.coalesce("component", "least").alias("component_id")))
+    # Cut here, so that both sides of the last join are plain shuffles and a fingerprint that
+    # very many rows carry is split by the skew-join handling.
+    ids = materialize(nodes.join(linked, F.col("fp") == F.col("node"), "left")
+                      .select(F.col("fp").alias("node"), F.coalesce("component", "least").alias("component_id")))
     return (rows.join(ids, F.col("fp") == F.col("node"))
                 .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
