@@ -15,9 +15,9 @@ holds one block.
   a pass takes each block at most once, so nothing is taken more often than passes begin.
 * Slots and documents' pieces are joined on (source, block).
 
-A document's place on its line is a two-level prefix sum: documents are dealt by hash
-into buckets of about a thousand, sums of buckets are accumulated per source, and
-places inside a bucket by a window over that bucket; no task sorts a source.
+A document's place on its line is a prefix sum in levels: documents are dealt by hash
+into buckets, places inside a bucket come from a window over that bucket, sums of buckets are accumulated
+inside groups of ``GROUP`` buckets, and sums of groups per source; no task sorts a source.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last;
 a text without words is never taken; rows repeated with the same id, source and text
@@ -43,7 +43,8 @@ from quadrant.session import materialize
 WEIGHTS, REPEATS = (5, 2, 1), 3
 BLOCK = 64             # words in a block
 SHARD = 1 << 16        # slots in an output shard, on average
-BUCKET = 1024          # documents in a bucket of the prefix sum, on average
+BUCKET = 256           # documents in a bucket of the prefix sum, on average
+GROUP = 1024           # buckets of a source accumulated by one task
 SEED = 20_25
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -91,12 +92,19 @@ def _placed(runs: DataFrame, weights: tuple[int, ...], repeats: int) -> tuple[Da
     sources = targets(runs.groupBy("line").agg(F.sum(words).alias("source_size")), weights, repeats)
     buckets = max(1, math.ceil(runs.count() / BUCKET))
     dealt = runs.withColumn("bucket", F.pmod("key", F.lit(buckets)))
-    before = (Window.partitionBy("line").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    lines = (dealt.groupBy("line", "bucket").agg(F.sum(words).alias("words"))
-                  .withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
-                  .join(sources.select("line", "number", "source_size", "target"), "line"))
+    earlier = (Window.unboundedPreceding, -1)
+    per_bucket = (dealt.groupBy("line", "bucket").agg(F.sum(words).alias("words"))
+                       .withColumn("group", F.floor(F.col("bucket") / GROUP)))
+    before = Window.partitionBy("line").orderBy("group").rowsBetween(*earlier)
+    groups = (per_bucket.groupBy("line", "group").agg(F.sum("words").alias("words"))
+                        .withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
+                        .join(sources.select("line", "number", "source_size", "target"), "line"))
+    among = Window.partitionBy("line", "group").orderBy("bucket").rowsBetween(*earlier)
+    lines = (per_bucket.withColumn("among", F.coalesce(F.sum("words").over(among), F.lit(0)))
+                       .join(groups, ["line", "group"])
+                       .withColumn("before", F.col("base") + F.col("among")).drop("words", "group", "base", "among"))
     inside = (Window.partitionBy("line", "bucket").orderBy("key", "doc_id", "size")
-                    .rowsBetween(Window.unboundedPreceding, -1))
+                    .rowsBetween(*earlier))
     rows = (dealt.withColumn("within", F.coalesce(F.sum(words).over(inside), F.lit(0)))
                  .join(lines, ["line", "bucket"])
                  .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
@@ -138,7 +146,10 @@ def permuted(index: np.ndarray, n: int, seed: int, source: int, turn: int) -> np
 
 
 def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
-    """number, block, shard, slot, turn: what every slot of the mix holds."""
+    """number, block, shard, slot, turn: what every slot of the mix holds.
+
+    Spark estimates this table by the few sources it is made from; so that it is
+    not broadcast on that estimate, join it with the ``merge`` hint."""
     counted = (sources.filter("source_size > 0 AND target > 0")
                .withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
                .withColumn("turns", F.floor(F.col("target") / F.col("source_size")).cast("long"))
@@ -183,7 +194,7 @@ def taken(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int
     """doc_id, size, source_size, target, taken (words that the mix takes) of every row."""
     rows, sources = _placed(materialize(_runs(documents, doc_id, text, source)), weights, repeats)
     times = slots(sources, block, shard, seed).groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"))
-    words = (_pieces(rows, block).join(times, ["number", "block"])
+    words = (_pieces(rows, block).join(times.hint("merge"), ["number", "block"])
              .groupBy(F.col("number").alias("n"), F.col("start").alias("s"))
              .agg(F.sum((F.col("last") - F.col("first")) * F.col("times")).alias("taken")))
     here = F.when(F.col("size") > 0, F.col("start"))
@@ -213,7 +224,7 @@ def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, re
     it, with those words as text and their length, other columns unchanged."""
     rows, sources = _placed(materialize(_runs(documents, doc_id, text, source)), weights, repeats)
     part = F.struct(F.col("first"), F.col("last"))
-    takes = (_pieces(rows, block).join(slots(sources, block, shard, seed), ["number", "block"])
+    takes = (_pieces(rows, block).join(slots(sources, block, shard, seed).hint("merge"), ["number", "block"])
              .groupBy("key", "doc_id", "copy", "turn").agg(F.collect_list(part).alias("parts"))
              .groupBy(F.col("key").alias("k"), F.col("doc_id").alias("d"))
              .agg(F.collect_list(F.struct("copy", "parts")).alias("takes")))
