@@ -32,24 +32,10 @@ def mix_sql(key: str, slot: int) -> str:
     return f"(({h} * 48271) % {P})"
 
 
-def uniform(key, slot: int, low: int, high: int) -> Column:
-    """Integer in [low, high] inclusive."""
-    return (F.lit(low) + F.pmod(mix(key, slot), F.lit(high - low + 1))).cast("bigint")
-
-
-def uniform_sql(key: str, slot: int, low: int, high: int) -> str:
-    return f"({low} + {mix_sql(key, slot)} % {high - low + 1})"
-
-
 def matrix(c00, c01, c10, c11) -> Column:
     return F.array(F.array(col(c00), col(c01)), F.array(col(c10), col(c11)))
 
 
-def random_matrix(key, first_slot: int, low: int = -9999, high: int = 9999) -> Column:
-    """Uniform 2x2 integer matrix; four consecutive slots."""
-    return matrix(*[uniform(key, first_slot + i, low, high) for i in range(4)])
-
-
 def at(m, r: int, c: int) -> Column:
     return F.get(F.get(col(m), r), c)
 
@@ -85,6 +71,46 @@ def parse_matrix(s, element: str = "bigint") -> Column:
     return F.from_json(col(s), f"array<array<{element}>>")
 
 
+def is_float_text(x: Column) -> Column:
+    """A Python number literal with a point or an exponent."""
+    return x.rlike("[.eE]")
+
+
+def py_float(x: Column) -> Column:
+    """A double as Python prints it (positional below 1e16)."""
+    wide = F.regexp_replace(x.cast("decimal(38,10)").cast("string"), "0+$", "")
+    positional = F.when(wide.endswith("."), F.concat(wide, F.lit("0"))).otherwise(wide)
+    plain = x.cast("string")
+    return F.when(plain.contains("E") & (F.abs(x) >= 1) & (F.abs(x) < 1e16), positional).otherwise(plain)
+
+
+def literal_matrix(s) -> Column:
+    """Matrix text -> its numbers as Python would print them; NULL when not a
+    nested list of numbers."""
+    numbers = F.from_json(col(s), "array<array<string>>")
+    good = F.forall(F.from_json(col(s), "array<array<double>>"), lambda row: row.isNotNull())
+    return F.when(good, F.transform(numbers, lambda row: F.transform(
+        row, lambda x: F.when(is_float_text(x), py_float(x.try_cast("double"))).otherwise(x))))
+
+
+def literal_product(a, b) -> Column:
+    """Ground-truth product of two ``literal_matrix``: a cell is a float when any of its
+    four operands is, else an exact integer."""
+    def cell(r, c):
+        xs = [at(a, r, 0), at(b, 0, c), at(a, r, 1), at(b, 1, c)]
+        f = [x.try_cast("double") for x in xs]
+        i = [x.try_cast("bigint") for x in xs]
+        floating = is_float_text(xs[0]) | is_float_text(xs[1]) | is_float_text(xs[2]) | is_float_text(xs[3])
+        return F.when(floating, py_float(f[0] * f[1] + f[2] * f[3])).otherwise((i[0] * i[1] + i[2] * i[3]).cast("string"))
+    return matrix(cell(0, 0), cell(0, 1), cell(1, 0), cell(1, 1))
+
+
+def literal_repr(m) -> Column:
+    """Python ``str()`` of a ``literal_matrix``."""
+    rows = F.transform(col(m), lambda row: F.concat(F.lit("["), F.array_join(row, ", "), F.lit("]")))
+    return F.concat(F.lit("["), F.array_join(rows, ", "), F.lit("]"))
+
+
 def py_repr(m) -> Column:
     """Python ``str()`` of a nested int list: ``[[1, 2], [3, 4]]``."""
     return F.regexp_replace(F.to_json(col(m)), ",", ", ")

@@ -35,6 +35,12 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body`` (a one-element
+    transform): interpreted lambdas do not share common subexpressions."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 # The same set as plain characters, for trim(): a scan, not a regex.
 WS_TRIM = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
            + "\u2028\u2029\u202f\u205f\u3000")
@@ -88,30 +94,45 @@ def tag_body(c) -> Column:
     return py_strip(F.regexp_extract(col(c), TAG_RE, 1))
 
 
+def tag_block(c) -> Column:
+    """The first tag block with its tags, NULL when there is none."""
+    return F.regexp_substr(col(c), F.lit(TAG_RE))
+
+
+def block_script(content, block, tokens=None) -> Column:
+    """Clean script given the completion and its ``tag_block`` (R2): the block's body
+    or the whole text, special tokens removed, lines stripped, blank lines dropped."""
+    block = col(block)
+    inner = py_strip(block.substr(F.lit(6), F.length(block) - 11))  # between <DSL> and </DSL>
+    return clean_lines(remove_tokens(F.coalesce(inner, col(content)), tokens))
+
+
 def script_from_completion(content, tokens=None) -> Column:
-    """Clean script out of a completion (R2): first tag body or the whole
-    text, special tokens removed, lines stripped, blank lines dropped."""
-    body = F.when(has_tag(content), tag_body(content)).otherwise(col(content))
-    return clean_lines(remove_tokens(body, tokens))
+    """Clean script out of a completion (R2)."""
+    return let(tag_block(content), lambda block: block_script(content, block, tokens))
 
 
 def reply_from_generation(full_text, prompt_text, end_tokens=None) -> Column:
     """Assistant reply out of generated text (R1, T-2, X6, X7).
 
     Prefix cut when the text starts with the prompt; else the text after the
-    line holding the last assistant marker; else the whole text.  Then each
-    end token is cut once if the reply ends with it, in list order.
+    line holding the last assistant marker; else (no marker, or none that ends
+    its line) the whole text.  Then each end token is cut once if the reply ends
+    with it, in list order.
     """
     text, prompt = col(full_text), col(prompt_text)
-    after_marker_re = "(?s)^.*" + "\\Q" + ASSISTANT_MARKER + "\\E" + "[^\\n]*\\n(.*)$"
     cut_prefix = py_strip(text.substr(F.length(prompt) + 1, F.lit(1 << 30)))
-    after_marker = py_strip(F.regexp_extract(text, after_marker_re, 1))
+    after = F.substring_index(text, ASSISTANT_MARKER, -1)  # behind the last marker
+    line_end = F.when(F.instr(text, ASSISTANT_MARKER) > 0, F.instr(after, "\n")).otherwise(0)
     reply = (F.when(text.startswith(prompt), cut_prefix)
-             .when(text.rlike(after_marker_re), after_marker)
+             .when(line_end > 0, py_strip(after.substr(line_end + 1, F.lit(1 << 30))))
              .otherwise(text))
+
+    def without(tok):
+        return lambda r: F.when(r.endswith(F.lit(tok)), py_strip(drop_last(r, len(tok)))).otherwise(r)
+
     for tok in (REPLY_END_TOKENS if end_tokens is None else end_tokens):
-        reply = F.when(reply.endswith(F.lit(tok)),
-                       py_strip(drop_last(reply, len(tok)))).otherwise(reply)
+        reply = let(reply, without(tok))
     return reply
 
 
@@ -133,6 +154,13 @@ def think_answer_format(c) -> Column:
     return col(c).rlike(pattern)
 
 
+def may_change_name(script) -> Column:
+    """False when ``canonical_name`` leaves every name of the script as it is:
+    no lower-case letter, and no white space inside brackets."""
+    s = col(script)
+    return (F.upper(s) != s) | s.rlike(f"\\[[^\\]]*{WS}")
+
+
 def canonical_name(c) -> Column:
     """Upper-case a leading letter, drop blanks inside ``[r,c]``.
     The regexes only run when they can change the name: the first character
@@ -173,6 +201,11 @@ def run_stamp(fmt: str = "yyyyMMdd_HHmmss") -> Column:
     return F.date_format(F.current_timestamp(), fmt)
 
 
+def basic_chat_text(system, user) -> Column:
+    """P9, second format: system text, a user line, an open assistant line."""
+    return F.concat(col(system), F.lit("\nUser: "), col(user), F.lit("\nAssistant:"))
+
+
 def inference_prompt(user, a, b, style: str = "using") -> Column:
     """The evaluation prompt suffix: `` (Using A=.., B=..)`` or
     ``\\nA = ..\\nB = ..`` with matrices rendered like Python lists."""

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrant.functions.text import WS, WS_CHARS, canonical_name, clean_line_array, col, drop_trailing_semicolon, py_strip
+from quadrant.functions.text import WS, WS_CHARS, canonical_name, clean_line_array, col, drop_trailing_semicolon, let, may_change_name, py_strip
 
 # ---- fixed values: the accepted grammar ------------------------------------
 NAME = f"[A-Za-z_][A-Za-z0-9_]*(?:\\[[0-9,{WS_CHARS}]*\\])?"
@@ -67,12 +67,6 @@ TERMS_T = T.ArrayType(TERM_T)
 
 # ---- IR constructors --------------------------------------------------------
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it in ``body`` (a one-element
-    transform): interpreted lambdas do not share common subexpressions."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _atom(s: int, text: Column) -> Column:
     return F.struct(F.lit(s).alias("s"), text.alias("a"))
 
@@ -212,18 +206,22 @@ def _parse_e4(ex: Column) -> Column:
     return F.struct(terms.alias("terms"), err.alias("err"))
 
 
-def parse_line(line_value: Column, pos: Column, dialect: str = "E1") -> Column:
-    """One clean (stripped, non-blank) line -> IR statement struct."""
+def parse_line(line_value: Column, pos: Column, dialect: str = "E1", rename: Column | None = None) -> Column:
+    """One clean (stripped, non-blank) line -> IR statement struct.
+    ``rename`` (dialect E2): whether names may need their canonical form."""
     if dialect not in DIALECTS:
         raise ValueError(f"unknown dialect {dialect!r}")
 
+    def canonical(name):
+        return canonical_name(name) if rename is None else F.when(rename, canonical_name(name)).otherwise(name)
+
     def body(line):
         skip = line == "" if dialect == "E2" else F.lit(False)
         has_eq = F.instr(line, "=") > 0
         target = py_strip(F.substring_index(line, "=", 1))
         ex = py_strip(line.substr(F.instr(line, "=") + 1, F.lit(1 << 30)))
         if dialect == "E2":
-            target = canonical_name(target)
+            target = canonical(target)
         if dialect in ("E1", "E2"):
             parsed = _parse_long(ex, products_in_chain=(dialect == "E2"))
         elif dialect == "E3":
@@ -233,8 +231,8 @@ def parse_line(line_value: Column, pos: Column, dialect: str = "E1") -> Column:
         if dialect == "E2":  # every atom is looked up by its canonical name
             parsed = let(parsed, lambda pr: F.struct(F.transform(pr["terms"], lambda t: F.struct(
                 t["s"].alias("s"),
-                F.transform(t["f1"], lambda a: F.struct(a["s"].alias("s"), canonical_name(a["a"]).alias("a"))).alias("f1"),
-                F.transform(t["f2"], lambda a: F.struct(a["s"].alias("s"), canonical_name(a["a"]).alias("a"))).alias("f2")))
+                F.transform(t["f1"], lambda a: F.struct(a["s"].alias("s"), canonical(a["a"]).alias("a"))).alias("f1"),
+                F.transform(t["f2"], lambda a: F.struct(a["s"].alias("s"), canonical(a["a"]).alias("a"))).alias("f2")))
                 .alias("terms"), pr["err"].alias("err")))
 
         def finish(pr):
@@ -251,7 +249,9 @@ def parse_line(line_value: Column, pos: Column, dialect: str = "E1") -> Column:
 def parse_script(script, dialect: str = "E1", drop_comments: bool = False) -> Column:
     """Script text -> array of IR statements, one per clean line."""
     lines = clean_line_array(col(script), drop_comments)
-    return F.transform(lines, lambda l, i: parse_line(l, i, dialect))
+    if dialect != "E2":
+        return F.transform(lines, lambda l, i: parse_line(l, i, dialect))
+    return let(may_change_name(script), lambda rename: F.transform(lines, lambda l, i: parse_line(l, i, dialect, rename)))
 
 
 # ---- compile: SSA resolution --------------------------------------------------
@@ -409,9 +409,13 @@ def _cells(vals: Column, prog: Column) -> Column:
 
 
 def execute(df: DataFrame, prog: str = "prog", a: str = "A", b: str = "B", expected: str | None = None,
-            out: str = "exec", double_inputs: bool = False) -> DataFrame:
+            out: str = "exec", double_inputs: bool = False, doubles: tuple[str, str, str] | None = None,
+            floating: Column | None = None) -> DataFrame:
     """Run compiled programs on each row's matrices.
 
+    ``doubles`` names double versions of a, b and expected, used for rows where
+    ``floating`` holds (matrices that are no integers) or the script has a decimal literal.
+
     Adds struct ``out``: ``ok, err, eline, result, correct, lane``.
     ``result`` is ``array<array<bigint>>`` (NULL cells where BIGINT overflowed)
     or ``array<array<double>>`` for double inputs; rows whose script has a
@@ -419,7 +423,10 @@ def execute(df: DataFrame, prog: str = "prog", a: str = "A", b: str = "B", expec
     stays exact through overflow: an overflowed cell is compared by its
     residues modulo two primes."""
     p = F.col(prog)
+    da, db, de = doubles or (a, b, expected)
     use_double = F.lit(True) if double_inputs else p["has_float"]
+    if floating is not None:
+        use_double = use_double | floating
     run = p["ok"]
     tmp = {k: f"__{out}_{k}" for k in ("v", "d", "cv", "cd", "m1", "m2")}
     if double_inputs:
@@ -427,7 +434,7 @@ def execute(df: DataFrame, prog: str = "prog", a: str = "A", b: str = "B", expec
         df = df.withColumn(tmp["cd"], _cells(F.col(tmp["d"]), p))
     else:
         df = (df.withColumn(tmp["v"], F.when(run & ~use_double, lane_values(p, a, b, "v")))
-                .withColumn(tmp["d"], F.when(run & use_double, lane_values(p, a, b, "d"))))
+                .withColumn(tmp["d"], F.when(run & use_double, lane_values(p, da, db, "d"))))
         df = (df.withColumn(tmp["cv"], _cells(F.col(tmp["v"]), p))
                 .withColumn(tmp["cd"], _cells(F.col(tmp["d"]), p)))
         overflowed = run & ~use_double & F.exists(F.col(tmp["cv"]), lambda x: x.isNull())
@@ -447,7 +454,8 @@ def execute(df: DataFrame, prog: str = "prog", a: str = "A", b: str = "B", expec
         fields.append(F.when(run & use_double, as_matrix(cd)).alias("result_double"))
     if expected is not None:
         e = F.flatten(F.col(expected))
-        eq_d = F.forall(F.arrays_zip(cd.alias("o"), e.alias("e")), lambda z: z["o"] == z["e"].cast("double"))
+        eq_d = F.forall(F.arrays_zip(cd.alias("o"), F.flatten(F.col(de)).alias("e")),
+                        lambda z: z["o"] == z["e"].cast("double"))
         if double_inputs:
             correct = eq_d
         else:
@@ -514,29 +522,55 @@ COUNTERS = {"stars": count_stars, "pattern": count_by_pattern, "product_lines":
 
 # ---- DataFrame-level helpers ---------------------------------------------------
 
-def compile_distinct(df: DataFrame, script_col: str = "script", dialect: str = "E1",
-                     drop_comments: bool = False, dedupe: bool = True,
-                     per_script: dict | None = None) -> DataFrame:
-    """Attach ``prog`` (compiled script), plus ``per_script`` columns
-    (name -> function of the script column, e.g. a multiplication counter).
-
-    With ``dedupe`` each distinct script is compiled once and joined back on
-    the script text (D1: parse once per distinct script).  The distinct set
-    is a partial-then-final aggregate, so a hot script collapses map-side;
-    AQE picks broadcast or shuffle join from the measured size of the
-    distinct set and splits a hot script's join partition."""
-    per_script = per_script or {}
-    if not dedupe:
-        df = df.withColumn("prog", compile_script(F.col(script_col), dialect, drop_comments))
-        for name, fn in per_script.items():
-            df = df.withColumn(name, fn(F.col(script_col)))
-        return df
-    progs = df.select(F.col(script_col).alias("_s")).where(F.col("_s").isNotNull()).distinct()
-    # AQE packs the (small) distinct set into few partitions; compiling is
-    # CPU-bound, so spread it again before the expensive projection.
-    spark = df.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    progs = progs.repartition(n).withColumn("prog", compile_script(F.col("_s"), dialect, drop_comments))
-    for name, fn in per_script.items():
-        progs = progs.withColumn(name, fn(F.col("_s")))
-    return (df.join(progs, df[script_col].eqNullSafe(progs["_s"]), "left").drop("_s"))
+def compile_shared(df: DataFrame, script: str = "script", dialect: str = "E1", drop_comments: bool = False,
+                   per_script: dict | None = None) -> DataFrame:
+    """Attach ``prog`` (compiled script), plus ``per_script`` columns (name ->
+    function of the script column, e.g. a multiplication counter): D1, parse
+    once per distinct script.
+
+    Rows are grouped by script and by the partition they come from, the script is
+    compiled once for the group, and the rows are exploded again.  So the input is
+    computed once, nothing is joined back, and a script that a third of all
+    rows carry is a group in every partition, each no larger than that partition."""
+    others = [c for c in df.columns if c != script]
+    grouped = df.groupBy(F.col(script).alias("__script"), F.spark_partition_id().alias("__part")).agg(
+        F.collect_list(F.struct(*others)).alias("__rows"))
+    extra = {name: fn(F.col("__script")) for name, fn in (per_script or {}).items()}
+    done = grouped.select(F.col("__script").alias(script), "__rows",
+                          compile_script(F.col("__script"), dialect, drop_comments).alias("prog"),
+                          *[c.alias(name) for name, c in extra.items()])
+    return (done.withColumn("__row", F.explode("__rows"))
+                .select(*[F.col("__row")[c].alias(c) for c in others], script, "prog", *extra))
+
+
+# ---- lint in the row (J5-J7) -----------------------------------------------------
+
+def lint_script(script, dialect: str = "E1") -> Column:
+    """Reads and definitions of a script as one fold over its statements:
+    struct(n_uses, n_undefined, first_undefined_line, n_missing_cells).
+
+    A use is a distinct name read on a line that parses; it is undefined when no
+    earlier line (nor an input) defines it (J5, J6); an output cell is missing
+    when no line defines it (J7)."""
+    init = F.struct(F.array(*[F.lit(n) for n in INPUT_NAMES]).alias("names"), F.lit(0).alias("uses"),
+                    F.lit(0).alias("undefined"), F.lit(None).cast("int").alias("first"))
+
+    def reads(st):
+        atoms = F.flatten(F.transform(st["terms"], lambda t: F.concat(t["f1"], F.coalesce(t["f2"], F.array().cast(ATOMS_T)))))
+        names = F.filter(atoms, lambda a: ~a["a"].rlike(INT_LIT_RE) & ~a["a"].rlike(FLOAT_LIT_RE))
+        return F.array_distinct(F.transform(names, lambda a: a["a"]))
+
+    def step(acc, st):
+        def with_reads(r):
+            return let(F.size(F.array_except(r, acc["names"])), lambda unknown: F.struct(
+                F.array_union(acc["names"], F.array(st["t"])).alias("names"), (acc["uses"] + F.size(r)).alias("uses"),
+                (acc["undefined"] + unknown).alias("undefined"),
+                F.coalesce(acc["first"], F.when(unknown > 0, st["line"])).alias("first")))
+        return F.when(st["err"].isNotNull() | st["skip"], acc).otherwise(let(reads(st), with_reads))
+
+    def finish(acc):
+        missing = F.size(F.array_except(F.array(*[F.lit(n) for n in OUTPUT_NAMES]), acc["names"]))
+        return F.struct(acc["uses"].alias("n_uses"), acc["undefined"].alias("n_undefined"),
+                        acc["first"].alias("first_undefined_line"), missing.alias("n_missing_cells"))
+
+    return F.aggregate(parse_script(script, dialect), init, step, finish)

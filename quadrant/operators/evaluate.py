@@ -4,6 +4,8 @@ chat rendering (P4, P9) and metric-log monitoring (W2, X19)."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,37 +19,47 @@ from quadrant.operators.score import EFFICIENT_MAX_MULTS
 ENTROPY_KEY, KL_KEY, ADVANTAGE_KEY = "entropy", "kl", "advantage"
 ENTROPY_EPS = 1e-8
 # System prompt of the reasoning-format task.
-REASONING_SYSTEM = ("A conversation between User and Assistant. The user asks a question, and the Assistant "
-                    "solves it.")
+REASONING_SYSTEM = (
+    "A conversation between User and Assistant. The user asks a question, and the Assistant solves it. The assistant "
+    "first thinks about the reasoning process in the mind and then provides the user with the answer. The reasoning "
+    "process and answer are enclosed within <think> </think> and <answer> </answer> tags, respectively, i.e., "
+    "<think> reasoning process here </think><answer> answer here </answer>"
+)
 # ---------------------------------------------------------------------------------
 
 
 def verify(df: DataFrame, reply: str, a: str, b: str, dialect: str, counter: str,
-           drop_comments: bool = False, double_inputs: bool = False, expected: str | None = None) -> DataFrame:
+           drop_comments: bool = False, double_inputs: bool = False, expected: str | None = None,
+           failed_values: bool = True) -> DataFrame:
     """Verify a whole reply (no tag extraction): clean lines, sentinel check,
     execute, compare with the true product, count (R7 / R7b / R8).
 
-    Adds: status SUCCESS/FAILED, reason, correct, efficient, multiplications."""
-    df = df.withColumn("_script", tx.clean_lines(reply, drop_comments))
-    if expected is None:
-        df = df.withColumn("_expected", mx.product(a, b))
-        expected = "_expected"
-    sentinel = tx.is_sentinel("_script") if not drop_comments else (F.col("_script") == "")
-    valid = mx.is_2x2(a) & mx.is_2x2(b)
-    df = df.withColumn("_run", F.when(~sentinel & valid, F.col("_script")))
-    df = df.withColumn("prog", dsl.compile_script("_run", dialect))
-    df = dsl.execute(df, "prog", a, b, expected, out="_exec", double_inputs=double_inputs)
+    Adds: status SUCCESS/FAILED, reason, correct, efficient, multiplications, result,
+    expected, script.  Of a FAILED reply the first evaluator reports false / 0
+    (``failed_values``), the second nothing but the reason (NULL)."""
+    df = df.withColumn("script", tx.clean_lines(reply, drop_comments))
+    df = df.withColumn("expected", mx.product(a, b) if expected is None else F.col(expected))
+    sentinel = tx.is_sentinel("script") if not drop_comments else (F.col("script") == "")
+    df = df.withColumn("_sentinel", sentinel).withColumn("_valid", mx.is_2x2(a) & mx.is_2x2(b))
+    df = df.withColumn("_run", F.when(~F.col("_sentinel") & F.col("_valid"), F.col("script")))
+    df = dsl.compile_shared(df, "_run", dialect, per_script={"_n": dsl.COUNTERS[counter]})
+    df = dsl.execute(df, "prog", a, b, "expected", out="_exec", double_inputs=double_inputs)
     ok = F.coalesce(F.col("_exec.ok"), F.lit(False))
-    n = dsl.COUNTERS[counter]("_script")
-    reason = (F.when(sentinel, F.lit("no valid script"))
-              .when(~valid, F.lit("bad matrix"))
+    reason = (F.when(F.col("_sentinel"), F.lit("no valid script"))
+              .when(~F.col("_valid"), F.lit("bad matrix"))
               .when(~ok, F.concat(F.col("_exec.err"), F.coalesce(F.concat(F.lit(" on line "), F.col("_exec.eline").cast("string")), F.lit("")))))
+
+    def found(value: Column, failed) -> Column:
+        return F.when(ok, value).otherwise(F.lit(failed if failed_values else None))
     return (df.withColumn("status", F.when(ok, F.lit("SUCCESS")).otherwise(F.lit("FAILED")))
               .withColumn("reason", reason)
-              .withColumn("correct", ok & F.coalesce(F.col("_exec.correct"), F.lit(False)))
-              .withColumn("multiplications", F.when(ok, n).otherwise(F.lit(0)))
-              .withColumn("efficient", ok & (F.col("multiplications") <= EFFICIENT_MAX_MULTS))
-              .drop("_run", "prog", "_exec"))
+              .withColumn("correct", found(F.coalesce(F.col("_exec.correct"), F.lit(False)), False))
+              .withColumn("multiplications", found(F.col("_n"), 0))
+              .withColumn("efficient", found(F.col("_n") <= EFFICIENT_MAX_MULTS, False))
+              .withColumn("result", F.when(ok, F.col("_exec.result")))
+              .withColumn("expected", F.when(ok, F.col("expected")))
+              .withColumn("script", F.when(ok, F.col("script")))
+              .drop("_run", "_n", "prog", "_exec", "_sentinel", "_valid"))
 
 
 def end_of_run_label(verified: DataFrame) -> DataFrame:
@@ -58,58 +70,56 @@ def end_of_run_label(verified: DataFrame) -> DataFrame:
                                .otherwise(F.lit("suboptimal")))
 
 
+def _rates(counted: DataFrame) -> DataFrame:
+    """Accuracy and efficiency of counted rows; of no tests, 0."""
+    def rate(c):
+        return F.coalesce(F.try_divide(F.col(c), F.col("total_tests")), F.lit(0.0))
+    return (counted.withColumn("accuracy", rate("correct")).withColumn("efficiency_rate", rate("efficient"))
+            .withColumn("accuracy_pct", F.format_string("%.1f%%", F.col("accuracy") * 100))
+            .withColumn("efficiency_pct", F.format_string("%.1f%%", F.col("efficiency_rate") * 100)))
+
+
+def _counts(*extra: Column) -> list[Column]:
+    return [F.count(F.lit(1)).alias("total_tests"), F.count_if(F.col("correct")).alias("correct"),
+            F.count_if(F.col("efficient")).alias("efficient"), *extra]
+
+
 def batch_evaluation(verified: DataFrame, loaded_models: DataFrame) -> DataFrame:
-    """Tests x models over stored replies; models that are
-    not loaded are skipped (left-semi join); per-model counts and rates,
-    zero tests -> rate 0."""
-    v = verified.join(loaded_models, "model", "left_semi")
-    return (v.groupBy("model")
-            .agg(F.count(F.lit(1)).alias("total_tests"),
-                 F.count_if(F.col("correct")).alias("correct"),
-                 F.count_if(F.col("efficient")).alias("efficient"))
-            .withColumn("accuracy", F.coalesce(F.try_divide(F.col("correct"), F.col("total_tests")), F.lit(0.0)))
-            .withColumn("efficiency_rate", F.coalesce(F.try_divide(F.col("efficient"), F.col("total_tests")), F.lit(0.0)))
-            .withColumn("accuracy_pct", F.format_string("%.1f%%", F.col("accuracy") * 100)))
+    """Counts and rates per loaded model over stored replies, models
+    that are not loaded skipped.  Replies are counted first (a row a model is left),
+    and that summary is joined; a loaded model without tests has rate 0."""
+    per_model = verified.groupBy("model").agg(*_counts())
+    found = loaded_models.select("model").distinct().join(per_model, "model", "left")
+    return _rates(found.fillna(0, ["total_tests", "correct", "efficient"]))
+
+
+def overall_evaluation(verified: DataFrame) -> DataFrame:
+    """The one-row summary of an evaluation (also of no replies at all)."""
+    return _rates(verified.agg(*_counts()))
+
+
+# ---- scripts x test cases (J4) --------------------------------------------------------
+
+def script_cases(scripts: DataFrame, cases: list[tuple[list, list]], script: str = "script", dialect: str = "E4",
+                 counter: str = "pattern") -> DataFrame:
+    """Run every script on each of a few given matrix pairs: case_id, ok, correct,
+    multiplications.  The pairs are constants of the plan: no join, and a script is
+    compiled once for all of them."""
+    pair = "array<struct<case_id:bigint,A:array<array<bigint>>,B:array<array<bigint>>>>"
+    given = F.from_json(F.lit(json.dumps([{"case_id": k, "A": a, "B": b} for k, (a, b) in enumerate(cases)])), pair)
+    df = dsl.compile_shared(scripts, script, dialect, per_script={"multiplications": dsl.COUNTERS[counter]})
+    df = df.withColumn("_case", F.explode(given)).select(*df.columns, "_case.*")
+    df = dsl.execute(df.withColumn("_expected", mx.product("A", "B")), "prog", "A", "B", "_expected", out="_exec")
+    return (df.withColumn("ok", F.coalesce(F.col("_exec.ok"), F.lit(False)))
+              .withColumn("correct", F.coalesce(F.col("_exec.correct"), F.lit(False))).drop("_exec", "prog", "_expected"))
 
 
-# ---- lint as set operations (J5, J6, J7) ---------------------------------------------
+# ---- lint (J5, J6, J7) ---------------------------------------------------------------
 
 def lint(df: DataFrame, key_cols: list[str], script: str = "script", dialect: str = "E1") -> DataFrame:
-    """Undefined reads and missing outputs found with joins, not a fold:
-
-    * defs: (key, name, line) for each target, plus the eight inputs at line 0;
-    * uses: (key, name, line) for each name read;
-    * J5 as-of: the defining line of a use is the latest def before it;
-    * J6 undefined: uses with no earlier def (left-anti on the as-of result);
-    * J7 missing: required C cells with no def (left-anti).
-    Returns per key: n_uses, n_undefined, first_undefined_line, n_missing_cells."""
-    keyed = df.select(*key_cols, F.posexplode(dsl.parse_script(script, dialect)).alias("pos", "st"))
-    keyed = keyed.where(F.col("st.err").isNull() & ~F.col("st.skip"))
-    defs = keyed.select(*key_cols, F.col("st.t").alias("name"), F.col("st.line").alias("def_line"))
-    base = df.select(*key_cols, F.explode(F.array(*[F.lit(n) for n in dsl.INPUT_NAMES])).alias("name")) \
-             .withColumn("def_line", F.lit(0))
-    defs = defs.unionByName(base)
-    atoms = keyed.select(*key_cols, F.col("st.line").alias("use_line"),
-                         F.explode(F.flatten(F.transform(F.col("st.terms"), lambda t: F.concat(
-                             t["f1"], F.coalesce(t["f2"], F.array().cast(dsl.ATOMS_T)))))).alias("a"))
-    uses = atoms.where(~F.col("a.a").rlike(dsl.INT_LIT_RE) & ~F.col("a.a").rlike(dsl.FLOAT_LIT_RE)) \
-                .select(*key_cols, "use_line", F.col("a.a").alias("name")).distinct()
-    j = uses.join(defs, key_cols + ["name"], "left").where(
-        F.col("def_line").isNull() | (F.col("def_line") < F.col("use_line")))
-    asof = j.groupBy(*key_cols, "name", "use_line").agg(F.max("def_line").alias("def_line"))
-    undefined = asof.where(F.col("def_line").isNull())
-    per_key_uses = uses.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("n_uses"))
-    per_key_undef = undefined.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("n_undefined"),
-                                                     F.min("use_line").alias("first_undefined_line"))
-    required = df.select(*key_cols, F.explode(F.array(*[F.lit(n) for n in dsl.OUTPUT_NAMES])).alias("name"))
-    missing = required.join(defs.select(*key_cols, "name").distinct(), key_cols + ["name"], "left_anti") \
-                      .groupBy(*key_cols).agg(F.count(F.lit(1)).alias("n_missing_cells"))
-    out = df.select(*key_cols).join(per_key_uses, key_cols, "left").join(per_key_undef, key_cols, "left") \
-            .join(missing, key_cols, "left")
-    return out.select(*key_cols, F.coalesce("n_uses", F.lit(0)).alias("n_uses"),
-                      F.coalesce("n_undefined", F.lit(0)).alias("n_undefined"),
-                      "first_undefined_line",
-                      F.coalesce("n_missing_cells", F.lit(0)).alias("n_missing_cells"))
+    """Per row: n_uses, n_undefined, first_undefined_line, n_missing_cells, from one fold
+    over the row's statements (no join, no shuffle)."""
+    return df.select(*key_cols, dsl.lint_script(script, dialect).alias("found")).select(*key_cols, "found.*")
 
 
 # ---- reasoning-format rewards (R5, R6, X10) ----------------------------------------------
@@ -168,8 +178,8 @@ def chat_text(messages: Column) -> Column:
 
 def first_key_containing(logs: Column, fragment: str) -> Column:
     """Value of the first map entry (insertion order) whose key
-    contains ``fragment``, case-folded."""
-    hits = F.filter(F.map_entries(logs), lambda e: F.instr(F.lower(e["key"]), fragment) > 0)
+    contains ``fragment``, case-folded, and whose value is not NULL."""
+    hits = F.filter(F.map_entries(logs), lambda e: (F.instr(F.lower(e["key"]), fragment) > 0) & e["value"].isNotNull())
     return F.get(hits, 0)["value"]
 
 

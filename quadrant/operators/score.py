@@ -8,6 +8,8 @@ arbitrarily large.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,14 +32,17 @@ STATUSES = ("correct", "incorrect", "failed", "empty", "bad_matrix")
 
 def matrices_from_strings(df: DataFrame, a: str = "A_matrix_str", b: str = "B_matrix_str",
                           c: str = "expected_C_str") -> DataFrame:
-    """Decode the prompt's matrix strings (X14); NULL when unreadable."""
-    return (df.withColumn("A", mx.parse_matrix(a)).withColumn("B", mx.parse_matrix(b))
-              .withColumn("E", mx.parse_matrix(c)))
+    """Decode the prompt's matrix strings (X14): A, B, E as integers (NULL when
+    they are none) and Ad, Bd, Ed as doubles (NULL when unreadable, T6)."""
+    for name, text in (("A", a), ("B", b), ("E", c)):
+        df = df.withColumn(name, mx.parse_matrix(text)).withColumn(f"{name}d", mx.parse_matrix(text, "double"))
+    return df
 
 
 def extract_script(df: DataFrame, content: str = "completion", version: int = 1, tokens=None) -> DataFrame:
-    """R2: tag flag, clean script, tag bonus, empty/sentinel flag."""
-    df = df.withColumn("tagged", tx.has_tag(content)).withColumn("script", tx.script_from_completion(content, tokens))
+    """R2: tag flag, clean script, tag bonus, empty/sentinel flag; the tag pattern runs once a row."""
+    df = df.withColumn("_block", tx.tag_block(content)).withColumn("tagged", F.col("_block").isNotNull())
+    df = df.withColumn("script", tx.block_script(content, "_block", tokens)).drop("_block")
     bonus = F.when(F.col("tagged"), F.lit(TAG_BONUS)).otherwise(F.lit(0.0))
     if version == 2:  # an empty tag body earns no bonus
         bonus = F.when(F.col("script") == "", F.lit(0.0)).otherwise(bonus)
@@ -60,31 +65,36 @@ def reward_expr(status: Column, n: Column, bonus: Column, version: int) -> Colum
             .otherwise(F.lit(WRONG_ANSWER_PENALTY) + bonus))
 
 
-def score(completions: DataFrame, prompts: DataFrame, version: int = 1, dedupe: bool = False,
-          counter: str = "pattern", tokens=None) -> DataFrame:
+def score(completions: DataFrame, prompts: DataFrame, version: int = 1, counter: str = "pattern", tokens=None) -> DataFrame:
     """Score each completion against its prompt (L2: J1 -> R2 -> D -> R3/R4).
 
-    ``completions``: prompt_id, gen_idx, completion.  ``prompts``: prompt_id,
-    A_matrix_str, B_matrix_str, expected_C_str.  Version 1 runs dialect E1,
-    version 2 dialect E2 with the shaping term."""
+    ``completions``: prompt_id, gen_idx, completion, and any columns to carry along;
+    ``prompts``: prompt_id, A_matrix_str, B_matrix_str, expected_C_str.  Version 1
+    runs dialect E1, version 2 dialect E2 with the shaping term.  A completion
+    without a prompt has no readable matrices (status ``bad_matrix``).  The
+    completion's text itself is not carried along; its clean ``script`` is."""
     p = prompts.select("prompt_id", "A_matrix_str", "B_matrix_str", "expected_C_str")
-    df = completions.join(p, "prompt_id")                       # J1 (equi-join on the key)
-    df = matrices_from_strings(df)
-    df = extract_script(df, "completion", version, tokens)
-    readable = F.col("A").isNotNull() & F.col("B").isNotNull() & F.col("E").isNotNull()
-    valid = mx.is_2x2("A") & mx.is_2x2("B")
-    runnable = readable & ~F.col("empty") & valid
-    df = df.withColumn("_run_script", F.when(runnable, F.col("script")))
-    df = dsl.compile_distinct(df, "_run_script", "E1" if version == 1 else "E2", dedupe=dedupe,
-                              per_script={"_n": dsl.COUNTERS[counter]})
+    df = extract_script(completions, "completion", version, tokens).drop("completion")
+    df = df.join(p, "prompt_id", "left")                       # J1 (equi-join on the key)
+    return score_rows(matrices_from_strings(df).drop("A_matrix_str", "B_matrix_str", "expected_C_str"), version, counter)
+
+
+def score_rows(df: DataFrame, version: int, counter: str = "pattern") -> DataFrame:
+    """Run, compare and reward rows that hold a script and its matrices."""
+    readable = F.col("Ad").isNotNull() & F.col("Bd").isNotNull() & F.col("Ed").isNotNull()
+    valid = mx.is_2x2("Ad") & mx.is_2x2("Bd")
+    df = df.withColumn("readable", readable).withColumn("valid", valid)
+    df = df.withColumn("_run_script", F.when(F.col("readable") & ~F.col("empty") & F.col("valid"), F.col("script")))
+    df = dsl.compile_shared(df, "_run_script", "E1" if version == 1 else "E2", per_script={"_n": dsl.COUNTERS[counter]})
     # the count is only read for runnable rows (others score without it)
-    df = df.withColumn("n_mults", F.coalesce(F.col("_n"), F.lit(0))).drop("_n")
-    df = dsl.execute(df, "prog", "A", "B", "E", out="exec")
-    e = F.col("E")
+    df = df.withColumn("n_mults", F.coalesce(F.col("_n"), F.lit(0))).drop("_n", "_run_script")
+    floating = F.col("A").isNull() | F.col("B").isNull() | F.col("E").isNull()
+    df = dsl.execute(df, "prog", "A", "B", "E", out="exec", doubles=("Ad", "Bd", "Ed"), floating=floating)
+    e = F.col("Ed")
     e_shape = (F.size(e) == 2) & (F.size(F.get(e, 0)) == 2) & (F.size(F.get(e, 1)) == 2)
     correct = F.col("exec.correct") & F.coalesce(e_shape, F.lit(False))
-    status = (F.when(~readable, "bad_matrix").when(F.col("empty"), "empty")
-              .when(~valid | ~F.coalesce(F.col("exec.ok"), F.lit(False)), "failed")
+    status = (F.when(~F.col("readable"), "bad_matrix").when(F.col("empty"), "empty")
+              .when(~F.col("valid") | ~F.coalesce(F.col("exec.ok"), F.lit(False)), "failed")
               .when(correct, "correct").otherwise("incorrect"))
     df = df.withColumn("status", status)
     return df.withColumn("reward", reward_expr(F.col("status"), F.col("n_mults"), F.col("tag_bonus"), version)) \
@@ -98,25 +108,45 @@ def status_tally(scored: DataFrame) -> DataFrame:
     return scored.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def with_call(df: DataFrame, prompts_per_call: int = 4) -> DataFrame:
-    """Reward-call ordinal.  A call scores ``prompts_per_call``
-    consecutive prompts with all their generations; derived from the key, so
-    no global ordering pass is needed."""
-    return df.withColumn("call", F.floor(F.col("prompt_id") / prompts_per_call).cast("bigint"))
+def call_ordinals(keys: DataFrame, prompts_per_call: int = 4, key: str = "prompt_id") -> DataFrame:
+    """(key, call): which reward call scores a prompt, the prompts in key order,
+    ``prompts_per_call`` to a call.  Right for any keys, dense or not.
 
+    Ordinals by a two-level count: prompts are dealt into key ranges, numbered
+    inside each range, and the ranges' sizes are accumulated; no task sorts them all."""
+    dealt = materialize(keys.select(key).distinct().repartitionByRange(key).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row a range
+                  .select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
+    return (dealt.withColumn("inside", inside).join(sizes, F.col("part") == F.col("p"))
+                 .select(key, F.floor((F.col("before") + F.col("inside")) / prompts_per_call).cast("bigint").alias("call")))
 
-def batch_means(scored: DataFrame, prompts_per_call: int = 4) -> DataFrame:
-    """A4: mean reward per call."""
-    return (with_call(scored, prompts_per_call).groupBy("call")
-            .agg(F.count(F.lit(1)).alias("n"), F.avg("reward").alias("mean_reward")))
 
+def with_call(df: DataFrame, prompts_per_call: int = 4) -> DataFrame:
+    """The reward-call ordinal of each completion, joined on its prompt."""
+    return df.join(call_ordinals(df, prompts_per_call), "prompt_id")
 
-def full_batches(scored: DataFrame, prompts_per_call: int = 4) -> DataFrame:
-    """Calls holding a full set of prompts (a trailing partial call is
-    what a trainer drops)."""
-    return (with_call(scored, prompts_per_call).groupBy("call")
-            .agg(F.countDistinct("prompt_id").alias("n_prompts"), F.count(F.lit(1)).alias("n_completions"))
-            .withColumn("full", F.col("n_prompts") == prompts_per_call))
+
+def batch_means(scored: DataFrame, prompts_per_call: int = 4) -> DataFrame:
+    """A4: mean reward per call.  Prompts are reduced to sum and count first, so the
+    completions are scored once and never joined."""
+    per_prompt = materialize(scored.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n"), F.sum("reward").alias("total")))
+    return (with_call(per_prompt, prompts_per_call).groupBy("call")
+            .agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean_reward")))
+
+
+def full_batches(completions: DataFrame, prompts_per_call: int = 4, generations: int | None = None) -> DataFrame:
+    """The calls that a trainer runs: those with a full set of prompts (and, if
+    ``generations`` is given, that many completions of each); others are dropped."""
+    per_prompt = materialize(completions.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n")))
+    calls = (with_call(per_prompt, prompts_per_call).groupBy("call")
+             .agg(F.count(F.lit(1)).alias("n_prompts"), F.sum("n").alias("n_completions"),
+                  F.min("n").alias("least"), F.max("n").alias("most")))
+    full = F.col("n_prompts") == prompts_per_call
+    if generations is not None:
+        full = full & (F.col("least") == generations) & (F.col("most") == generations)
+    return calls.filter(full).drop("least", "most")
 
 
 def best_script(scored: DataFrame) -> DataFrame:
@@ -172,36 +202,37 @@ def pass_at_k(scored: DataFrame, ks=(1, 2, 4)) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_prompts"), F.avg("p").alias("pass_at_k")))
 
 
-def running_best(scored: DataFrame, prompts_per_call: int = 4, max_events: int = 100_000,
-                 cut: bool = True) -> DataFrame:
+def improvement_events(correct: DataFrame, key: Column, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row with ``events``: the strict improvements of n_mults in key order, as
+    an array of (key, n_mults, carried columns), the first first.
+
+    The first row that reaches each count is a grouped minimum (one row a count);
+    a fold over these, in key order, keeps those that beat all before."""
+    first = F.min(F.struct(key.alias("key"), "n_mults", *carry))
+    firsts = correct.groupBy("n_mults").agg(first.alias("e")).agg(F.array_sort(F.collect_list("e")).alias("all"))
+    none = F.filter(F.col("all"), lambda e: F.lit(False))
+    return firsts.select(F.aggregate("all", none, lambda kept, e: F.when(
+        (F.size(kept) == 0) | (e["n_mults"] < F.get(kept, F.size(kept) - 1)["n_mults"]),
+        F.concat(kept, F.array(e))).otherwise(kept)).alias("events"))
+
+
+def running_best(scored: DataFrame, prompts_per_call: int = 4, cut: bool = True) -> DataFrame:
     """Best multiplication count among correct completions
     strictly before each row in (call, prompt_id, gen_idx) order, and whether
     the row is a strict improvement.
 
-    No single-task window over all rows: the first row reaching each count is
-    a grouped aggregate (one row per distinct count); improvements are the
-    counts whose first row precedes every smaller count's first row.  That
-    event list is bounded by the number of distinct counts, checked, and
-    becomes a CASE expression over the row key."""
+    No window over all rows: the improvements (at most one a distinct count) are one
+    sorted array, a scalar subquery of the plan, in which each row finds the last event before it."""
     df = with_call(materialize(scored) if cut else scored, prompts_per_call)
     key = F.struct("call", "prompt_id", "gen_idx")
-    firsts = (df.where(F.col("correct")).groupBy("n_mults").agg(F.min(key).alias("first")))
-    w = Window.orderBy("n_mults").rowsBetween(Window.unboundedPreceding, -1)
-    events_df = (firsts.withColumn("earliest_smaller", F.min("first").over(w))
-                 .where(F.col("earliest_smaller").isNull() | (F.col("first") < F.col("earliest_smaller")))
-                 .select("n_mults", "first"))
-    n_events = events_df.limit(max_events + 1).count()
-    if n_events > max_events:
-        raise ValueError(f"{n_events} improvement events exceed the bound {max_events}")
-    events = sorted(events_df.collect(), key=lambda r: (r.first.call, r.first.prompt_id, r.first.gen_idx))
-    best = F.lit(None).cast("int")
-    for ev in events:  # later events override earlier ones
-        t = F.struct(F.lit(ev.first.call).cast("bigint").alias("call"),
-                     F.lit(ev.first.prompt_id).cast("bigint").alias("prompt_id"),
-                     F.lit(ev.first.gen_idx).cast("int").alias("gen_idx"))
-        best = F.when(key > t, F.lit(ev.n_mults)).otherwise(best)
+    if cut:
+        df = materialize(df)
+    events = improvement_events(df.where(F.col("correct")), key).scalar()
+    df = df.withColumn("_events", events)
+    before = F.aggregate("_events", F.lit(None).cast("int"), lambda best, e: F.when(e["key"] < key, e["n_mults"]).otherwise(best))
+    df = df.withColumn("best_before", before).drop("_events")
     is_event = F.col("correct") & (F.col("best_before").isNull() | (F.col("n_mults") < F.col("best_before")))
-    return df.withColumn("best_before", best).withColumn("is_event", F.coalesce(is_event, F.lit(False)))
+    return df.withColumn("is_event", F.coalesce(is_event, F.lit(False)))
 
 
 def reward_sum(df: DataFrame, columns: list[str], out: str = "total_reward") -> DataFrame:
@@ -212,6 +243,11 @@ def reward_sum(df: DataFrame, columns: list[str], out: str = "total_reward") ->
     return df.withColumn(out, total)
 
 
+def with_content(df: DataFrame, messages: str) -> DataFrame:
+    """rows whose (first) message has content; rows are keyed, so nothing shifts."""
+    return df.where(F.get(F.col(messages), 0)["content"].isNotNull())
+
+
 def truncation_mask(df: DataFrame, n_tokens: str, limit: int, col_in: str = "advantage",
                     out: str = "masked_advantage") -> DataFrame:
     """completions that hit the length limit contribute nothing."""
@@ -219,23 +255,44 @@ def truncation_mask(df: DataFrame, n_tokens: str, limit: int, col_in: str = "adv
 
 
 # ---- Q2: reward functions by name ---------------------------------------------------
-# Each entry maps a completions-with-context DataFrame to a reward column;
-# ``apply_rewards`` adds them and their weight-1 sum.
+# A reward takes a completions-with-context DataFrame and the name of its output
+# column, and returns the DataFrame with that column; ``apply_rewards`` adds rewards and
+# their weight-1 sum (A11).  Script rewards read the context column ``prompts`` is joined on.
+
+Reward = Callable[[DataFrame, str], DataFrame]
+
 
-def _format_reward(df: DataFrame) -> Column:
+def _format_reward(df: DataFrame, out: str) -> DataFrame:
     from quadrant.operators.evaluate import format_reward
-    return format_reward("completion")
+    return df.withColumn(out, format_reward("completion"))
 
 
-def _accuracy_reward(df: DataFrame) -> Column:
+def _accuracy_reward(df: DataFrame, out: str) -> DataFrame:
     from quadrant.operators.evaluate import accuracy_reward
-    return accuracy_reward("completion", "solution")
+    return df.withColumn(out, accuracy_reward("completion", "solution"))
+
+
+def script_reward(version: int) -> Reward:
+    """R3 / R4 as a reward: the rows carry the prompt's matrix strings themselves."""
+    def reward(df: DataFrame, out: str) -> DataFrame:
+        held = df.withColumn("_row", F.struct(*df.columns))
+        block = extract_script(held.select("_row", "completion", "A_matrix_str", "B_matrix_str", "expected_C_str"),
+                               "completion", version)
+        done = score_rows(matrices_from_strings(block), version)
+        return done.select("_row.*", F.col("reward").alias(out))
+    return reward
+
+
+REWARD_FUNCTIONS: dict[str, Reward] = {"format": _format_reward, "accuracy": _accuracy_reward,
+                                       "script_v1": script_reward(1), "script_v2": script_reward(2)}
 
 
-REWARD_FUNCTIONS = {"format": _format_reward, "accuracy": _accuracy_reward}
+def register_reward(name: str, reward: Reward) -> None:
+    """A user's reward under a name of their own."""
+    REWARD_FUNCTIONS[name] = reward
 
 
 def apply_rewards(df: DataFrame, names: list[str], out: str = "total_reward") -> DataFrame:
     for n in names:
-        df = df.withColumn(f"reward_{n}", REWARD_FUNCTIONS[n](df))
+        df = REWARD_FUNCTIONS[n](df, f"reward_{n}")
     return reward_sum(df, [f"reward_{n}" for n in names], out)

@@ -36,9 +36,9 @@ def _r(c, n: int = 6):
 
 def prompts_with_raw(spark: SparkSession, sf: str) -> DataFrame:
     """Raw matrix rows in mixed encodings derived from orders (lists, Python
-    text, unreadable text, a one-row matrix, a missing side)."""
+    text, decimals, unreadable text, a one-row matrix, a missing side)."""
     p = tb.prompts(spark, sf)
-    v = F.pmod(mx.mix("prompt_id", 300), F.lit(5))
+    v = F.pmod(mx.mix("prompt_id", 300), F.lit(6))
     one_row = F.array(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint")))
     return p.select(
         "prompt_id",
@@ -46,37 +46,52 @@ def prompts_with_raw(spark: SparkSession, sf: str) -> DataFrame:
         F.when(v == 0, F.col("A")).alias("matrix_A_list"),
         F.when(v == 0, F.col("B")).alias("matrix_B_list"),
         F.when(v == 1, F.col("A_matrix_str")).when(v == 2, F.lit("nope"))
-         .when(v == 3, mx.py_repr(one_row)).alias("A_matrix_str"),
+         .when(v == 3, mx.py_repr(one_row))
+         .when(v == 5, F.regexp_replace("A_matrix_str", r"^\[\[(-?[0-9]+)", "[[$1.50")).alias("A_matrix_str"),
         F.when(v != 0, F.col("B_matrix_str")).alias("B_matrix_str"),
     )
 
 
-def prepare(raw: DataFrame) -> DataFrame:
-    """Raw row -> prompt row, with the matrix fallback chain."""
+def prepare(raw: DataFrame, system: str = tb.SYSTEM_MESSAGE) -> DataFrame:
+    """Raw row -> prompt row, with the matrix fallback chain.  Numbers
+    stay text as Python prints them, so integers are exact and decimals stay decimals."""
     lists_ok = F.col("matrix_A_list").isNotNull() & F.col("matrix_B_list").isNotNull()
 
+    def constant(v):
+        return mx.matrix(*[F.lit(str(v))] * 4)
+
     def from_text(s):
-        return F.when(F.col(s).isNotNull(), F.coalesce(mx.parse_matrix(s), mx.constant_matrix(0)))
+        return F.when(F.col(s).isNotNull(), F.coalesce(mx.literal_matrix(s), constant(0)))
+
+    def from_list(c):
+        return F.col(c).cast("array<array<string>>")
 
-    a = F.when(lists_ok, F.col("matrix_A_list")).otherwise(from_text("A_matrix_str"))
-    b = F.when(lists_ok, F.col("matrix_B_list")).otherwise(from_text("B_matrix_str"))
+    a = F.when(lists_ok, from_list("matrix_A_list")).otherwise(from_text("A_matrix_str"))
+    b = F.when(lists_ok, from_list("matrix_B_list")).otherwise(from_text("B_matrix_str"))
     # (column names are case-insensitive: keep temporaries distinct)
     df = raw.withColumn("_got_a", a).withColumn("_got_b", b)
     both = F.col("_got_a").isNotNull() & F.col("_got_b").isNotNull()
-    df = (df.withColumn("_use_a", F.when(both, F.col("_got_a")).otherwise(mx.constant_matrix(1)))
-            .withColumn("_use_b", F.when(both, F.col("_got_b")).otherwise(mx.constant_matrix(1))))
-    c = F.when(mx.product_ok("_use_a") & mx.product_ok("_use_b"), mx.product("_use_a", "_use_b")).otherwise(
-        mx.constant_matrix(0))
+    df = (df.withColumn("_use_a", F.when(both, F.col("_got_a")).otherwise(constant(1)))
+            .withColumn("_use_b", F.when(both, F.col("_got_b")).otherwise(constant(1))))
+    c = F.when(mx.product_ok("_use_a") & mx.product_ok("_use_b"), mx.literal_product("_use_a", "_use_b")).otherwise(constant(0))
     user = F.coalesce(F.col("user_query"), F.lit(tb.DEFAULT_USER_PROMPT))
     return df.select(
         "prompt_id",
-        ev.chat(F.lit(tb.SYSTEM_MESSAGE), user).alias("prompt"),
-        mx.py_repr("_use_a").alias("A_matrix_str"), mx.py_repr("_use_b").alias("B_matrix_str"),
-        mx.py_repr(c).alias("expected_C_str"))
+        ev.chat(F.lit(system), user).alias("prompt"),
+        mx.literal_repr("_use_a").alias("A_matrix_str"), mx.literal_repr("_use_b").alias("B_matrix_str"),
+        mx.literal_repr(c).alias("expected_C_str"))
+
+
+def scoring_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompts for scoring; some have their first matrix written with decimals."""
+    p = tb.prompts(spark, sf)
+    decimals = F.pmod(mx.mix("prompt_id", 700), F.lit(9)) == 0
+    return p.withColumn("A_matrix_str", F.when(decimals, F.regexp_replace("A_matrix_str", "([0-9]+)", "$1.0"))
+                        .otherwise(F.col("A_matrix_str")))
 
 
 def scored(spark: SparkSession, sf: str, version: int) -> DataFrame:
-    return sc.score(tb.completions(spark, sf), tb.prompts(spark, sf), version=version)
+    return sc.score(tb.completions(spark, sf), scoring_prompts(spark, sf), version=version)
 
 
 def with_scripts(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,18 +101,19 @@ def with_scripts(spark: SparkSession, sf: str) -> DataFrame:
 def metric_log(spark: SparkSession, sf: str) -> DataFrame:
     """Training-log events from ``events``: run by user bucket, step = event
     id, one metric per event type plus a constant learning rate."""
-    e = tb.spread(tb.read_table(spark, sf, "events", ["event_id", "user_id", "event_type", "value"]), "event_id")
+    e = tb.read_table(spark, sf, "events", ["event_id", "user_id", "event_type", "value"])
     key = (F.when(F.col("event_type") == "view", "train/entropy").when(F.col("event_type") == "click", "train/kl")
            .when(F.col("event_type") == "error", "train/advantage_mean")
            .when(F.col("event_type") == "purchase", "train/reward").otherwise("train/loss"))
     return e.select(F.concat(F.lit("run-"), F.pmod(F.col("user_id"), F.lit(4)).cast("string")).alias("run"),
                     F.col("event_id").alias("step"),
-                    F.create_map(key, F.col("value"), F.lit("train/learning_rate"), F.lit(2e-6)).alias("logs"))
+                    F.create_map(F.lit("old/entropy"), F.lit(None).cast("double"), key, F.col("value"),
+                                 F.lit("train/learning_rate"), F.lit(2e-6)).alias("logs"))
 
 
 def reasoning_turns(spark: SparkSession, sf: str) -> DataFrame:
     """Assistant turns wrapped in think/answer variants with a solution."""
-    c = tb.spread(tb.read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"]), "conv_id")
+    c = tb.read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
     c = c.where(F.col("role") == "assistant").withColumn("_k", F.col("conv_id") * 16 + F.col("turn"))
     n = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(10)).cast("string")
     base = F.concat(F.lit("<think>"), F.col("text"), F.lit("</think><answer>"), n, F.lit("</answer>"))
@@ -113,10 +129,17 @@ def reasoning_turns(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", content.alias("content"), solution.alias("solution"))
 
 
+def answered_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Completions joined with the solutions table on their key."""
+    completions = reasoning_turns(spark, sf).select("conv_id", "turn", "content")
+    solutions = reasoning_turns(spark, sf).select("conv_id", "turn", "solution")
+    return completions.join(solutions, ["conv_id", "turn"], "left")
+
+
 # ---- queries ---------------------------------------------------------------------------
 
 def q_x1_clean_text(spark, sf):
-    d = tb.spread(tb.read_table(spark, sf, "documents", ["doc_id", "text"]), "doc_id")
+    d = tb.read_table(spark, sf, "documents", ["doc_id", "text"])
     return d.select("doc_id",
                     F.size(tx.split_lines("text")).cast("bigint").alias("n_lines"),
                     F.size(tx.clean_line_array("text")).cast("bigint").alias("n_clean"),
@@ -135,15 +158,17 @@ def q_f5_tag_extract(spark, sf):
 
 
 def q_r1_reply_extract(spark, sf):
-    c = tb.spread(tb.read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"]), "conv_id")
+    c = tb.read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
     prev = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prev_text"))
-    a = c.where(F.col("role") == "assistant").join(prev, ["conv_id", "turn"])   # previous turn by key
-    prompt = F.concat(F.lit("<|im_start|>user\n"), F.col("prev_text"), F.lit("<|im_end|>\n<|im_start|>assistant\n"))
-    v = F.pmod(mx.mix(F.col("conv_id") * 16 + F.col("turn"), 500), F.lit(4))
+    a = c.where(F.col("role") == "assistant").join(prev, ["conv_id", "turn"], "left")   # previous turn by key
+    marker = F.lit("<|im_start|>assistant")
+    prompt = F.concat(F.lit("<|im_start|>user\n"), F.coalesce("prev_text", F.lit("")), F.lit("<|im_end|>\n"), marker, F.lit("\n"))
+    v = F.pmod(mx.mix(F.col("conv_id") * 16 + F.col("turn"), 500), F.lit(5))
     full = (F.when(v == 0, F.concat(prompt, F.col("text"), F.lit("<|im_end|>")))
             .when(v == 1, F.concat(F.lit("preamble "), prompt, F.col("text"), F.lit("<|endoftext|>")))
             .when(v == 2, F.col("text"))
-            .otherwise(F.concat(prompt, F.col("text"), F.lit("<|im_end|><|endoftext|>"))))
+            .when(v == 3, F.concat(prompt, F.col("text"), F.lit("<|im_end|><|endoftext|>")))
+            .otherwise(F.concat(F.lit("preamble "), prompt, F.col("text"), marker)))  # last marker ends the text
     df = a.withColumn("_prompt", prompt).withColumn("_full", full)
     return df.select("conv_id", "turn", tx.reply_from_generation("_full", "_prompt").alias("reply"))
 
@@ -163,7 +188,7 @@ def q_p1_prepare_prompts(spark, sf):
 
 def q_f4_valid_matrices(spark, sf):
     raw = prompts_with_raw(spark, sf)
-    a = F.coalesce(F.col("matrix_A_list"), mx.parse_matrix("A_matrix_str"))
+    a = F.coalesce(F.col("matrix_A_list").cast("array<array<double>>"), mx.parse_matrix("A_matrix_str", "double"))
     return raw.select("prompt_id", mx.is_2x2(a).alias("a_valid"), mx.product_ok(a).alias("a_product_ok"))
 
 
@@ -174,7 +199,8 @@ def q_r10_parse_matrices(spark, sf):
             .when(v == 1, F.concat(F.lit("A = "), F.col("A_matrix_str"), F.lit("\nB = "), F.col("B_matrix_str"), F.lit(" please")))
             .otherwise(F.concat(F.lit("only "), mx.compact_repr("A"))))
     m = mx.matrices_from_text(text)
-    cells = [(f"{x.lower()}{r}{c}", mx.at(m[x], r, c)) for x in ("A", "B") for r in (0, 1) for c in (0, 1)]
+    default = {x: F.col(x).cast("array<array<double>>") for x in ("A", "B")}  # a random pair: the prompt's own
+    cells = [(f"{x.lower()}{r}{c}", mx.at(F.coalesce(m[x], default[x]), r, c)) for x in ("A", "B") for r in (0, 1) for c in (0, 1)]
     return p.select("prompt_id", m.isNotNull().alias("found"), *[col.alias(n) for n, col in cells])
 
 
@@ -189,7 +215,7 @@ def _execute_query(dialect):
     def q(spark, sf):
         c = with_scripts(spark, sf)
         p = tb.prompts(spark, sf).select("prompt_id", "A", "B", "C")
-        df = c.join(p, "prompt_id").withColumn("prog", dsl.compile_script("script", dialect))
+        df = dsl.compile_shared(c.drop("completion").join(p, "prompt_id"), "script", dialect)
         df = dsl.execute(df, "prog", "A", "B", "C")
         res = F.col("exec.result")
         return df.select("prompt_id", "gen_idx", F.col("exec.ok").alias("ok"), F.col("exec.err").alias("err"),
@@ -241,14 +267,17 @@ def q_w1_running_best(spark, sf):
 
 
 def q_w5_full_batches(spark, sf):
-    b = sc.full_batches(scored(spark, sf, 1), PROMPTS_PER_CALL)
+    """On keys with gaps: ordinals come from ranks, not from the keys' values."""
+    li = tb.read_table(spark, sf, "lineitem", ["l_orderkey"])
+    gapped = li.select((F.col("l_orderkey") * 5 + F.col("l_orderkey") % 3).alias("prompt_id"))
+    b = sc.full_batches(gapped, PROMPTS_PER_CALL)
     return b.select("call", F.col("n_prompts").cast("bigint").alias("n_prompts"),
-                    F.col("n_completions").cast("bigint").alias("n_completions"), "full")
+                    F.col("n_completions").cast("bigint").alias("n_completions"))
 
 
 def q_a11_reward_sum(spark, sf):
-    s = scored(spark, sf, 2).withColumn("format", ev.format_reward("completion"))
-    s = sc.reward_sum(s, ["reward", "format"])
+    c = tb.completions(spark, sf).withColumn("format", ev.format_reward("completion"))
+    s = sc.reward_sum(sc.score(c, scoring_prompts(spark, sf), 2), ["reward", "format"])
     return s.select("prompt_id", "gen_idx", _r(F.col("total_reward")).alias("total_reward"))
 
 
@@ -270,13 +299,29 @@ def q_j6_lint(spark, sf):
 def _verify_v1(spark, sf, counter):
     c = tb.completions(spark, sf)
     p = tb.prompts(spark, sf).select("prompt_id", "A", "B", "C")
-    return ev.verify(c.join(p, "prompt_id"), "completion", "A", "B", "E1", counter, expected="C")
+    v = ev.verify(c.join(p, "prompt_id").withColumnRenamed("completion", "reply"), "reply", "A", "B", "E1", counter, expected="C")
+    return v.drop("reply")
+
+
+def _record(v: DataFrame) -> list:
+    """The verification record's matrices, a column a cell."""
+    return [mx.at(m, r, c).alias(f"{m[0]}{r}{c}") for r in (0, 1) for c in (0, 1) for m in ("result", "expected")]
 
 
 def q_r7_verify_v1(spark, sf):
     v = _verify_v1(spark, sf, "pattern")
     return v.select("prompt_id", "gen_idx", "status", "correct", "efficient",
-                    F.col("multiplications").cast("bigint").alias("multiplications"))
+                    F.col("multiplications").cast("bigint").alias("multiplications"), "script", *_record(v))
+
+
+def _summary(s: DataFrame, *keys: str) -> DataFrame:
+    return s.select(*keys, *[F.col(c).cast("bigint").alias(c) for c in ("total_tests", "correct", "efficient")],
+                    _r(F.col("accuracy")).alias("accuracy"), _r(F.col("efficiency_rate")).alias("efficiency_rate"),
+                    "accuracy_pct", "efficiency_pct")
+
+
+def q_r7_summary(spark, sf):
+    return _summary(ev.overall_evaluation(_verify_v1(spark, sf, "pattern")))
 
 
 def q_r7b_verify_end(spark, sf):
@@ -286,26 +331,68 @@ def q_r7b_verify_end(spark, sf):
 
 def verified_responses(spark, sf):
     r = tb.responses(spark, sf)
-    return ev.verify(r, "response", "A", "B", "E3", "stars", drop_comments=True, double_inputs=True)
+    return ev.verify(r, "response", "A", "B", "E3", "stars", drop_comments=True, double_inputs=True,
+                     failed_values=False)
 
 
 def q_r8_verify_v2(spark, sf):
     v = verified_responses(spark, sf)
     return v.select("test_id", "attempt", "model", "status", "reason", "correct", "efficient",
-                    F.col("multiplications").cast("bigint").alias("multiplications"))
+                    F.col("multiplications").cast("bigint").alias("multiplications"), "script", *_record(v))
 
 
 def loaded_models(spark, sf):
+    """Most brands, and a model that no reply is stored of."""
     part = tb.read_table(spark, sf, "part", ["p_brand"])
-    return part.where(~F.col("p_brand").endswith("5")).select(F.col("p_brand").alias("model")).distinct()
+    brands = part.where(~F.col("p_brand").endswith("5")).select(F.col("p_brand").alias("model")).distinct()
+    return brands.union(spark.createDataFrame([("untested",)], "model string"))
 
 
 def q_r9_batch_eval(spark, sf):
-    s = ev.batch_evaluation(verified_responses(spark, sf), loaded_models(spark, sf))
-    return s.select("model", F.col("total_tests").cast("bigint").alias("total_tests"),
-                    F.col("correct").cast("bigint").alias("correct"), F.col("efficient").cast("bigint").alias("efficient"),
-                    _r(F.col("accuracy")).alias("accuracy"), _r(F.col("efficiency_rate")).alias("efficiency_rate"),
-                    "accuracy_pct")
+    return _summary(ev.batch_evaluation(verified_responses(spark, sf), loaded_models(spark, sf)), "model")
+
+
+def q_r9_overall(spark, sf):
+    return _summary(ev.overall_evaluation(verified_responses(spark, sf)))
+
+
+# The matrix pairs that a script is tried on.
+SCRIPT_CASES = [([[1, 2], [3, 4]], [[5, 6], [7, 8]]), ([[2, 1], [1, 2]], [[3, 1], [2, 3]]), ([[1, 0], [0, 1]], [[5, 6], [7, 8]])]
+
+
+def q_j4_script_cases(spark, sf):
+    t = ev.script_cases(with_scripts(spark, sf).drop("completion"), SCRIPT_CASES)
+    return t.select("prompt_id", "gen_idx", "case_id", "ok", "correct", F.col("multiplications").cast("bigint").alias("multiplications"))
+
+
+def q_p8_inference_prompt(spark, sf):
+    p = tb.prompts(spark, sf)
+    return p.select("prompt_id", tx.inference_prompt("user_query", "A", "B").alias("using_prompt"),
+                    tx.inference_prompt("user_query", "A", "B", "lines").alias("lines_prompt"))
+
+
+MASK_LIMIT = 40  # words of a completion at which it counts as cut off
+
+
+def q_p11_normalize(spark, sf):
+    """P11 on message lists of one or two, F10 (messages without content are left out, the others
+    keep their keys) and F11 (long completions are masked)."""
+    c = tb.read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
+    v = F.pmod(mx.mix(F.col("conv_id") * 16 + F.col("turn"), 800), F.lit(4))
+    message = F.struct("role", F.when(v < 2, F.col("text")).alias("content"))
+    after = F.struct(F.lit("user").alias("role"), F.lit("next").alias("content"))
+    c = c.withColumn("raw", F.when(v == 1, F.array(message, after)).otherwise(F.array(message)))
+    c = sc.with_content(tx.normalize_completion(c, "raw"), "raw")
+    c = c.withColumn("n_tokens", F.size(F.split("text", " ", -1))).withColumn("advantage", F.lit(1.0))
+    c = sc.truncation_mask(c, "n_tokens", MASK_LIMIT)
+    return c.select("conv_id", "turn", "completion", (F.col("n_tokens") >= MASK_LIMIT).alias("truncated"),
+                    F.col("masked_advantage").alias("masked"))
+
+
+def q_u1_remove_tokens(spark, sf):
+    tokens = tx.token_list(["<|im_end|>", None, "", "<DSL>"])  # a tokenizer's own, with repeats
+    c = tb.completions(spark, sf)
+    return c.select("prompt_id", "gen_idx", F.length(tx.remove_tokens("completion", tokens)).cast("bigint").alias("n_chars"))
 
 
 def q_w2_entropy_ratio(spark, sf):
@@ -320,17 +407,19 @@ def q_r5_format_reward(spark, sf):
 
 
 def q_r6_answer_reward(spark, sf):
-    t = reasoning_turns(spark, sf)
+    t = answered_turns(spark, sf)
     return t.select("conv_id", "turn", tx.answer_body("content").alias("answer"),
                     ev.accuracy_reward("content", "solution").alias("accuracy_reward"))
 
 
 def q_p9_chat_text(spark, sf):
-    c = tb.spread(tb.read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"]), "conv_id")
-    system = c.where(F.col("role") == "system").select("conv_id", F.col("text").alias("system_text"))
+    c = tb.read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
+    system = (c.where(F.col("role") == "system").groupBy("conv_id")  # the first system turn of a conversation
+              .agg(F.min_by("text", "turn").alias("system_text")))
     users = c.where(F.col("role") == "user").join(system, "conv_id", "left")   # equi-join, not a collect
-    msgs = ev.chat(F.coalesce(F.col("system_text"), F.lit(ev.REASONING_SYSTEM)), F.col("text"))
-    return users.select("conv_id", "turn", ev.chat_text(msgs).alias("chat"))
+    system_text = F.coalesce(F.col("system_text"), F.lit(ev.REASONING_SYSTEM))
+    return users.select("conv_id", "turn", ev.chat_text(ev.chat(system_text, F.col("text"))).alias("chat"),
+                        tx.basic_chat_text(system_text, "text").alias("basic"))
 
 
 def q_g6_program_corpus(spark, sf):
@@ -374,5 +463,11 @@ def queries() -> dict[str, Query]:
         "r6_answer_reward": q_r6_answer_reward,
         "p9_chat_text": q_p9_chat_text,
         "g6_program_corpus": q_g6_program_corpus,
+        "j4_script_cases": q_j4_script_cases,
+        "r7_summary": q_r7_summary,
+        "r9_overall": q_r9_overall,
+        "p8_inference_prompt": q_p8_inference_prompt,
+        "p11_normalize": q_p11_normalize,
+        "u1_remove_tokens": q_u1_remove_tokens,
     }
     return q

@@ -7,6 +7,8 @@ in DuckDB SQL (:mod:`quadrant.plans.duck`)."""
 
 from __future__ import annotations
 
+import json
+
 from quadrant.operators import evaluate as ev
 from quadrant.operators import score as sc
 from quadrant.plans import catalog as cat
@@ -75,9 +77,8 @@ def scored_ctes(version: int) -> str:
     bonus = "CASE WHEN tagged THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END"
     if version == 2:
         bonus = f"CASE WHEN script = '' THEN 0.0::DOUBLE ELSE {bonus} END"
-    stages = [("prog", f"CASE WHEN run_script IS NOT NULL THEN {Q.compile_program(Q.parse_script('run_script', dialect))} END")]
-    stages += Q.execute_cols("prog", "A", "B", "E")
-    execd = nest_stages("q_s2", stages)
+    stages = Q.execute_cols("prog", "A", "B", "E", doubles=("Ad", "Bd", "Ed"), floating="(A IS NULL OR B IS NULL OR E IS NULL)")
+    execd = nest_stages("q_s2b", stages)
     n = "CAST(n_mults AS DOUBLE)"
     if version == 1:
         right, wrong = f"{n} * -1.0::DOUBLE + tag_bonus", "-100.0::DOUBLE + tag_bonus"
@@ -85,18 +86,21 @@ def scored_ctes(version: int) -> str:
         shaping = f"(-0.1::DOUBLE * {n})"
         right = f"({n} * -1.0::DOUBLE + {shaping}) + tag_bonus"
         wrong = f"(-100.0::DOUBLE + ({n} * -1.0::DOUBLE + {shaping})) + tag_bonus"
-    e_shape = "coalesce(len(E) = 2 AND len(E[1]) = 2 AND len(E[2]) = 2, false)"
+    e_shape = "coalesce(len(Ed) = 2 AND len(Ed[1]) = 2 AND len(Ed[2]) = 2, false)"
+    a_str = f"CASE WHEN {mix('prompt_id', 700)} % 9 = 0 THEN regexp_replace(A_matrix_str, '([0-9]+)', '\\1.0', 'g') ELSE A_matrix_str END"
+    decoded = ", ".join(f"CASE WHEN NOT contains({t}, '.') THEN TRY_CAST({t} AS BIGINT[][]) END AS {m}, TRY_CAST({t} AS DOUBLE[][]) AS {m}d"
+                        for m, t in (("A", "a_str"), ("B", "B_matrix_str"), ("E", "expected_C_str")))
     return f"""{prompts_cte()},
 {completions_cte()},
-q_s0 AS (SELECT c.prompt_id, c.gen_idx, c.completion,
-   TRY_CAST(p.A_matrix_str AS BIGINT[][]) AS A, TRY_CAST(p.B_matrix_str AS BIGINT[][]) AS B,
-   TRY_CAST(p.expected_C_str AS BIGINT[][]) AS E
-   FROM q_completions c JOIN q_prompts p USING (prompt_id)),
+q_s0 AS (SELECT c.prompt_id, c.gen_idx, c.completion, {decoded}
+   FROM q_completions c LEFT JOIN (SELECT *, {a_str} AS a_str FROM q_prompts) p USING (prompt_id)),
 q_s1 AS (SELECT *, {Q.rx('completion', Q.TAG_RE)} AS tagged, {Q.script_from_completion('completion')} AS script FROM q_s0),
 q_s1b AS (SELECT *, {bonus} AS tag_bonus, {Q.is_sentinel('script')} AS empty,
-   (A IS NOT NULL AND B IS NOT NULL AND E IS NOT NULL) AS readable, ({valid_2x2('A')} AND {valid_2x2('B')}) AS valid FROM q_s1),
-q_s2 AS (SELECT *, CASE WHEN readable AND NOT empty AND valid THEN script END AS run_script FROM q_s1b),
-q_s3 AS MATERIALIZED (SELECT *, coalesce(CASE WHEN run_script IS NOT NULL THEN {Q.count_by_pattern('run_script')} END, 0) AS n_mults,
+   (Ad IS NOT NULL AND Bd IS NOT NULL AND Ed IS NOT NULL) AS readable, ({valid_2x2('Ad')} AND {valid_2x2('Bd')}) AS valid FROM q_s1),
+q_s2 AS MATERIALIZED (SELECT *, CASE WHEN readable AND NOT empty AND valid THEN script END AS run_script FROM q_s1b),
+{Q.compiled('q_s2', 'run_script', dialect, {'n': Q.count_by_pattern('d.script')})},
+q_s2b AS MATERIALIZED (SELECT x.*, g.prog, coalesce(g.n, 0) AS n_mults FROM q_s2 x LEFT JOIN q_progs g ON x.run_script = g.script),
+q_s3 AS MATERIALIZED (SELECT *,
    CASE WHEN NOT readable THEN 'bad_matrix' WHEN empty THEN 'empty'
         WHEN NOT valid OR NOT coalesce(exec_ok, false) THEN 'failed'
         WHEN exec_correct AND {e_shape} THEN 'correct' ELSE 'incorrect' END AS status
@@ -131,18 +135,22 @@ def o_f5_tag_extract() -> str:
 
 
 def o_r1_reply_extract() -> str:
-    marker_re = "(?s)^.*\\Q<|im_start|>assistant\\E[^\\n]*\\n(.*)$"
-    prompt = "('<|im_start|>user' || chr(10) || p.text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10))"
-    v = f"({mix('a.conv_id * 16 + a.turn', 500)} % 4)"
+    mark = "'<|im_start|>assistant'"
+    prompt = f"('<|im_start|>user' || chr(10) || coalesce(p.text, '') || '<|im_end|>' || chr(10) || {mark} || chr(10))"
+    v = f"({mix('a.conv_id * 16 + a.turn', 500)} % 5)"
     full = (f"CASE WHEN {v} = 0 THEN {prompt} || a.text || '<|im_end|>' "
             f"WHEN {v} = 1 THEN 'preamble ' || {prompt} || a.text || '<|endoftext|>' "
-            f"WHEN {v} = 2 THEN a.text ELSE {prompt} || a.text || '<|im_end|><|endoftext|>' END")
+            f"WHEN {v} = 2 THEN a.text WHEN {v} = 3 THEN {prompt} || a.text || '<|im_end|><|endoftext|>' "
+            f"ELSE 'preamble ' || {prompt} || a.text || {mark} END")
+    # the text behind the last marker: what is left when cut at every marker
+    last = f"string_split(_full, {mark})[-1]"
     reply = (f"CASE WHEN starts_with(_full, _prompt) THEN {Q.strip('substring(_full, length(_prompt) + 1)')} "
-             f"WHEN {Q.rx('_full', marker_re)} THEN {Q.strip(f'regexp_extract(_full, {Q.q(marker_re)}, 1)')} ELSE _full END")
+             f"WHEN contains(_full, {mark}) AND contains({last}, chr(10)) "
+             f"THEN {Q.strip(f'substring({last}, instr({last}, chr(10)) + 1)')} ELSE _full END")
     cut1 = f"CASE WHEN ends_with(r0, '<|im_end|>') THEN {Q.strip('left(r0, length(r0) - 10)')} ELSE r0 END"
     cut2 = f"CASE WHEN ends_with(r1, '<|endoftext|>') THEN {Q.strip('left(r1, length(r1) - 13)')} ELSE r1 END"
     return f"""WITH x AS (SELECT a.conv_id, a.turn, {prompt} AS _prompt, {full} AS _full
-  FROM conversations a JOIN conversations p ON p.conv_id = a.conv_id AND p.turn + 1 = a.turn WHERE a.role = 'assistant'),
+  FROM conversations a LEFT JOIN conversations p ON p.conv_id = a.conv_id AND p.turn + 1 = a.turn WHERE a.role = 'assistant'),
 y AS (SELECT conv_id, turn, {reply} AS r0 FROM x),
 z AS (SELECT conv_id, turn, {cut1} AS r1 FROM y)
 SELECT conv_id, turn, {cut2} AS reply FROM z"""
@@ -153,34 +161,53 @@ def o_g1_matrix_pairs() -> str:
 
 
 def raw_cte() -> str:
-    v = f"({mix('prompt_id', 300)} % 5)"
+    v = f"({mix('prompt_id', 300)} % 6)"
     return f"""q_raw AS (SELECT prompt_id,
   CASE WHEN {v} <> 4 THEN user_query END AS user_query,
   CASE WHEN {v} = 0 THEN A END AS matrix_A_list, CASE WHEN {v} = 0 THEN B END AS matrix_B_list,
-  CASE WHEN {v} = 1 THEN A_matrix_str WHEN {v} = 2 THEN 'nope' WHEN {v} = 3 THEN '[[1, 2]]' END AS A_matrix_str,
+  CASE WHEN {v} = 1 THEN A_matrix_str WHEN {v} = 2 THEN 'nope' WHEN {v} = 3 THEN '[[1, 2]]'
+       WHEN {v} = 5 THEN regexp_replace(A_matrix_str, '^\\[\\[(-?[0-9]+)', '[[\\1.50') END AS A_matrix_str,
   CASE WHEN {v} <> 0 THEN B_matrix_str END AS B_matrix_str FROM q_prompts)"""
 
 
 def o_p1_prepare_prompts() -> str:
-    zeros, ones = "[[0, 0], [0, 0]]::BIGINT[][]", "[[1, 1], [1, 1]]::BIGINT[][]"
+    """Cells stay text here, as a Python literal would print."""
     lists_ok = "(matrix_A_list IS NOT NULL AND matrix_B_list IS NOT NULL)"
 
+    def cells(x):
+        row, c = Q.var(), Q.var()
+        return (f"list_transform({x}, lambda {row}: list_transform({row}, lambda {c}: "
+                f"CASE WHEN contains({c}, '.') THEN CAST(CAST({c} AS DOUBLE) AS VARCHAR) ELSE {c} END))")
+
     def from_text(s):
-        return f"CASE WHEN {s} IS NOT NULL THEN coalesce(TRY_CAST({s} AS BIGINT[][]), {zeros}) END"
+        return (f"CASE WHEN {s} IS NOT NULL THEN CASE WHEN TRY_CAST({s} AS DOUBLE[][]) IS NULL THEN [['0','0'],['0','0']] "
+                f"ELSE {cells(f'CAST({s} AS VARCHAR[][])')} END END")
+
+    def cell(r, c):
+        xs = [f"_A[{r}][1]", f"_B[1][{c}]", f"_A[{r}][2]", f"_B[2][{c}]"]
+        f = [f"CAST({x} AS DOUBLE)" for x in xs]
+        i = [f"TRY_CAST({x} AS BIGINT)" for x in xs]
+        return (f"CASE WHEN {' OR '.join(f'contains({x}, chr(46))' for x in xs)} THEN CAST({f[0]} * {f[1]} + {f[2]} * {f[3]} AS VARCHAR) "
+                f"ELSE CAST({i[0]} * {i[1]} + {i[2]} * {i[3]} AS VARCHAR) END")
+
+    def shown(m):
+        row = Q.var()
+        return f"'[' || array_to_string(list_transform({m}, lambda {row}: '[' || array_to_string({row}, ', ') || ']'), ', ') || ']'"
+    ones, zeros = "[['1','1'],['1','1']]", "[['0','0'],['0','0']]"
     return with_(f"{prompts_cte()},\n{raw_cte()}", f"""a AS (SELECT prompt_id, user_query,
-  CASE WHEN {lists_ok} THEN matrix_A_list ELSE {from_text('A_matrix_str')} END AS _a,
-  CASE WHEN {lists_ok} THEN matrix_B_list ELSE {from_text('B_matrix_str')} END AS _b FROM q_raw),
+  CASE WHEN {lists_ok} THEN CAST(matrix_A_list AS VARCHAR[][]) ELSE {from_text('A_matrix_str')} END AS _a,
+  CASE WHEN {lists_ok} THEN CAST(matrix_B_list AS VARCHAR[][]) ELSE {from_text('B_matrix_str')} END AS _b FROM q_raw),
 b AS (SELECT prompt_id, user_query,
   CASE WHEN _a IS NOT NULL AND _b IS NOT NULL THEN _a ELSE {ones} END AS _A,
   CASE WHEN _a IS NOT NULL AND _b IS NOT NULL THEN _b ELSE {ones} END AS _B FROM a),
-c AS (SELECT *, CASE WHEN {product_ok('_A')} AND {product_ok('_B')} THEN {product('_A', '_B')} ELSE {zeros} END AS _C,
+c AS (SELECT *, CASE WHEN {product_ok('_A')} AND {product_ok('_B')} THEN [[{cell(1, 1)}, {cell(1, 2)}], [{cell(2, 1)}, {cell(2, 2)}]] ELSE {zeros} END AS _C,
   coalesce(user_query, {Q.q(tb.DEFAULT_USER_PROMPT)}) AS user_content FROM b)
-SELECT prompt_id, {pyrepr('_A')} AS A_matrix_str, {pyrepr('_B')} AS B_matrix_str, {pyrepr('_C')} AS expected_C_str,
-  user_content, CAST(length({Q.q(tb.SYSTEM_MESSAGE)}) + length(user_content) AS BIGINT) AS prompt_chars FROM c""")
+SELECT prompt_id, {shown('_A')} AS A_matrix_str, {shown('_B')} AS B_matrix_str, {shown('_C')} AS expected_C_str,
+  user_content, CAST(length({Q.q(tb.SYSTEM_MESSAGE)}) + length(user_content) AS BIGINT) AS prompt_chars FROM c"""  )
 
 
 def o_f4_valid_matrices() -> str:
-    a = "coalesce(matrix_A_list, TRY_CAST(A_matrix_str AS BIGINT[][]))"
+    a = "coalesce(CAST(matrix_A_list AS DOUBLE[][]), TRY_CAST(A_matrix_str AS DOUBLE[][]))"
     return with_(f"{prompts_cte()},\n{raw_cte()}",
                  f"SELECT prompt_id, {valid_2x2(a)} AS a_valid, {product_ok(a)} AS a_product_ok FROM q_raw")
 
@@ -196,9 +223,10 @@ def o_r10_parse_matrices() -> str:
     for mi, m in enumerate(("a", "b")):
         for k, rc in enumerate(("00", "01", "10", "11")):
             nums = f"regexp_extract_all(f[{mi + 1}], '-?\\d+(?:\\.\\d+)?')"
-            cols.append(f"CASE WHEN len(f) >= 2 THEN CAST({nums}[{k + 1}] AS DOUBLE) END AS {m}{rc}")
-    return with_(prompts_cte(), f"""x AS (SELECT prompt_id, {text} AS t FROM q_prompts),
-y AS (SELECT prompt_id, {found} AS f FROM x)
+            default = f"CAST({'AB'[mi]}[{int(rc[0]) + 1}][{int(rc[1]) + 1}] AS DOUBLE)"
+            cols.append(f"CASE WHEN len(f) >= 2 THEN CAST({nums}[{k + 1}] AS DOUBLE) ELSE {default} END AS {m}{rc}")
+    return with_(prompts_cte(), f"""x AS (SELECT prompt_id, A, B, {text} AS t FROM q_prompts),
+y AS (SELECT prompt_id, A, B, {found} AS f FROM x)
 SELECT prompt_id, len(f) >= 2 AS found, {', '.join(cols)} FROM y""")
 
 
@@ -211,17 +239,26 @@ def counter_oracle(counter: str):
 
 def execute_oracle(dialect: str):
     def o():
-        stages = [("prog", Q.compile_program(Q.parse_script("script", dialect)))] + Q.execute_cols("prog", "A", "B", "C")
-        body = nest_stages("(SELECT s.prompt_id, s.gen_idx, s.script, p.A, p.B, p.C FROM q_scripts s JOIN q_prompts p USING (prompt_id))",
-                           stages)
+        body = nest_stages("(SELECT s.prompt_id, s.gen_idx, g.prog, p.A, p.B, p.C FROM q_scripts s JOIN q_prompts p USING (prompt_id) "
+                           "JOIN q_progs g ON s.script = g.script)", Q.execute_cols("prog", "A", "B", "C"))
         cells = ", ".join(f"CASE WHEN prog.ok AND NOT prog.has_float THEN __cv[{k + 1}] END AS c{rc}"
                           for k, rc in enumerate(("00", "01", "10", "11")))
-        return with_(f"{prompts_cte()},\n{completions_cte()},\n{scripts_cte()}",
+        return with_(f"{prompts_cte()},\n{completions_cte()},\n{scripts_cte()},\n{Q.compiled('q_scripts', 'script', dialect)}",
                      f"SELECT prompt_id, gen_idx, prog.ok AS ok, prog.err AS err, prog.eline AS eline, {cells}, "
                      f"exec_correct AS correct FROM {body}")
     return o
 
 
+def o_j4_script_cases() -> str:
+    cases = ", ".join(f"({k}, {json.dumps(a)}::BIGINT[][], {json.dumps(b)}::BIGINT[][])" for k, (a, b) in enumerate(cat.SCRIPT_CASES))
+    body = nest_stages(f"(SELECT g.script, g.prog, c.k, c.A, c.B, {product('c.A', 'c.B')} AS C FROM q_progs g, (VALUES {cases}) c(k, A, B))",
+                       Q.execute_cols("prog", "A", "B", "C"))
+    return with_(f"{completions_cte()},\n{scripts_cte()},\n{Q.compiled('q_scripts', 'script', 'E4')}",
+                 f"""t AS MATERIALIZED (SELECT script, k, prog.ok AS ok, exec_correct AS correct FROM {body})
+SELECT s.prompt_id, s.gen_idx, CAST(t.k AS BIGINT) AS case_id, coalesce(t.ok, false) AS ok, coalesce(t.correct, false) AS correct,
+  CAST({Q.count_by_pattern('s.script')} AS BIGINT) AS multiplications FROM q_scripts s JOIN t ON s.script = t.script""")
+
+
 def reward_oracle(version: int):
     def o():
         return with_(scored_ctes(version), f"SELECT prompt_id, gen_idx, status, CAST(n_mults AS BIGINT) AS n_mults, "
@@ -233,9 +270,12 @@ def o_a14_status_tally() -> str:
     return with_(scored_ctes(1), "SELECT status, count(*) AS n FROM q_scored GROUP BY status")
 
 
+CALL = f"CAST((dense_rank() OVER (ORDER BY prompt_id) - 1) // {cat.PROMPTS_PER_CALL} AS BIGINT)"
+
+
 def o_a4_batch_mean() -> str:
-    return with_(scored_ctes(1), f"SELECT CAST(floor(prompt_id / {cat.PROMPTS_PER_CALL}) AS BIGINT) AS call, "
-                                 f"count(*) AS n, {r6('avg(reward)')} AS mean_reward FROM q_scored GROUP BY 1")
+    return with_(scored_ctes(1), f"SELECT call, count(*) AS n, {r6('avg(reward)')} AS mean_reward "
+                                 f"FROM (SELECT {CALL} AS call, reward FROM q_scored) GROUP BY call")
 
 
 def o_a5_best_script() -> str:
@@ -265,7 +305,7 @@ SELECT k, count(*) AS n_prompts, {r6('avg(p)', 9)} AS pass_at_k FROM l WHERE p I
 
 
 def o_w1_running_best() -> str:
-    return with_(scored_ctes(2), f"""w AS (SELECT prompt_id, gen_idx, CAST(floor(prompt_id / {cat.PROMPTS_PER_CALL}) AS BIGINT) AS call,
+    return with_(scored_ctes(2), f"""w AS (SELECT prompt_id, gen_idx, {CALL} AS call,
   n_mults, correct FROM q_scored),
 x AS (SELECT *, min(CASE WHEN correct THEN n_mults END) OVER (ORDER BY call, prompt_id, gen_idx
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM w)
@@ -274,9 +314,9 @@ SELECT prompt_id, gen_idx, call, CAST(best_before AS BIGINT) AS best_before,
 
 
 def o_w5_full_batches() -> str:
-    return with_(scored_ctes(1), f"SELECT CAST(floor(prompt_id / {cat.PROMPTS_PER_CALL}) AS BIGINT) AS call, "
-                                 f"count(DISTINCT prompt_id) AS n_prompts, count(*) AS n_completions, "
-                                 f"count(DISTINCT prompt_id) = {cat.PROMPTS_PER_CALL} AS full FROM q_scored GROUP BY 1")
+    return (f"SELECT call, count(DISTINCT prompt_id) AS n_prompts, count(*) AS n_completions "
+            f"FROM (SELECT prompt_id, {CALL} AS call FROM (SELECT l_orderkey * 5 + l_orderkey % 3 AS prompt_id FROM lineitem)) "
+            f"GROUP BY call HAVING count(DISTINCT prompt_id) = {cat.PROMPTS_PER_CALL}")
 
 
 FORMAT_RE = f"(?s)\\A<think>.*?</think>{Q.WS}*<answer>.*?</answer>\\n?\\z"
@@ -293,61 +333,69 @@ def o_p10_expand_generations() -> str:
 
 
 def o_j6_lint() -> str:
-    from quadrant.operators import dsl as D
-    t, a = Q.var(), Q.var()
-    inputs = "[" + ", ".join(Q.q(n) for n in D.INPUT_NAMES) + "]"
-    outputs = "[" + ", ".join(Q.q(n) for n in D.OUTPUT_NAMES) + "]"
-    return with_(f"{completions_cte()},\n{scripts_cte()}", f"""st AS (SELECT prompt_id, gen_idx, unnest({Q.parse_script('script', 'E1')}) AS s FROM q_scripts),
+    """Lint as joins over exploded statements (the Spark side folds in the row)."""
+    t = Q.var()
+    inputs = "[" + ", ".join(Q.q(n) for n in Q.INPUT_NAMES) + "]"
+    outputs = "[" + ", ".join(Q.q(n) for n in Q.OUTPUT_NAMES) + "]"
+    return with_(f"{completions_cte()},\n{scripts_cte()}", f"""{Q.compiled('q_scripts', 'script', 'E1')},
+st AS (SELECT script, unnest(stmts) AS s FROM q_stmts),
 ok AS (SELECT * FROM st WHERE s.err IS NULL AND NOT s.skip),
-defs AS (SELECT prompt_id, gen_idx, s.t AS name, s.line AS def_line FROM ok
-  UNION ALL SELECT prompt_id, gen_idx, unnest({inputs}) AS name, 0 AS def_line FROM q_scripts),
-atoms AS (SELECT prompt_id, gen_idx, s.line AS use_line,
+defs AS (SELECT script, s.t AS name, s.line AS def_line FROM ok
+  UNION ALL SELECT script, unnest({inputs}) AS name, 0 AS def_line FROM q_dist),
+atoms AS (SELECT script, s.line AS use_line,
   unnest(flatten(list_transform(s.terms, lambda {t}: list_concat({t}.f1, coalesce({t}.f2, []))))) AS a FROM ok),
-uses AS (SELECT DISTINCT prompt_id, gen_idx, use_line, a.a AS name FROM atoms
-  WHERE NOT {Q.rx('a.a', D.INT_LIT_RE)} AND NOT {Q.rx('a.a', D.FLOAT_LIT_RE)}),
-asof_use AS (SELECT u.prompt_id, u.gen_idx, u.name, u.use_line, max(d.def_line) AS def_line FROM uses u
-  LEFT JOIN defs d ON d.prompt_id = u.prompt_id AND d.gen_idx = u.gen_idx AND d.name = u.name AND d.def_line < u.use_line
-  GROUP BY 1, 2, 3, 4),
-nu AS (SELECT prompt_id, gen_idx, count(*) AS n_uses FROM uses GROUP BY 1, 2),
-nd AS (SELECT prompt_id, gen_idx, count(*) AS n_undefined, min(use_line) AS first_undefined_line FROM asof_use WHERE def_line IS NULL GROUP BY 1, 2),
-req AS (SELECT prompt_id, gen_idx, unnest({outputs}) AS name FROM q_scripts),
-miss AS (SELECT r.prompt_id, r.gen_idx, count(*) AS n_missing_cells FROM req r
-  WHERE NOT EXISTS (SELECT 1 FROM defs d WHERE d.prompt_id = r.prompt_id AND d.gen_idx = r.gen_idx AND d.name = r.name) GROUP BY 1, 2)
+uses AS (SELECT DISTINCT script, use_line, a.a AS name FROM atoms
+  WHERE NOT {Q.rx('a.a', Q.INT_LIT_RE)} AND NOT {Q.rx('a.a', Q.FLOAT_LIT_RE)}),
+asof_use AS (SELECT u.script, u.name, u.use_line, max(d.def_line) AS def_line FROM uses u
+  LEFT JOIN defs d ON d.script = u.script AND d.name = u.name AND d.def_line < u.use_line GROUP BY 1, 2, 3),
+nu AS (SELECT script, count(*) AS n_uses FROM uses GROUP BY 1),
+nd AS (SELECT script, count(*) AS n_undefined, min(use_line) AS first_undefined_line FROM asof_use WHERE def_line IS NULL GROUP BY 1),
+req AS (SELECT script, unnest({outputs}) AS name FROM q_dist),
+miss AS (SELECT r.script, count(*) AS n_missing_cells FROM req r
+  WHERE NOT EXISTS (SELECT 1 FROM defs d WHERE d.script = r.script AND d.name = r.name) GROUP BY 1)
 SELECT s.prompt_id, s.gen_idx, coalesce(nu.n_uses, 0) AS n_uses, coalesce(nd.n_undefined, 0) AS n_undefined,
   CAST(nd.first_undefined_line AS BIGINT) AS first_undefined_line, coalesce(miss.n_missing_cells, 0) AS n_missing_cells
-FROM q_scripts s LEFT JOIN nu USING (prompt_id, gen_idx) LEFT JOIN nd USING (prompt_id, gen_idx)
-  LEFT JOIN miss USING (prompt_id, gen_idx)""")
+FROM q_scripts s LEFT JOIN nu USING (script) LEFT JOIN nd USING (script) LEFT JOIN miss USING (script)""")
 
 
 def verify_ctes(source: str, reply: str, a: str, b: str, expected: str, dialect: str, counter: str,
-                drop_comments: bool, double_inputs: bool) -> str:
-    """Mirror of evaluate.verify over CTE ``source``."""
+                drop_comments: bool, double_inputs: bool, failed: bool) -> str:
+    """Verification over CTE ``source``; ``failed``: FAILED rows report false / 0, else nothing."""
     script = f"array_to_string({Q.clean_lines(reply, drop_comments)}, chr(10))"
     sentinel = "(_script = '')" if drop_comments else Q.is_sentinel("_script")
-    stages = [("prog", f"CASE WHEN _run IS NOT NULL THEN {Q.compile_program(Q.parse_script('_run', dialect))} END")]
-    stages += Q.execute_cols("prog", a, b, expected, double_inputs=double_inputs)
-    body = nest_stages("q_v1", stages)
+    body = nest_stages("q_v1b", Q.execute_cols("prog", a, b, expected, double_inputs=double_inputs))
     reason = (f"CASE WHEN {sentinel} THEN 'no valid script' WHEN NOT _valid THEN 'bad matrix' "
               f"WHEN NOT coalesce(exec_ok, false) THEN prog.err || coalesce(' on line ' || CAST(prog.eline AS VARCHAR), '') END")
-    return f"""q_v0 AS (SELECT *, {script} AS _script FROM {source}),
-q_v1 AS (SELECT *, ({valid_2x2(a)} AND {valid_2x2(b)}) AS _valid,
+    no, zero = ("false", "0") if failed else ("NULL", "NULL")
+    cells = "__cd" if double_inputs else "CASE WHEN NOT prog.has_float THEN __cv END"
+    return f"""q_v0 AS MATERIALIZED (SELECT *, {script} AS _script FROM {source}),
+q_v1 AS MATERIALIZED (SELECT *, ({valid_2x2(a)} AND {valid_2x2(b)}) AS _valid,
   CASE WHEN NOT {sentinel} AND {valid_2x2(a)} AND {valid_2x2(b)} THEN _script END AS _run FROM q_v0),
-q_v2 AS (SELECT *, coalesce(exec_ok, false) AS _ok, {reason} AS reason FROM {body}),
-q_verified AS (SELECT *, CASE WHEN _ok THEN 'SUCCESS' ELSE 'FAILED' END AS status,
-  _ok AND coalesce(exec_correct, false) AS correct,
-  CASE WHEN _ok THEN {Q.COUNTERS[counter]('_script')} ELSE 0 END AS multiplications FROM q_v2),
-q_verified2 AS MATERIALIZED (SELECT *, _ok AND multiplications <= {sc.EFFICIENT_MAX_MULTS} AS efficient FROM q_verified)"""
+{Q.compiled('q_v1', '_run', dialect, {'n': Q.COUNTERS[counter]('d.script')})},
+q_v1b AS MATERIALIZED (SELECT x.*, g.prog, g.n FROM q_v1 x LEFT JOIN q_progs g ON x._run = g.script),
+q_v2 AS MATERIALIZED (SELECT *, coalesce(exec_ok, false) AS _ok, {reason} AS reason, {cells} AS _cells FROM {body}),
+q_verified2 AS MATERIALIZED (SELECT *, CASE WHEN _ok THEN 'SUCCESS' ELSE 'FAILED' END AS status,
+  CASE WHEN _ok THEN coalesce(exec_correct, false) ELSE {no} END AS correct,
+  CASE WHEN _ok THEN n ELSE {zero} END AS multiplications,
+  CASE WHEN _ok THEN n <= {sc.EFFICIENT_MAX_MULTS} ELSE {no} END AS efficient,
+  CASE WHEN _ok THEN _script END AS script FROM q_v2)"""
+
+
+def record_cols(expected: str) -> str:
+    """result and expected cells of a verification record."""
+    return ", ".join([f"CASE WHEN _ok THEN _cells[{k + 1}] END AS r{rc}, CASE WHEN _ok THEN {expected}[{int(rc[0]) + 1}][{int(rc[1]) + 1}] END AS e{rc}"
+                      for k, rc in enumerate(("00", "01", "10", "11"))])
 
 
 def _v1_ctes(counter: str) -> str:
     return (f"{prompts_cte()},\n{completions_cte()},\n"
             f"q_src AS (SELECT c.prompt_id, c.gen_idx, c.completion, p.A, p.B, p.C FROM q_completions c JOIN q_prompts p USING (prompt_id)),\n"
-            + verify_ctes("q_src", "completion", "A", "B", "C", "E1", counter, False, False))
+            + verify_ctes("q_src", "completion", "A", "B", "C", "E1", counter, False, False, True))
 
 
 def o_r7_verify_v1() -> str:
-    return with_(_v1_ctes("pattern"), "SELECT prompt_id, gen_idx, status, correct, efficient, "
-                                      "CAST(multiplications AS BIGINT) AS multiplications FROM q_verified2")
+    return with_(_v1_ctes("pattern"), f"SELECT prompt_id, gen_idx, status, correct, efficient, "
+                                      f"CAST(multiplications AS BIGINT) AS multiplications, script, {record_cols('C')} FROM q_verified2")
 
 
 def o_r7b_verify_end() -> str:
@@ -362,33 +410,50 @@ def responses_ctes() -> str:
            f"{a} AS A, {b} AS B, {dv.response_text(DUCK, 'l_orderkey * 8 + l_linenumber')} AS response "
            f"FROM lineitem JOIN part ON l_partkey = p_partkey),\n"
            f"q_resp2 AS (SELECT *, {product('A', 'B')} AS _expected FROM q_resp)")
-    return src + ",\n" + verify_ctes("q_resp2", "response", "A", "B", "_expected", "E3", "stars", True, True)
+    return src + ",\n" + verify_ctes("q_resp2", "response", "A", "B", "_expected", "E3", "stars", True, True, False)
 
 
 def o_r8_verify_v2() -> str:
-    return with_(responses_ctes(), "SELECT test_id, attempt, model, status, reason, correct, efficient, "
-                                   "CAST(multiplications AS BIGINT) AS multiplications FROM q_verified2")
+    return with_(responses_ctes(), f"SELECT test_id, attempt, model, status, reason, correct, efficient, "
+                                   f"CAST(multiplications AS BIGINT) AS multiplications, script, {record_cols('_expected')} FROM q_verified2")
+
+
+def rate_cols() -> str:
+    def rate(c):
+        return f"coalesce(CAST({c} AS DOUBLE) / nullif(total_tests, 0), 0.0)"
+    return (f"total_tests, correct, efficient, {r6(rate('correct'))} AS accuracy, {r6(rate('efficient'))} AS efficiency_rate, "
+            f"printf('%.1f%%', {rate('correct')} * 100) AS accuracy_pct, printf('%.1f%%', {rate('efficient')} * 100) AS efficiency_pct")
+
+
+COUNTS = "count(*) AS total_tests, count_if(correct) AS correct, count_if(efficient) AS efficient"
 
 
 def o_r9_batch_eval() -> str:
-    return with_(responses_ctes(), f"""loaded AS (SELECT DISTINCT p_brand AS model FROM part WHERE NOT ends_with(p_brand, '5')),
-s AS (SELECT model, count(*) AS total_tests, count_if(correct) AS correct, count_if(efficient) AS efficient
-  FROM q_verified2 WHERE model IN (SELECT model FROM loaded) GROUP BY model)
-SELECT model, total_tests, correct, efficient,
-  {r6('coalesce(CAST(correct AS DOUBLE) / nullif(total_tests, 0), 0.0)')} AS accuracy,
-  {r6('coalesce(CAST(efficient AS DOUBLE) / nullif(total_tests, 0), 0.0)')} AS efficiency_rate,
-  printf('%.1f%%', coalesce(CAST(correct AS DOUBLE) / nullif(total_tests, 0), 0.0) * 100) AS accuracy_pct FROM s""")
+    return with_(responses_ctes(), f"""loaded AS (SELECT DISTINCT p_brand AS model FROM part WHERE NOT ends_with(p_brand, '5')
+  UNION ALL SELECT 'untested'),
+s AS (SELECT model, {COUNTS} FROM q_verified2 GROUP BY model),
+t AS (SELECT model, coalesce(total_tests, 0) AS total_tests, coalesce(correct, 0) AS correct, coalesce(efficient, 0) AS efficient
+  FROM loaded LEFT JOIN s USING (model))
+SELECT model, {rate_cols()} FROM t""")
+
+
+def o_r9_overall() -> str:
+    return with_(responses_ctes(), f"s AS (SELECT {COUNTS} FROM q_verified2) SELECT {rate_cols()} FROM s")
+
+
+def o_r7_summary() -> str:
+    return with_(_v1_ctes("pattern"), f"s AS (SELECT {COUNTS} FROM q_verified2) SELECT {rate_cols()} FROM s")
 
 
 def o_w2_entropy_ratio() -> str:
     def first(frag):
         e = Q.var()
-        return f"list_filter(map_entries(logs), lambda {e}: instr(lower({e}.key), {Q.q(frag)}) > 0)[1].value"
+        return f"list_filter(map_entries(logs), lambda {e}: instr(lower({e}.key), {Q.q(frag)}) > 0 AND {e}.value IS NOT NULL)[1].value"
     key = ("CASE WHEN event_type = 'view' THEN 'train/entropy' WHEN event_type = 'click' THEN 'train/kl' "
            "WHEN event_type = 'error' THEN 'train/advantage_mean' WHEN event_type = 'purchase' THEN 'train/reward' "
            "ELSE 'train/loss' END")
     return f"""WITH ml AS (SELECT 'run-' || CAST(user_id % 4 AS VARCHAR) AS run, event_id AS step,
-  map([{key}, 'train/learning_rate'], [value, 2e-6::DOUBLE]) AS logs FROM events),
+  map(['old/entropy', {key}, 'train/learning_rate'], [NULL, value, 2e-6::DOUBLE]) AS logs FROM events),
 m AS (SELECT run, step, {first(ev.ENTROPY_KEY)} AS entropy, {first(ev.KL_KEY)} AS kl, {first(ev.ADVANTAGE_KEY)} AS adv FROM ml),
 b AS (SELECT run, arg_min(entropy, step) AS entropy0 FROM m WHERE entropy IS NOT NULL GROUP BY run)
 SELECT run, step, {r6('entropy')} AS entropy, {r6('kl')} AS kl, {r6('adv')} AS adv,
@@ -435,10 +500,32 @@ SELECT conv_id, turn, answer, CASE WHEN answer IS NULL THEN 0.0::DOUBLE
 
 
 def o_p9_chat_text() -> str:
-    return f"""WITH s AS (SELECT conv_id, text AS system_text FROM conversations WHERE role = 'system')
-SELECT u.conv_id, u.turn, 'System: ' || coalesce(s.system_text, {Q.q(ev.REASONING_SYSTEM)}) || chr(10) ||
-  'User: ' || u.text || chr(10) || 'Assistant: ' AS chat
-FROM conversations u LEFT JOIN s USING (conv_id) WHERE u.role = 'user'"""
+    return f"""WITH s AS (SELECT conv_id, arg_min(text, turn) AS system_text FROM conversations WHERE role = 'system' GROUP BY conv_id),
+u AS (SELECT c.conv_id, c.turn, coalesce(s.system_text, {Q.q(ev.REASONING_SYSTEM)}) AS sys, c.text
+  FROM conversations c LEFT JOIN s USING (conv_id) WHERE c.role = 'user')
+SELECT conv_id, turn, 'System: ' || sys || chr(10) || 'User: ' || text || chr(10) || 'Assistant: ' AS chat,
+  sys || chr(10) || 'User: ' || text || chr(10) || 'Assistant:' AS basic FROM u"""
+
+
+def o_p8_inference_prompt() -> str:
+    return with_(prompts_cte(), "SELECT prompt_id, user_query || ' (Using A=' || A_matrix_str || ', B=' || B_matrix_str || ')' AS using_prompt, "
+                                "user_query || chr(10) || 'A = ' || A_matrix_str || chr(10) || 'B = ' || B_matrix_str AS lines_prompt FROM q_prompts")
+
+
+def o_p11_normalize() -> str:
+    v = f"({mix('conv_id * 16 + turn', 800)} % 4)"
+    return f"""SELECT conv_id, turn, CASE WHEN {v} = 0 THEN text
+  ELSE to_json([{{'role': role, 'content': text}}, {{'role': 'user', 'content': 'next'}}])::VARCHAR END AS completion,
+  len(string_split(text, ' ')) >= {cat.MASK_LIMIT} AS truncated,
+  CASE WHEN len(string_split(text, ' ')) >= {cat.MASK_LIMIT} THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS masked
+FROM conversations WHERE {v} < 2"""
+
+
+def o_u1_remove_tokens() -> str:
+    out = "completion"
+    for t in ("<|im_end|>", "<|endoftext|>", "<|file_separator|>", "<DSL>"):
+        out = f"replace({out}, {Q.q(t)}, '')"
+    return with_(completions_cte(), f"SELECT prompt_id, gen_idx, CAST(length({out}) AS BIGINT) AS n_chars FROM q_completions")
 
 
 def o_g6_program_corpus() -> str:
@@ -484,5 +571,11 @@ def oracles() -> dict[str, str]:
         "r6_answer_reward": o_r6_answer_reward,
         "p9_chat_text": o_p9_chat_text,
         "g6_program_corpus": o_g6_program_corpus,
+        "j4_script_cases": o_j4_script_cases,
+        "r7_summary": o_r7_summary,
+        "r9_overall": o_r9_overall,
+        "p8_inference_prompt": o_p8_inference_prompt,
+        "p11_normalize": o_p11_normalize,
+        "u1_remove_tokens": o_u1_remove_tokens,
     }
     return {k: f() for k, f in fns.items()}

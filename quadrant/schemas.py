@@ -1,35 +1,12 @@
 """Explicit schemas: reads never rely on inference."""
 
-from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, IntegerType,
-                               LongType, MapType, StringType, StructField,
-                               StructType, TimestampType)
+from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, MapType,
+                               StringType, StructField, StructType, TimestampType)
 
 MATRIX_INT = ArrayType(ArrayType(LongType()))
-MATRIX_DOUBLE = ArrayType(ArrayType(DoubleType()))
 MESSAGE = StructType([StructField("role", StringType()), StructField("content", StringType())])
 CHAT = ArrayType(MESSAGE)
 
-# Driver tables (only the columns we read are listed; parquet carries its own
-# schema, these are used for JSON round trips and validation).
-DRIVER_COLUMNS = {
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
-    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"],
-    "part": ["p_partkey", "p_name", "p_brand"],
-    "conversations": ["conv_id", "turn", "role", "text"],
-    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
-    "labels": ["doc_id", "quality", "toxic"],
-    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
-}
-
-# matrix pairs as written by the generator
-MATRIX_PAIRS = StructType([
-    StructField("pair_id", LongType()),
-    StructField("user_query", StringType()),
-    StructField("matrix_A_list", MATRIX_INT),
-    StructField("matrix_B_list", MATRIX_INT),
-    StructField("expected_C_list", MATRIX_INT),
-])
-
 # raw rows a prompt table is prepared from: either list or string matrices
 RAW_MATRIX_ROWS = StructType([
     StructField("pair_id", LongType()),
@@ -67,11 +44,3 @@ DISCOVERY = StructType([
     StructField("script", StringType()),
     StructField("found_at", TimestampType()),
 ])
-
-VERIFICATION = StructType([
-    StructField("status", StringType()),
-    StructField("reason", StringType()),
-    StructField("correct", BooleanType()),
-    StructField("efficient", BooleanType()),
-    StructField("multiplications", IntegerType()),
-])

@@ -17,6 +17,7 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -34,10 +35,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster.
+    """The shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is.  Only when it is unset (local tests) do we create one.
+    Only a local master may go without one (tests): then a temporary folder is
+    made.  Anywhere else executors would write to their own disks, so that is an error.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -45,6 +46,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="quadrant-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
@@ -54,6 +57,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def materialize(df):
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder
     (never ``localCheckpoint``): a table read twice (grouped statistics joined
-    back to their input) is computed once, and survives executor loss."""
+    back to their input) is computed once, and survives executor loss.  With
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` (set for our own sessions) its files go with the table."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

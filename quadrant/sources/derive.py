@@ -56,6 +56,7 @@ M4 = A[0,0] * (B[1,1] + B[0,0])
 M5 = (A[0,1] + A[1,1]) * (B[0,0])
 M6 = (A[1,0] - A[0,0]) * (B[1,0] - B[0,1])
 M7 = (A[0,0] + A[1,0]) * (B[0,1] - B[1,1])
+
 C[0,0] = M2 + M3 - M5 + M6
 C[0,1] = M1 + M6 - M4
 C[1,0] = M7 - M2 + M1

@@ -14,10 +14,17 @@ from quadrant.sources.sqlgen import SPARK, apply_stages
 DEFAULT_USER_PROMPT = ("Generate the DSL script to calculate C = A * B for the given 2x2 matrices, "
                        "using 7 or fewer multiplications.First think about answer then respond in "
                        "<DSL></DSL> tags.")
-# System message of the training prompts (abridged: the task statement).
-SYSTEM_MESSAGE = ("You are an AI assistant specialized in generating Domain Specific Language (DSL) scripts "
-                  "for 2x2 matrix multiplication. You can provide explanations, but must wrap your DSL code "
-                  "in <DSL></DSL> tags.")
+# System message of the training prompts.
+SYSTEM_MESSAGE = """You are an AI assistant specialized in generating Domain Specific Language (DSL) scripts for 2x2 matrix multiplication. You can provide explanations, but must wrap your DSL code in <DSL></DSL> tags.
+  EXAMPLE DSL OUTPUT FORMAT: For matrices A=[[1,2],[3,4]] and B=[[5,6],[7,8]], a valid response would be:  
+<DSL>
+""" + dv.PROMPT_EXAMPLE7 + """
+</DSL>
+
+This uses 7 multiplications, but can be optimized using techniques like Strassen's algorithm.  YOUR TASK: Generate a DSL script that performs 2x2 matrix multiplication using 7 or fewer multiplications. You may provide explanations outside the DSL tags, but the actual code must be within <DSL></DSL> tags. 
+DSL SYNTAX RULES: - M variables: Store multiplication results (e.g., M1 = A[0,0] * B[0,0]) - S variables:
+ Store addition/subtraction results (e.g., S1 = M1 + M2) - Matrix elements: A[row,col] and B[row,col] where row,col ∈ {0,1} - Final output: C[row,col] = result - Operations: + (addition), * (multiplication), - (subtraction) - Variable assignment: VAR = expression 
+  REQUIREMENTS: - Use ≤7 multiplications total within the <DSL></DSL> tags - Compute all four elements: C[0,0], C[0,1], C[1,0], C[1,1] - Wrap DSL code in <DSL></DSL> tags - You may add explanations outside the tags  If you cannot determine a valid sequence, output: Error: Cannot determine full sequence."""
 # Prompt of every program-corpus row.
 CORPUS_PROMPT = ("Generate a DSL script that multiplies two 2×2 matrices. Return only the code "
                  "inside <DSL> ... </DSL> tags.")
@@ -35,16 +42,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition a scan on ``keys`` when it yields fewer partitions than
-    the cluster has cores (a small file is one split).  Large inputs already
-    have thousands of splits and are left as they are.  Partitioning on the
-    later join key lets both join sides share one exchange."""
-    spark = df.sparkSession
-    target = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)
+def deal(keys: DataFrame) -> DataFrame:
+    """Deal narrow key rows out to all tasks.  The texts below are derived from
+    keys, which costs far more than their bytes suggest, and a key file may be one
+    split.  Only keys move; joins on them shuffle anew where Spark asks for it, so
+    its skew handling stays in force."""
+    return keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:
@@ -62,7 +65,7 @@ def enough_rows(df: DataFrame, batch: int, accum: int, world: int = 1) -> bool:
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One prompt per order (G1 with G2 edge rows, G4, G5, P6)."""
-    o = spread(read_table(spark, sf_dir, "orders", ["o_orderkey"]), "o_orderkey")
+    o = deal(read_table(spark, sf_dir, "orders", ["o_orderkey"]))
     a, b = dv.prompt_matrices(SPARK, "o_orderkey")
     df = o.select(F.col("o_orderkey").alias("prompt_id"), F.expr(a).alias("A"), F.expr(b).alias("B"))
     return (df.withColumn("C", mx.product("A", "B"))
@@ -76,7 +79,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One completion per lineitem row: prompt = order, generation = line."""
-    li = spread(read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey"]), "l_orderkey")
+    li = deal(read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey"]))
     df = li.select(F.col("l_orderkey").alias("prompt_id"), (F.col("l_linenumber") - 1).cast("int").alias("gen_idx"),
                    (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("_key"), "l_partkey")
     df = apply_stages(df, dv.completion_stages(SPARK, "_key", "l_partkey"))
@@ -85,7 +88,7 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def programs(spark: SparkSession, sf_dir: str, max_mul: int = 12) -> DataFrame:
     """Random-program corpus, one per order key."""
-    o = spread(read_table(spark, sf_dir, "orders", ["o_orderkey"]), "o_orderkey").select(
+    o = deal(read_table(spark, sf_dir, "orders", ["o_orderkey"])).select(
         F.col("o_orderkey").alias("program_id"))
     df = apply_stages(o, dv.program_stages(SPARK, "program_id", max_mul=max_mul))
     return df.select("program_id", F.lit(CORPUS_PROMPT).alias("prompt"),
@@ -94,7 +97,7 @@ def programs(spark: SparkSession, sf_dir: str, max_mul: int = 12) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored evaluation replies: test = order, model = part brand."""
-    li = spread(read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey"]), "l_orderkey")
+    li = deal(read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey"]))
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_brand"])
     a, b = dv.test_matrices(SPARK, "l_orderkey")
     df = li.join(part, li.l_partkey == part.p_partkey)

@@ -1,68 +1,61 @@
 """Score completions as they arrive and log strict improvements of the
 best multiplication count, with Structured Streaming.
 
-Scoring is stateless (stream-static join with the prompt table, then
-projections).  The running best is global state; each micro-batch reads the
-stored best from the discoveries table, finds the batch's improvements with
-the same grouped method as the batch job, and appends them.  Appends are
-idempotent by ``batch_id`` so a replayed micro-batch after a failure writes
-nothing twice."""
+Each micro-batch is scored once (a batch job inside ``foreachBatch``) and reduced, in the
+same pass, to its first row per count.  The running best is global state: it is read from
+the discoveries table, which holds the improvements of the batches before.  A batch's improvements go
+to a partition of their own, overwritten, so a replayed micro-batch
+writes what it wrote before and nothing twice."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from quadrant import schemas
 from quadrant.operators import score as sc
+from quadrant.streaming.state import read_if_there
 
 
-def stored_best(spark: SparkSession, path: str, batch_id: int) -> tuple[int | None, bool]:
-    """(best count so far, whether ``batch_id`` was already written): one
-    aggregate row and a one-row probe, nothing proportional to the log."""
-    try:
-        d = spark.read.schema(schemas.DISCOVERY).parquet(path)
-        best = d.agg(F.min("n_mults").alias("best")).first().best
-        done = d.where(F.col("batch_id") == batch_id).limit(1).count() > 0
-        return best, done
-    except AnalysisException:
-        return None, False
+def stored_best(spark: SparkSession, path: str, batch_id: int) -> int | None:
+    """Best count of the batches before ``batch_id`` (one aggregate row)."""
+    known = read_if_there(spark, path, schemas.DISCOVERY)
+    if known is None:
+        return None
+    return known.where(F.col("batch_id") < batch_id).agg(F.min("n_mults").alias("best")).first().best
 
 
 def improvements(batch: DataFrame, best: int | None) -> DataFrame:
     """Rows of a scored batch that strictly improve on ``best`` and on every
     earlier row of the batch (order: prompt_id, gen_idx)."""
-    key = F.struct("prompt_id", "gen_idx")
     ok = batch.where(F.col("correct"))
     if best is not None:
         ok = ok.where(F.col("n_mults") < best)
-    firsts = ok.groupBy("n_mults").agg(F.min(key).alias("first"))
-    from pyspark.sql import Window
-    w = Window.orderBy("n_mults").rowsBetween(Window.unboundedPreceding, -1)
-    events = (firsts.withColumn("earlier", F.min("first").over(w))
-              .where(F.col("earlier").isNull() | (F.col("first") < F.col("earlier"))))
-    keys = events.select(F.col("n_mults"), F.col("first.prompt_id").alias("prompt_id"),
-                         F.col("first.gen_idx").alias("gen_idx"))
-    return ok.select("prompt_id", "gen_idx", "n_mults", "script").join(keys, ["n_mults", "prompt_id", "gen_idx"])
+    events = sc.improvement_events(ok, F.struct("prompt_id", "gen_idx"), ("script",))
+    return events.select(F.explode("events").alias("e")).select(
+        "e.key.prompt_id", "e.key.gen_idx", "e.n_mults", "e.script")
+
+
+def on_batch(completions: DataFrame, batch_id: int, prompts: DataFrame, discoveries: str, version: int = 2) -> None:
+    """Score one micro-batch and write its improvements."""
+    spark = completions.sparkSession
+    best = stored_best(spark, discoveries, batch_id)
+    found = improvements(sc.score(completions, prompts, version=version), best)
+    (found.select("prompt_id", "gen_idx", F.col("n_mults").cast("int").alias("n_mults"), "script",
+                  F.current_timestamp().alias("found_at"))
+          .write.mode("overwrite").parquet(f"{discoveries}/batch_id={batch_id}"))
 
 
 def start(spark: SparkSession, completions_dir: str, prompts: DataFrame, discoveries: str, checkpoint: str,
-          version: int = 2, trigger_once: bool = True):
+          version: int = 2, trigger_once: bool = True, files_per_batch: int | None = None):
     """Stream JSON completions (prompt_id, gen_idx, completion) from a folder."""
-    stream = spark.readStream.schema(schemas.COMPLETIONS).json(completions_dir)
-    scored = sc.score(stream, prompts, version=version)
+    reader = spark.readStream.schema(schemas.COMPLETIONS)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
-    def on_batch(df: DataFrame, batch_id: int) -> None:
-        best, done = stored_best(spark, discoveries, batch_id)
-        if done:
-            return
-        ev = improvements(df, best).select(
-            F.lit(batch_id).cast("bigint").alias("batch_id"), "prompt_id", "gen_idx",
-            F.col("n_mults").cast("int").alias("n_mults"), "script",
-            F.current_timestamp().alias("found_at"))
-        ev.write.mode("append").parquet(discoveries)
+    def each(df: DataFrame, batch_id: int) -> None:
+        on_batch(df, batch_id, prompts, discoveries, version)
 
-    w = scored.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+    w = reader.json(completions_dir).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="10 seconds")
     return w.start()

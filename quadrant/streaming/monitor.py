@@ -1,51 +1,47 @@
 """Metric-log monitor as a stream.  The per-run baseline (first logged
-entropy) is state kept in a small table: each micro-batch adds baselines for
-runs it sees first, then emits entropy/KL/advantage and the entropy percent of
-baseline.  Batch ids make the sink idempotent under replays."""
+entropy) is state kept in a small table: each micro-batch writes the baselines of the
+runs it sees first, then entropy/KL/advantage and the entropy percent of
+baseline.  Both go to a partition of the batch, overwritten, so replays change nothing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from quadrant import schemas
 from quadrant.operators import evaluate as ev
+from quadrant.streaming.state import read_if_there
 
+BASELINE = "run string, entropy0 double, batch_id bigint"
 
-def _baselines(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+
+def on_batch(df: DataFrame, batch_id: int, baselines: str, output: str) -> None:
+    """Write one micro-batch's new baselines and its monitored rows."""
+    spark = df.sparkSession
+    m = (df.withColumn("entropy", ev.first_key_containing(F.col("logs"), ev.ENTROPY_KEY))
+         .withColumn("kl", ev.first_key_containing(F.col("logs"), ev.KL_KEY))
+         .withColumn("adv", ev.first_key_containing(F.col("logs"), ev.ADVANTAGE_KEY)))
+    new = m.where(F.col("entropy").isNotNull()).groupBy("run").agg(F.min_by("entropy", "step").alias("entropy0"))
+    known = read_if_there(spark, baselines, BASELINE)
+    if known is not None:
+        new = new.join(known.where(F.col("batch_id") < batch_id), "run", "left_anti")
+    new.write.mode("overwrite").parquet(f"{baselines}/batch_id={batch_id}")
+    base = spark.read.schema(BASELINE).parquet(baselines).where(F.col("batch_id") <= batch_id).select("run", "entropy0")
+    out = m.join(base, "run", "left").withColumn(
+        "entropy_pct", F.when(F.col("entropy").isNotNull(),
+                              F.lit(100.0) * F.col("entropy") / (F.col("entropy0") + F.lit(ev.ENTROPY_EPS))))
+    out.select("run", "step", "entropy", "kl", "adv", "entropy_pct").write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
 
 
 def start(spark: SparkSession, log_dir: str, baselines: str, output: str, checkpoint: str,
-          trigger_once: bool = True):
-    stream = spark.readStream.schema(schemas.METRIC_LOG).json(log_dir)
-
-    def on_batch(df: DataFrame, batch_id: int) -> None:
-        m = (df.withColumn("entropy", ev.first_key_containing(F.col("logs"), ev.ENTROPY_KEY))
-             .withColumn("kl", ev.first_key_containing(F.col("logs"), ev.KL_KEY))
-             .withColumn("adv", ev.first_key_containing(F.col("logs"), ev.ADVANTAGE_KEY)))
-        known = _baselines(spark, baselines)
-        new = (m.where(F.col("entropy").isNotNull()).groupBy("run")
-               .agg(F.min_by("entropy", "step").alias("entropy0")))
-        if known is not None:
-            new = new.join(known, "run", "left_anti")
-            done = known.where(F.col("batch_id") == batch_id).limit(1).count() > 0
-        else:
-            done = False
-        if not done:
-            new.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(baselines)
-        base = spark.read.parquet(baselines).select("run", "entropy0")
-        out = m.join(base, "run", "left").withColumn(
-            "entropy_pct", F.when(F.col("entropy").isNotNull(),
-                                  F.lit(100.0) * F.col("entropy") / (F.col("entropy0") + F.lit(ev.ENTROPY_EPS))))
-        out = out.select("run", "step", "entropy", "kl", "adv", "entropy_pct",
-                         F.lit(batch_id).cast("bigint").alias("batch_id"))
-        out.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
-
-    w = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+          trigger_once: bool = True, files_per_batch: int | None = None):
+    reader = spark.readStream.schema(schemas.METRIC_LOG)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+
+    def each(df: DataFrame, batch_id: int) -> None:
+        on_batch(df, batch_id, baselines, output)
+
+    w = reader.json(log_dir).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="10 seconds")
     return w.start()

@@ -1,15 +1,14 @@
 import json
 import os
 
+import golden
 import pytest
 from pyspark.sql import functions as F
 
-from quadrant import schemas
 from quadrant.operators import evaluate as ev
 from quadrant.operators import score as sc
 from quadrant.sources import io, tables as tb
 from quadrant.streaming import best, monitor
-from tests.conftest import SF_SMALL
 
 
 def test_jsonl_round_trip_and_corrupt_lines(spark, tmp):
@@ -35,37 +34,72 @@ def test_empty_source_guard(spark):
     assert not tb.enough_rows(empty, 4, 16)
 
 
-def _write_completions(spark, folder, n_files):
-    c = tb.completions(spark, SF_SMALL).orderBy("prompt_id", "gen_idx").collect()
+def test_snapshot_append_results_and_first_rows(spark, tmp):
+    rows = spark.createDataFrame([(2, "b"), (1, "a"), (3, "c")], "k int, v string")
+    io.write_results(rows, os.path.join(tmp, "r"))
+    io.append_table(rows, os.path.join(tmp, "r"))
+    back = io.read_snapshot(spark, os.path.join(tmp, "r"))
+    assert back.count() == 6
+    assert [r.k for r in io.first_rows(back, "k", 3).collect()] == [1, 1, 2]
+
+
+def test_run_stamp(spark):
+    from quadrant.functions import text as tx
+    assert len(spark.range(1).select(tx.run_stamp()).first()[0]) == len("20250101_120000")
+
+
+SCRIPTS = [golden.NAIVE8_STEPS, "<DSL>" + golden.STRASSEN + "</DSL>", golden.MISSING, golden.BUILTIN7]
+
+
+def _completions(spark, folder, n_files):
+    """Completions whose best count falls from 8 to 7 only in a later file."""
     os.makedirs(folder, exist_ok=True)
-    step = (len(c) + n_files - 1) // n_files
+    rows = [(p, g, SCRIPTS[0 if p < 8 else 1] if (p + g) % 3 else SCRIPTS[2 + g % 2]) for p in range(18) for g in range(3)]
+    step = len(rows) // n_files
     for i in range(n_files):
-        with open(os.path.join(folder, f"part-{i}.json"), "w") as f:
-            for r in c[i * step:(i + 1) * step]:
-                f.write(json.dumps(r.asDict()) + "\n")
-    return c
-
-
-def test_stream_best_equals_batch(spark, tmp):
-    folder = os.path.join(tmp, "in")
-    _write_completions(spark, folder, 1)
-    prompts = tb.prompts(spark, SF_SMALL)
-    disc = os.path.join(tmp, "disc")
-    q = best.start(spark, folder, prompts, disc, os.path.join(tmp, "ck"))
-    q.awaitTermination(600)
-    got = spark.read.parquet(disc).orderBy("prompt_id", "gen_idx").select("prompt_id", "gen_idx", "n_mults").collect()
-    batch = sc.score(tb.completions(spark, SF_SMALL), prompts, 2)
-    want = best.improvements(batch, None).orderBy("prompt_id", "gen_idx").select("prompt_id", "gen_idx", "n_mults")
-    assert [tuple(r) for r in got] == [tuple(r) for r in want.collect()]
-
-
-def test_stream_monitor_equals_batch(spark, tmp):
-    from quadrant.plans import catalog
-    ml = catalog.metric_log(spark, SF_SMALL)
-    folder = os.path.join(tmp, "logs")
-    ml.write.json(folder)
-    q = monitor.start(spark, folder, os.path.join(tmp, "base"), os.path.join(tmp, "out"), os.path.join(tmp, "ck2"))
-    q.awaitTermination(600)
-    got = spark.read.parquet(os.path.join(tmp, "out")).select("run", "step", F.round("entropy_pct", 6).alias("p"))
-    want = ev.entropy_monitor(ml).select("run", "step", F.round("entropy_pct", 6).alias("p"))
-    assert sorted(got.collect()) == sorted(want.collect())
+        path = os.path.join(folder, f"part-{i}.json")
+        with open(path, "w") as f:
+            for r in rows[i * step:(i + 1) * step]:
+                f.write(json.dumps(dict(zip(("prompt_id", "gen_idx", "completion"), r))) + "\n")
+        os.utime(path, (1_000_000 + i, 1_000_000 + i))  # files are taken in order of their times
+    return spark.createDataFrame(rows, "prompt_id bigint, gen_idx int, completion string")
+
+
+def test_stream_best_over_batches_and_replay(spark, tmp):
+    folder, disc = os.path.join(tmp, "in"), os.path.join(tmp, "disc")
+    every = _completions(spark, folder, 3)
+    prompts = spark.range(18).select(F.col("id").alias("prompt_id"), F.lit("[[1, 2], [3, 4]]").alias("A_matrix_str"),
+                                     F.lit("[[5, 6], [7, 8]]").alias("B_matrix_str"), F.lit("[[19, 22], [43, 50]]").alias("expected_C_str"))
+    best.start(spark, folder, prompts, disc, os.path.join(tmp, "ck"), files_per_batch=1).awaitTermination(600)
+
+    def found():
+        return sorted((r.batch_id, r.prompt_id, r.gen_idx, r.n_mults) for r in spark.read.parquet(disc).collect())
+    got = found()
+    want = best.improvements(sc.score(every, prompts, 2), None).collect()
+    assert [x[1:] for x in got] == sorted((r.prompt_id, r.gen_idx, r.n_mults) for r in want) and len(want) == 2
+    assert {x[0] for x in got} == {0, 1}  # state of the first batch counts in the second
+    again = spark.read.schema("prompt_id bigint, gen_idx int, completion string").json(os.path.join(folder, "part-1.json"))
+    best.on_batch(again, 1, prompts, disc)  # a replayed batch
+    assert found() == got
+
+
+def test_stream_monitor_over_batches_and_replay(spark, tmp):
+    rows = [(f"r{k % 2}", k, {"old/entropy": None, ("train/Entropy" if k % 3 else "kl"): float(k)}) for k in range(30)]
+    logs = spark.createDataFrame(rows, "run string, step bigint, logs map<string,double>")
+    folder, base, out = (os.path.join(tmp, x) for x in ("logs", "base", "out"))
+    os.makedirs(folder)
+    for i in range(3):
+        path = os.path.join(folder, f"part-{i}.json")
+        with open(path, "w") as f:
+            f.writelines(json.dumps({"run": r, "step": s, "logs": x}) + "\n" for r, s, x in rows[i * 10:(i + 1) * 10])
+        os.utime(path, (1_000_000 + i, 1_000_000 + i))
+    monitor.start(spark, folder, base, out, os.path.join(tmp, "ck2"), files_per_batch=1).awaitTermination(600)
+
+    def found():
+        return sorted(map(tuple, spark.read.parquet(out).select("run", "step", F.round("entropy_pct", 6)).collect()), key=str)
+    got = found()
+    want = ev.entropy_monitor(logs).select("run", "step", F.round("entropy_pct", 6)).collect()
+    assert got == sorted(map(tuple, want), key=str) and len(os.listdir(base)) >= 3
+    again = spark.read.schema("run string, step bigint, logs map<string,double>").json(os.path.join(folder, "part-1.json"))
+    monitor.on_batch(again, 1, base, out)
+    assert found() == got
