@@ -35,12 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrant.llm.common import BUCKETS, narrow
+from quadrant.session import materialize
 
 CHUNK = 256             # bytes compressed at a time
 PIECE, PIECES = 512, 64  # bytes of a training piece, and pieces of one document at most
 DICTIONARY = 112_640    # bytes of a dictionary
 SAMPLE = 1_000          # documents a class, for the dictionaries and again for the calibration
 LEVEL = 3
+TASKS = 32              # tasks that the chosen documents are dealt to
 TILT = 0.02             # the logistic curve's part of a score
 
 
@@ -150,9 +152,13 @@ def learn(documents: DataFrame, labels: DataFrame, usable: Column, doc_id: str =
     for k, n in count.items():
         share = F.when(F.col("label") == k, F.lit(min(1.0, 2 * sample / n))).otherwise(share)
     key = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(BUCKETS))
-    chosen = marks.withColumn("teaches", teaches).filter(key < F.ceil(share * BUCKETS))
-    rows = (narrow(documents, id=doc_id, text=text).join(chosen.withColumnRenamed("id", "i"), F.col("id") == F.col("i"))
-            .select("label", "text", "teaches"))
+    chosen = materialize(marks.withColumn("teaches", teaches).filter(key < F.ceil(share * BUCKETS)).withColumnRenamed("id", "i"))
+    # About 4 x sample ids by the choice above, whatever the number of labels: counted, then sent to the
+    # documents, so that no text is shuffled.
+    side = F.broadcast(chosen) if chosen.count() <= 8 * sample else chosen.hint("merge")
+    rows = (narrow(documents, id=doc_id, text=text).join(side, F.col("id") == F.col("i"))
+            .select("label", "text", "teaches").repartition(TASKS))
+    rows = materialize(rows)
     dictionaries = _pieces(rows.filter("teaches"))
     model = Model(*[_dictionary(dictionaries.get(k, [])) for k in (1, 0)])
     features = (with_scores(rows.filter("NOT teaches").select("label", "text"), model, raw=True)
