@@ -47,6 +47,49 @@ def test_golden_dialects(spark, scripts, dialect):
             assert x.correct == (want == RIGHT)
 
 
+FAILS = None
+# expression -> what it is worth by dialect, with M1, M2, M3 = 1, 2, 3
+EDGES = {
+    "M1 - -3 + M2": {"E1": 0, "E2": 0, "E3": FAILS},         # of two signs the last counts
+    "M1 - -3": {"E1": 4, "E2": 4, "E3": 4},                   # but a binary form takes a negative literal
+    "M1 + M2 -": {"E1": 3, "E2": 3},                          # a trailing sign is ignored
+    "-M1 + M2": {"E1": FAILS, "E2": FAILS},                   # a leading one is not
+    "(M1)*(M2) + M3": {"E1": FAILS, "E2": 5},
+    "(M1+M2)*(M2+M3) + M1": {"E1": FAILS, "E2": FAILS},
+    "(M1+M2)*(M2+M3)": {"E1": 15, "E2": 15, "E3": FAILS, "E4": FAILS},
+    "M 1 + M2": {"E1": FAILS, "E2": FAILS},
+    "M1*M2*M3": {"E1": FAILS, "E2": FAILS, "E3": FAILS, "E4": FAILS},
+    "M1*M2 + M3*M2": {"E1": FAILS, "E2": 8, "E3": FAILS, "E4": 8},
+    "(M1)": {"E1": FAILS, "E2": FAILS},
+    "(M2) * (M3)": {"E1": 6, "E2": 6},
+    "(-M1 + M2) * M3": {"E1": FAILS, "E2": FAILS},
+    "A[0, 0] + M1": {"E1": FAILS, "E2": 2},
+    "m2 * M3;": {"E1": FAILS, "E2": 6},
+    "M3 - M2 - M1": {"E1": 0, "E2": 0, "E3": FAILS, "E4": 0},
+    "M3 + M2 + M1": {"E1": 6, "E2": 6, "E3": FAILS, "E4": FAILS},
+}
+
+
+def test_edge_rules(spark):
+    head, tail = "M1 = A[0,0]\nM2 = A[0,1]\nM3 = A[1,0]\n", "\nC[0,1] = 0\nC[1,0] = 0\nC[1,1] = 0"
+    df = spark.createDataFrame([(e, f"{head}C[0,0] = {e}{tail}", *G.M1) for e in EDGES],
+                               "form string, script string, A array<array<bigint>>, B array<array<bigint>>, E array<array<bigint>>")
+    for dialect in dsl.DIALECTS:
+        run = dsl.execute(df.withColumn("prog", dsl.compile_script("script", dialect)), "prog", "A", "B")
+        for r in run.select("form", "exec").collect():
+            if dialect in EDGES[r.form]:
+                got = r.exec.result[0][0] if r.exec.ok else FAILS
+                assert got == EDGES[r.form][dialect], (dialect, r.form, got)
+
+
+def test_script_cases(spark):
+    from quadrant.operators import evaluate as ev
+    df = spark.createDataFrame([("strassen", G.NAIVE8_INLINE), ("user", G.USER6)], "name string, script string")
+    got = {(r.name, r.case_id): (r.ok, r.correct, r.multiplications)
+           for r in ev.script_cases(df, [G.M1[:2], G.M2[:2], G.M3[:2]]).collect()}
+    assert got == {(n, k): (True, n == "strassen", 8 if n == "strassen" else 6) for n in ("strassen", "user") for k in range(3)}
+
+
 def test_counters(spark, scripts):
     rows = scripts.select("name", dsl.count_stars("script").alias("a1"), dsl.count_by_pattern("script").alias("a2"),
                           dsl.count_product_lines("script").alias("a3")).collect()

@@ -27,9 +27,30 @@ def test_script_from_completion(spark):
 def test_reply_endings(spark):
     df = spark.createDataFrame([("P", "Pbody<|im_end|>"), ("P", "Pbody<|endoftext|><|im_end|>"),
                                 ("P", "Pbody<|im_end|><|endoftext|>"),
-                                ("Q", "x<|im_start|>assistant\nreply<|im_end|>")], "p string, t string")
+                                ("Q", "x<|im_start|>assistant\nreply<|im_end|>"),
+                                ("Q", "x<|im_start|>assistant\nold reply<|im_start|>assistant")], "p string, t string")
     got = [r[0] for r in df.select(tx.reply_from_generation("t", "p")).collect()]
-    assert got == ["body", "body", "body<|im_end|>", "reply"]
+    # a last marker that does not end its line: the whole text
+    assert got == ["body", "body", "body<|im_end|>", "reply", "x<|im_start|>assistant\nold reply<|im_start|>assistant"]
+
+
+def test_first_value_of_a_metric(spark):
+    from pyspark.sql import functions as F
+
+    from quadrant.operators import evaluate as ev
+    df = spark.sql("SELECT map('old/entropy', CAST(NULL AS DOUBLE), 'Entropy', 0.5D, 'entropy2', 9D) AS logs")
+    assert df.select(ev.first_key_containing(F.col("logs"), "entropy")).first()[0] == 0.5
+
+
+def test_decimal_literals(spark):
+    from quadrant.functions import matrix as mx
+    df = spark.createDataFrame([("[[1.50, 2], [-3, 40000000.25]]", "[[1, 0], [0, 2]]"), ("nope", "[[1, x]]")], "a string, b string")
+    rows = df.select(mx.literal_repr(mx.literal_matrix("a")).alias("a"), mx.literal_matrix("b").isNull().alias("bad"),
+                     mx.literal_repr(mx.literal_product(mx.literal_matrix("a"), mx.literal_matrix("b"))).alias("c")).collect()
+    a = [[1.50, 2], [-3, 40000000.25]]
+    b = [[1, 0], [0, 2]]
+    c = [[a[r][0] * b[0][k] + a[r][1] * b[1][k] for k in (0, 1)] for r in (0, 1)]
+    assert (rows[0].a, rows[0].c, rows[0].bad) == (str(a), str(c), False) and rows[1].a is None and rows[1].bad
 
 
 def test_format_cases(spark):
