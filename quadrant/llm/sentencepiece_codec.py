@@ -46,8 +46,8 @@ from quadrant.llm.common import narrow
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 SLICE = 1 << 20          # characters of one text worked on at a time
-BATCH = 1 << 22          # characters of several texts worked on at a time
-REMEMBERED = 300_000     # words remembered by a task
+BATCH = 1 << 20          # characters of several texts worked on at a time
+REMEMBERED = 150_000     # words remembered by a task
 NONE = np.int32(2**31 - 1)  # rank of a pair that does not merge
 
 

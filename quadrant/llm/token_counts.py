@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from quadrant.llm.common import narrow
 
 CHUNK, OVERLAP = 1 << 16, 1 << 9   # characters
-REMEMBERED = 600_000               # words remembered by a task
+REMEMBERED = 300_000               # words remembered by a task
 JOINED = 2_000                     # words encoded by one call of the library
 SPACES = " \t\n\r\x0b\x0c"
 
