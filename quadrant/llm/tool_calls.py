@@ -3,9 +3,10 @@
 * Calls and results are joined on (conversation, call id).  Results are first
   reduced to one row an id (their number, and the first by turn), so repeated ids do not multiply rows.
 * Calls are ordered topologically by what they depend on: level 0 depends on nothing, others
-  stand one level above the highest call they depend on.  Calls are peeled off round by round with
-  joins on the dependency edges; there are as many rounds as levels, and the edges
-  left are checkpointed after each.  Calls on or behind a cycle have no level.
+  stand one level above the highest call they depend on.  Chains of calls with one dependency each are
+  shortened by pointer doubling (a conversation of thousands of turns takes a dozen rounds); calls with several
+  dependencies are then peeled off round by round, as many rounds as such calls follow each other.  All of it are
+  joins on (conversation, id), checkpointed after each round.  Calls on or behind a cycle have no level.
 * Arguments (JSON) are parsed as variants and checked against the tool's schema in the row: the
   schemas are configuration, and stand as a constant in the plan.
 * A call is serialised as canonical JSON: keys in code-point order, no white space,
@@ -88,20 +89,58 @@ def parsed_object(text: str) -> Column:
 def levels(edges: DataFrame) -> DataFrame:
     """conv_id, call_id, level (null on or behind a cycle) of every call that
     depends on another; ``edges`` has conv_id, call_id, parent_id without repeats."""
-    left = materialize(edges)
-    empty = left.select("conv_id", "call_id", F.lit(None).cast("int").alias("level")).limit(0)
-    found, level, number = empty, 1, left.count()
-    while number:
-        waiting = left.select("conv_id", "call_id").distinct()
-        blocked = materialize(left.join(waiting.select(F.col("conv_id").alias("c"), F.col("call_id").alias("p")),
-                                        (F.col("conv_id") == F.col("c")) & (F.col("parent_id") == F.col("p")), "left_semi"))
-        remaining = blocked.count()
-        if remaining == number:  # only cycles and what waits for them
-            return found.union(waiting.withColumn("level", F.lit(None).cast("int")))
-        found = found.union(waiting.join(blocked.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
-                                   .withColumn("level", F.lit(level)))
-        left, number, level = blocked, remaining, level + 1
-    return found
+    keys = ["conv_id", "call_id"]
+    edges = materialize(edges)
+    parents = materialize(edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("parent_id").alias("up")))
+    chains, several = _chain_ends(parents.filter("n = 1").select(*keys, "up")), parents.filter("n > 1").select(*keys)
+    nodes = _joins_of_chains(edges, chains, several) if several.count() else several.withColumn("level", F.lit(None).cast("int"))
+    ends = nodes.select(F.col("conv_id").alias("c"), F.col("call_id").alias("p"), F.col("level").alias("base"), F.lit(True).alias("joint"))
+    below = chains.join(ends, (F.col("conv_id") == F.col("c")) & (F.col("up") == F.col("p")), "left")
+    base = F.when(F.col("joint"), F.col("base")).otherwise(0)
+    return below.select(*keys, F.when(~F.col("open"), base + F.col("dist")).alias("level")).union(nodes)
+
+
+def _chain_ends(single: DataFrame) -> DataFrame:
+    """conv_id, call_id, up, dist, open: for calls with one dependency, the first call up the
+    chain that has none or several, and how far it is, by pointer doubling (as many rounds
+    as the logarithm of the longest chain).  open: there is none, the chain leads into a cycle."""
+    state = materialize(single.withColumn("dist", F.lit(1)).withColumn("open", F.lit(True)))
+    before = None
+    while True:
+        jump = state.select(F.col("conv_id").alias("c"), F.col("call_id").alias("p"), F.col("up").alias("up2"), F.col("dist").alias("dist2"))
+        state = materialize(state.join(jump, (F.col("conv_id") == F.col("c")) & (F.col("up") == F.col("p")), "left").select(
+            "conv_id", "call_id", F.coalesce("up2", "up").alias("up"),
+            F.when(F.col("up2").isNull(), F.col("dist")).otherwise(F.try_add("dist", "dist2")).alias("dist"),
+            F.col("up2").isNotNull().alias("open")))
+        left = state.filter("open").count()
+        if left in (0, before):  # every round ends some chain, unless only cycles are left
+            return state
+        before = left
+
+
+def _joins_of_chains(edges: DataFrame, chains: DataFrame, several: DataFrame) -> DataFrame:
+    """conv_id, call_id, level of the calls with several dependencies, peeled off
+    round by round over chains shortened to one edge."""
+    keys = ["conv_id", "call_id"]
+    above = chains.select(F.col("conv_id").alias("c"), F.col("call_id").alias("p"), "up", "dist", "open")
+    ends = several.select(F.col("conv_id").alias("c2"), F.col("call_id").alias("p2"), F.lit(True).alias("waits"))
+    end = F.when(F.col("open"), F.lit(None)).otherwise(F.coalesce("up", "parent_id"))
+    short = (edges.join(several, keys).join(above, (F.col("conv_id") == F.col("c")) & (F.col("parent_id") == F.col("p")), "left")
+             .select(*keys, end.alias("end"), (1 + F.coalesce("dist", F.lit(0))).alias("far"))
+             .join(ends, (F.col("conv_id") == F.col("c2")) & (F.col("end") == F.col("p2")), "left")
+             .select(*keys, "end", "far", F.when(F.col("end").isNotNull() & F.col("waits").isNull(), 0).alias("base")))
+    left, found = materialize(short), None
+    while True:
+        ready = materialize(left.groupBy(*keys).agg(F.count_if(F.col("base").isNull()).alias("n"), F.max(F.col("base") + F.col("far")).alias("level"))
+                            .withColumn("level", F.when(F.col("n") == 0, F.col("level"))).drop("n"))
+        solved = ready.filter("level IS NOT NULL")
+        if not solved.take(1):  # the rest are on or behind cycles
+            return ready if found is None else found.union(ready)
+        found = solved if found is None else found.union(solved)
+        known = solved.select(F.col("conv_id").alias("c"), F.col("call_id").alias("p"), "level")
+        left = materialize(left.join(solved.select(*keys), keys, "left_anti")
+                           .join(known, (F.col("conv_id") == F.col("c")) & (F.col("end") == F.col("p")), "left")
+                           .select(*keys, "end", "far", F.coalesce("base", "level").alias("base")))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, list[Param]]) -> DataFrame:
@@ -120,7 +159,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, list[Param]])
                    .filter("parent_id IS NOT NULL").distinct())
     real = wanted.join(ids.select(F.col("conv_id").alias("c"), F.col("call_id").alias("p")),
                        (F.col("conv_id") == F.col("c")) & (F.col("parent_id") == F.col("p")), "left_semi")
-    real = materialize(real)
+    real = materialize(real)  # read by the order and by the check below
     ranked = levels(real).withColumn("depends", F.lit(True))
     unknown = (wanted.join(real, [*keys, "parent_id"], "left_anti").groupBy(*keys)
                      .agg(F.array_sort(F.collect_set("parent_id")).alias("unknown")))

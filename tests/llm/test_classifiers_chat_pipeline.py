@@ -98,6 +98,26 @@ def test_tool_calls(spark):
     assert tool_calls.link(calls.limit(0), results.limit(0), SCHEMAS).count() == 0
 
 
+def test_levels_of_any_graph(spark):
+    rng = random.Random(3)
+    edges = {(1, f"c{k}", f"c{k - 1}") for k in range(1, 300)}                                  # a long chain
+    edges |= {(2, f"n{k}", f"n{rng.randrange(k)}") for k in range(1, 60) for _ in range(rng.choice([1, 1, 1, 2, 3]))}
+    edges |= {(3, "a", "b"), (3, "b", "a"), (3, "x", "a"), (3, "y", "x"), (3, "y", "z"), (3, "w", "z"), (4, "s", "s")}
+    parents = {}
+    for conv, call, parent in edges:
+        parents.setdefault((conv, call), set()).add((conv, parent))
+    want = {}
+    for _ in range(400):
+        for node, above in parents.items():
+            known = [want.get(p) if p in parents else 0 for p in above]
+            if None not in known:
+                want[node] = max(known) + 1
+    df = spark.createDataFrame(sorted(edges), "conv_id long, call_id string, parent_id string")
+    got = {(r.conv_id, r.call_id): r.level for r in tool_calls.levels(df).collect()}
+    assert got == {node: want.get(node) for node in parents}
+    assert tool_calls.levels(df.limit(0)).count() == 0
+
+
 def test_tool_calls_of_odd_conversations(spark):
     rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 1, "assistant", "yo"), (1, 2, "assistant", "more"), (None, 0, "user", "x"),
             (2, None, "user", None), (2, 3, None, "x"), (3, 2, "user", ""), (3, 3, "system", None)]
