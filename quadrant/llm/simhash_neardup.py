@@ -174,33 +174,47 @@ def _roots(label: np.ndarray, at: np.ndarray) -> np.ndarray:
     return root
 
 
-def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3,
-                    distance: int = 3, cell: int = CELL) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id of every row."""
-    rows = materialize(fingerprints(documents, doc_id, text, shingle))
+def _components(rows: DataFrame, distance: int, cell: int) -> DataFrame:
+    """node, least, root, component_id of every fingerprint: the smallest id that carries it, the
+    fingerprint that stands for its component, and the smallest id in that component."""
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     links = _links(_cells(_dealt(nodes, distance), cell), distance)
     labels = connected_components(links)
     linked = nodes.join(labels, nodes["fp"] == labels["node"])
     roots = linked.groupBy(F.col("label").alias("root")).agg(F.min("least").alias("component"))
-    linked = linked.join(roots, F.col("label") == F.col("root")).select(F.col("fp").alias("node"), "component")
+    linked = linked.join(roots, F.col("label") == F.col("root")).select(F.col("fp").alias("node"), "root", "component")
     # Cut here, so that both sides of the last join are plain shuffles and a fingerprint that
     # very many rows carry is split by the skew-join handling.
-    ids = materialize(nodes.join(linked, F.col("fp") == F.col("node"), "left")
-                      .select(F.col("fp").alias("node"), F.coalesce("component", "least").alias("component_id")))
+    return materialize(nodes.join(linked, F.col("fp") == F.col("node"), "left")
+                       .select(F.col("fp").alias("node"), "least", F.coalesce("root", "fp").alias("root"),
+                               F.coalesce("component", "least").alias("component_id")))
+
+
+def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3,
+                    distance: int = 3, cell: int = CELL) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits), component_id of every row."""
+    rows = materialize(fingerprints(documents, doc_id, text, shingle))
+    ids = _components(rows, distance, cell).select("node", "component_id")
     return (rows.join(ids, F.col("fp") == F.col("node"))
                 .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
 def deduplicate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3,
                 distance: int = 3) -> DataFrame:
-    """One document of each component, with all its columns: the one whose id
-    names the component (any one, if all its ids are null).  An id names one
-    document: rows repeated under it leave one."""
-    found = near_duplicates(documents, doc_id, text, shingle, distance)
-    stay = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-                 .groupBy("component_id").agg(F.min("fingerprint").alias("fp")))
-    mine = "__near_dup_id"
-    kept = documents.withColumn(mine, F.col(f"`{doc_id}`")).join(
-        stay, F.col(mine).eqNullSafe(F.col("component_id")), "left_semi")
-    return kept.dropDuplicates([mine]).drop(mine)
+    """One document of each component, with all its columns: one whose id names the component
+    (one without an id, if all its ids are null).  A component is known by its root fingerprint, so
+    null ids, and an id on texts that are not linked, leave a document in each component; of
+    rows with the surviving id and fingerprint one is left."""
+    rows = materialize(fingerprints(documents, doc_id, text, shingle))
+    mine, kept = ["__near_dup_id", "__near_dup_fp"], ["__near_dup_kept_id", "__near_dup_kept_fp"]
+    stay = (_components(rows, distance, CELL).filter(F.col("least").eqNullSafe(F.col("component_id")))
+            .groupBy("root").agg(F.min("component_id").alias(kept[0]), F.min("node").alias(kept[1])).drop("root"))
+
+    @F.arrow_udf("long")
+    def bits(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64).view(np.int64))
+
+    # Null-safe, so that no filter on the fingerprint is inferred that would compute it once more.
+    marked = documents.withColumns({mine[0]: F.col(f"`{doc_id}`"), mine[1]: bits(F.col(f"`{text}`"))})
+    found = marked.join(stay, F.col(mine[0]).eqNullSafe(F.col(kept[0])) & F.col(mine[1]).eqNullSafe(F.col(kept[1])), "left_semi")
+    return found.dropDuplicates(mine).drop(*mine)

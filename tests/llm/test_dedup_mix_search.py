@@ -102,6 +102,21 @@ def test_near_duplicates_awkward(spark):
     assert simhash_neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_deduplicate_without_ids_and_with_ids_on_unrelated_texts(spark):
+    near = prose(3, 60).split()
+    texts = [(None, prose(1)), (None, prose(1)), (None, prose(2)), (None, " ".join(near)), (9, " ".join([*near[:30], "changed", *near[31:]])),
+             (5, "one text"), (5, "quite another one here"), (5, "one text"), (6, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(texts)], "doc_id long, text string, nth int")
+    prints = [simhash_neardup.fingerprint(t) for _, t in texts]
+    distance = (prints[3] ^ prints[4]).bit_count()
+    bits = np.array(prints, np.uint64)
+    label = components(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if np.bitwise_count(bits[i] ^ bits[j]) <= distance])
+    want = {c: min((i for (i, _), d in zip(texts, label, strict=True) if d == c and i is not None), default=None) for c in label}
+    assert len(want) == 6 and list(want.values()).count(None) == 2 and list(want.values()).count(5) == 2
+    got = simhash_neardup.deduplicate(docs, distance=distance).collect()
+    assert sorted(((label[r.nth], r.doc_id) for r in got), key=str) == sorted(want.items(), key=str)
+
+
 def test_permutation_and_shares():
     for n in (1, 2, 3, 10, 1000):
         assert sorted(source_mix.permuted(np.arange(n), n, 1, 2, 3).tolist()) == list(range(n))
