@@ -53,11 +53,15 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _line(source: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`")), F.lit(""))
+
+
 def _runs(documents: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     """One row per different (id, source, text): doc_id, line, key, size, copies.
     line is the source ('' for null, '=' before others)."""
     return (narrow(documents, doc_id=doc_id, text=text, source=source)
-            .select("doc_id", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("line"),
+            .select("doc_id", _line("source").alias("line"),
                     F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), word_count("text").alias("size"))
             .groupBy("doc_id", "line", "key", "size").agg(F.count(F.lit(1)).alias("copies")))
 
@@ -109,7 +113,7 @@ def _placed(runs: DataFrame, weights: tuple[int, ...], repeats: int) -> tuple[Da
                  .join(lines, ["line", "bucket"])
                  .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
                  .withColumn("start", F.col("before") + F.col("within") + F.col("copy") * F.col("size")))
-    return rows.select("doc_id", "key", "copy", "number", "size", "source_size", "target", "start"), sources
+    return rows.select("doc_id", "line", "key", "copy", "number", "size", "source_size", "target", "start"), sources
 
 
 def share_of_shard(total: int, shards: int, shard: int, seed: int, source: int) -> tuple[int, int]:
@@ -225,15 +229,17 @@ def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, re
     rows, sources = _placed(materialize(_runs(documents, doc_id, text, source)), weights, repeats)
     part = F.struct(F.col("first"), F.col("last"))
     takes = (_pieces(rows, block).join(slots(sources, block, shard, seed).hint("merge"), ["number", "block"])
-             .groupBy("key", "doc_id", "copy", "turn").agg(F.collect_list(part).alias("parts"))
-             .groupBy(F.col("key").alias("k"), F.col("doc_id").alias("d"))
-             .agg(F.collect_list(F.struct("copy", "parts")).alias("takes")))
-    mine = ["__mix_key", "__mix_takes", "__mix_parts"]
-    keyed = documents.withColumn(mine[0], F.xxhash64(F.col(f"`{doc_id}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    copy = F.row_number().over(Window.partitionBy(mine[0], F.col(f"`{doc_id}`")).orderBy(F.lit(0))) - 1
-    joined = (keyed.join(takes, (F.col(mine[0]) == F.col("k")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("d")))
+             .groupBy("key", "doc_id", "line", "copy", "turn").agg(F.collect_list(part).alias("parts"))
+             .groupBy(F.col("key").alias("__mix_k"), F.col("doc_id").alias("__mix_d"), F.col("line").alias("__mix_l"))
+             .agg(F.collect_list(F.struct("copy", "parts")).alias("__mix_all")))
+    mine = ["__mix_key", "__mix_takes", "__mix_parts", "__mix_line"]
+    keyed = (documents.withColumn(mine[0], F.xxhash64(F.col(f"`{doc_id}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+             .withColumn(mine[3], _line(source)))
+    copy = F.row_number().over(Window.partitionBy(mine[0], F.col(f"`{doc_id}`"), mine[3]).orderBy(F.lit(0))) - 1
+    joined = (keyed.join(takes, (F.col(mine[0]) == F.col("__mix_k")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("__mix_d"))
+                         & (F.col(mine[3]) == F.col("__mix_l")))
               .withColumn(mine[0], copy)
-              .withColumn(mine[1], F.filter("takes", lambda t: t["copy"] == F.col(mine[0])))
+              .withColumn(mine[1], F.filter("__mix_all", lambda t: t["copy"] == F.col(mine[0])))
               .withColumn(mine[2], F.explode(F.col(f"{mine[1]}.parts"))))
     names = documents.columns
     out = joined.select(*[F.col(f"`{c}`") for c in names], mine[2])

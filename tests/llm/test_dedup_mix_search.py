@@ -179,6 +179,13 @@ def test_mixed_documents_hold_the_taken_words(spark):
     assert source_mix.mixed_documents(empty(spark)).count() == 0
 
 
+def test_mixed_documents_of_a_row_under_two_sources(spark):
+    text = prose(1, 90)
+    docs = spark.createDataFrame([(1, text, "en", s, 1) for s in ("a", "b", None)], documents(spark, ["x"]).schema)
+    got = source_mix.mixed_documents(docs, weights=(1,)).collect()
+    assert sorted((r.doc_id, r.source or "", r.text) for r in got) == [(1, s, text) for s in ("", "a", "b")]
+
+
 def test_search(spark):
     rng = np.random.default_rng(3)
     vectors = np.round(rng.normal(size=(400, 8)) * 2, 1)
