@@ -6,7 +6,9 @@ holds one block.
 
 * Targets: sources, in code-point order, weigh as ``WEIGHTS`` repeats; a target stops
   at ``REPEATS`` times its source's size, and the excess goes to the others by weight.
-* Every source has a fixed number of slots (its target in blocks).  How many of them
+* Every source has a fixed number of slots: its target in blocks of its mean length, and
+  what is left under one block is one more slot or none, by a draw seeded with (seed, source), so that the
+  words expected are the target, also of a source smaller than a block.  How many of them
   fall into each shard is a multinomial draw: the shards are halved again and again,
   and each halving draws binomially from a generator seeded with (seed, source, range); so
   any task finds the count and offset of its shard on its own, and counts add up.
@@ -15,6 +17,9 @@ holds one block.
   a pass takes each block at most once, so nothing is taken more often than passes begin.
 * Slots and documents' pieces are joined on (source, block).
 
+``mixed_shards`` gives the mix itself, slot by slot.  ``taken`` and ``mixed_documents`` add up over
+all shards: totals and permutations decide them, the draw over shards does not.
+
 A document's place on its line is a prefix sum in levels: documents are dealt by hash
 into buckets, places inside a bucket come from a window over that bucket, sums of buckets are accumulated
 inside groups of ``GROUP`` buckets, and sums of groups per source; no task sorts a source.
@@ -22,7 +27,7 @@ inside groups of ``GROUP`` buckets, and sums of groups per source; no task sorts
 Defined results: a null text has size 0; a null source is a source of its own, the last;
 a text without words is never taken; rows repeated with the same id, source and text
 each have a place of their own; null ids are no obstacle; an empty table gives an empty
-result; other columns are not read by ``taken`` and carried along by ``mixed_documents``.
+result; other columns are not read by ``taken`` and ``mixed_shards``, and carried along by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -45,6 +50,7 @@ BLOCK = 64             # words in a block
 SHARD = 1 << 16        # slots in an output shard, on average
 BUCKET = 256           # documents in a bucket of the prefix sum, on average
 GROUP = 1024           # buckets of a source accumulated by one task
+DRAW = 1 << 52         # resolution of the draw that settles a rest under one block
 SEED = 20_25
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -157,9 +163,10 @@ def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int
     counted = (sources.filter("source_size > 0 AND target > 0")
                .withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
                .withColumn("turns", F.floor(F.col("target") / F.col("source_size")).cast("long"))
-               .withColumn("rest", F.col("target") - F.col("turns") * F.col("source_size"))
-               .withColumn("total", F.col("turns") * F.col("blocks")
-                           + F.least(F.round(F.col("rest") / block).cast("long"), F.col("blocks"))))
+               .withColumn("rest", F.greatest(F.col("target") - F.col("turns") * F.col("source_size"), F.lit(0.0)))
+               .withColumn("more", F.col("rest") * F.col("blocks") / F.col("source_size"))
+               .withColumn("drawn", F.pmod(F.xxhash64(F.lit(seed), "number"), F.lit(DRAW)) / DRAW < F.col("more") % 1)
+               .withColumn("total", F.col("turns") * F.col("blocks") + F.floor("more") + F.col("drawn").cast("long")))
     total = counted.agg(F.sum("total")).first()[0] or 0
     shards = max(1, math.ceil(total / shard))
     dealt = (counted.select("number", "blocks", "total",
@@ -258,3 +265,37 @@ def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, re
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return out.mapInArrow(run, schema)
+
+
+def mixed_shards(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS,
+                 block: int = BLOCK, shard: int = SHARD, seed: int = SEED, doc_id: str = "doc_id",
+                 text: str = "text", source: str = "source") -> DataFrame:
+    """shard, slot, source, text: the mix as its shards, a row a slot, with the words of the
+    slot's block; parts of different rows are on lines of their own.  Slots count from 0 in each
+    shard's part of a source."""
+    rows, sources = _placed(materialize(_runs(documents, doc_id, text, source)), weights, repeats)
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    texts = (narrow(documents, doc_id=doc_id, text=text, source=source)
+             .groupBy(F.col("doc_id").alias("d"), _line("source").alias("l"), key.alias("k")).agg(F.first("text").alias("text")))
+    placed = (rows.filter("size > 0")
+              .join(texts, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line") == F.col("l")))
+              .select("number", "start", "text"))
+    names = ["number", "block", "start", "part"]
+    schema = T.StructType([*(T.StructField(n, T.LongType()) for n in names[:3]), T.StructField("part", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, start, whole in zip(*batch.columns, strict=True):
+                number, start, whole = number.as_py(), start.as_py(), whole.as_py()
+                spans = [m.span() for m in re.finditer(WORD, whole)]
+                edges = [0, *range(block - start % block, len(spans), block), len(spans)]
+                parts = [whole[spans[a][0]:spans[b - 1][1]] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                held = [(number, start // block + k, start, part) for k, part in enumerate(parts)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], names)
+
+    parts = F.sort_array(F.collect_list(F.struct("start", "part")))
+    blocks = (placed.mapInArrow(run, schema).groupBy("number", "block")
+              .agg(F.array_join(F.transform(parts, lambda p: p["part"]), "\n").alias("text")))
+    named = sources.select("number", F.when(F.col("line") != "", F.substring("line", 2, 2**31 - 1)).alias("source"))
+    return (blocks.join(slots(sources, block, shard, seed).hint("merge"), ["number", "block"]).join(named, "number")
+                  .select("shard", "slot", "source", "text"))

@@ -179,6 +179,38 @@ def test_mixed_documents_hold_the_taken_words(spark):
     assert source_mix.mixed_documents(empty(spark)).count() == 0
 
 
+def test_mixed_shards_hold_the_drawn_slots(spark):
+    docs = documents(spark, [prose(k, 30 + k % 90) for k in range(120)], lambda k: ["a", "b", None][k % 3]).union(
+        awkward(spark).select(*documents(spark, ["x"]).columns))
+    got = source_mix.mixed_shards(docs, shard=16).collect()
+    slots, words, want = {}, {}, {}
+    for r in got:
+        slots.setdefault((r.source, r.shard), []).append(r.slot)
+        words.setdefault(r.source, []).extend(WORD.findall(r.text))
+        assert 0 < len(WORD.findall(r.text)) <= source_mix.BLOCK
+    for r in source_mix.mixed_documents(docs, shard=16).collect():
+        want.setdefault(r.source, []).extend(WORD.findall(r.text))
+    assert {s: sorted(w) for s, w in words.items()} == {s: sorted(w) for s, w in want.items()}
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    names = [s for s in sorted({r.source for r in docs.select("source").collect()} - {None})] + [None]
+    shards = max(k for _, k in slots) + 1
+    assert shards > 1
+    for source, number in ((s, names.index(s)) for s in words):
+        total = sum(len(v) for (s, _), v in slots.items() if s == source)
+        for k in range(shards):
+            assert len(slots.get((source, k), [])) == source_mix.share_of_shard(total, shards, k, source_mix.SEED, number)[1]
+    assert source_mix.mixed_shards(empty(spark)).count() == 0
+
+
+def test_mix_of_very_many_tiny_sources(spark):
+    docs = documents(spark, [prose(k, 24) for k in range(600)], lambda k: f"s{k:03}")
+    got = source_mix.taken(docs, weights=(1, 2, 5)).collect()
+    light = [r for r in got if r.target < 12]
+    assert len(light) == 200
+    assert abs(sum(r.taken for r in light) - sum(r.target for r in light)) < 0.3 * sum(r.target for r in light)
+    assert abs(sum(r.taken for r in got) - 600 * 24) < 0.1 * 600 * 24
+
+
 def test_mixed_documents_of_a_row_under_two_sources(spark):
     text = prose(1, 90)
     docs = spark.createDataFrame([(1, text, "en", s, 1) for s in ("a", "b", None)], documents(spark, ["x"]).schema)
