@@ -6,7 +6,7 @@ A node's best possible score for a query is q.c + r|q| (c its centre, r its
 radius); nodes whose bound cannot beat a query's current k-th result are cut off
 with all below them, and a query's leaves are visited from the highest bound down, so
 that its k-th result rises early.  That k-th result is shared: every query first
-meets one shard, and takes its k-th result from there into all others.
+meets one shard, its own by a hash of its number, and takes its k-th result from there into all others.
 
 A query row is sent to every shard, so what moves grows with queries x shards;
 no task holds more than its shard and a batch of queries, and a shard gives at most k
@@ -246,16 +246,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
                           .select(F.monotonically_increasing_id().alias("number"), "id", "vec"))
     nothing = F.array().cast("array<long>")
     bare = [F.col("id"), F.col("vec"), nothing.alias("seed_score"), nothing.alias("seed_id")]
-    first = _searched(candidates.filter("shard = 0").select("shard", "number", *bare)
-                      .union(queries.select(F.lit(0).alias("shard"), "number", *bare)), k)
-    first = materialize(first)
+    home = F.pmod(F.xxhash64("number"), F.lit(shards)).cast("int")
+    others = candidates.select("shard", "number", *bare)
+    first = materialize(_searched(others.union(queries.select(home.alias("shard"), "number", *bare)), k))
     found = first
     if shards > 1:
         held = first.groupBy("number").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("t"))
         seeded = queries.join(held.withColumnRenamed("number", "n"), F.col("number") == F.col("n"), "left").select(
-            F.explode(F.sequence(F.lit(1), F.lit(shards - 1))).alias("shard"), "number", "id", "vec",
+            F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != home)).alias("shard"), "number", "id", "vec",
             F.transform("t", lambda x: -x["s"]).alias("seed_score"), F.col("t.id").alias("seed_id"))
-        others = candidates.filter("shard > 0").select("shard", "number", *bare)
         found = first.union(_searched(others.union(seeded), k))
     rank = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), "id"))
     return (found.withColumn("rank", rank).filter(F.col("rank") <= k)

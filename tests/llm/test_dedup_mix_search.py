@@ -239,3 +239,14 @@ def test_search(spark):
     assert [g for g in got if g[0] not in big and g[2] not in big] == [w for w in sorted(want) if w[2] not in big]
     assert {g[0] for g in got} >= big and len([g for g in got if g[2] in big]) == len([w for w in want if w[2] in big])
     assert topk_search.top_k(df.limit(0), F.col("id") % 5 == 0).count() == 0
+
+
+def test_search_seeds_in_all_shards(spark, monkeypatch):
+    asked, searched = [], topk_search._searched
+    monkeypatch.setattr(topk_search, "_searched", lambda rows, k: asked.append(
+        [(r.shard, r.number) for r in rows.filter("number IS NOT NULL").collect()]) or searched(rows, k))
+    df = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(400)], "vec_id long, embedding array<float>")
+    topk_search.top_k(df, F.col("id") % 5 == 0, shard=100).collect()
+    first, second = asked
+    assert len(first) == len({n for _, n in first}) == 80 and {s for s, _ in first} == {0, 1, 2, 3}
+    assert sorted(first + second) == [(s, n) for s in range(4) for n in sorted({n for _, n in first})]
