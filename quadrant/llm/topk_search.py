@@ -16,7 +16,7 @@ only where its bound is below 2^53 (else in Python integers, held to the range o
 Defined results: a vector that is null, or holds a null or non-finite component, takes
 no part; nor does a null id.  Rows with the query's own id are its own and no
 candidates of it; rows repeated with the same id and vector are each a candidate of others, and one
-query; vectors are compared with those of equal length only (an empty one has score 0);
+query; rows of one id with different vectors are candidates and queries of their own; vectors are compared with those of equal length only (an empty one has score 0);
 ties go to the smaller id; an empty table gives an empty result.  Columns not
 named are not read.
 """
@@ -86,8 +86,9 @@ class BallTree:
         middle, reach = queries @ self.centres[node], norms * self.radii[node]
         return np.floor(middle + reach + 1e-6 + 1e-9 * (np.abs(middle) + reach))
 
-    def search(self, queries: np.ndarray, own: np.ndarray, best: np.ndarray, best_id: np.ndarray) -> None:
-        """Merge this tree's results into best and best_id (a row a query, best first)."""
+    def search(self, queries: np.ndarray, own: np.ndarray, best: np.ndarray, best_id: np.ndarray,
+               here: np.ndarray) -> None:
+        """Merge this tree's results into best and best_id (a row a query, best first); here marks them."""
         norms = np.sqrt((queries**2).sum(axis=1))
 
         def alive(rows, bound, node):
@@ -116,13 +117,13 @@ class BallTree:
             better = bound > top[rows]
             top[rows[better]], at[rows[better]] = bound[better], k
         for k, (node, rows, _) in enumerate(leaves):
-            self._visit(node, rows[at[rows] == k], queries, own, best, best_id)
+            self._visit(node, rows[at[rows] == k], queries, own, best, best_id, here)
         for k in sorted(range(len(leaves)), key=lambda k: -leaves[k][2].max()):
             node, rows, bound = leaves[k]
             left = (at[rows] != k) & alive(rows, bound, node)
-            self._visit(node, rows[left], queries, own, best, best_id)
+            self._visit(node, rows[left], queries, own, best, best_id, here)
 
-    def _visit(self, node, rows, queries, own, best, best_id) -> None:
+    def _visit(self, node, rows, queries, own, best, best_id, here) -> None:
         if not len(rows):
             return
         ids, vectors = self.leaf[node]
@@ -135,7 +136,9 @@ class BallTree:
             k = best.shape[1]
             all_score = np.concatenate([best[rows], score], axis=1)
             all_id = np.concatenate([best_id[rows], np.broadcast_to(ids, score.shape)], axis=1)
+            all_here = np.concatenate([here[rows], np.ones(score.shape, bool)], axis=1)
             order = np.lexsort((all_id, -all_score), axis=-1)[:, :k]
+            here[rows] = np.take_along_axis(all_here, order, 1)
             best[rows] = np.take_along_axis(all_score, order, 1)
             best_id[rows] = np.take_along_axis(all_id, order, 1)
 
@@ -158,6 +161,7 @@ class Best:
     def __init__(self, seeds_score: list, seeds_id: list, k: int):
         n = len(seeds_score)
         self.score, self.id = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        self.here = np.zeros((n, k), bool)  # false: a seed, reported by its own shard
         for r, (s, i) in enumerate(zip(seeds_score, seeds_id, strict=True)):
             self.score[r, :len(s or [])], self.id[r, :len(i or [])] = s or [], i or []
 
@@ -223,9 +227,8 @@ def _answer(queries: pa.RecordBatch, trees: dict[int, BallTree], k: int) -> pa.R
     for d, (rows, vectors) in _vectors(queries.column(3)).items():
         if d in trees:
             best = Best([seeds[0][r] for r in rows], [seeds[1][r] for r in rows], k)
-            known = best.id.copy()
-            trees[d].search(vectors, own[rows], best.score, best.id)
-            new = np.isfinite(best.score) & ~(best.id[:, :, None] == known[:, None, :]).any(axis=2)
+            trees[d].search(vectors, own[rows], best.score, best.id, best.here)
+            new = np.isfinite(best.score) & best.here
             q, c = np.nonzero(new)
             out.append((number[rows][q], best.id[q, c], best.score[q, c].astype(np.int64)))
     cols = [np.concatenate([o[j] for o in out]) if out else np.zeros(0, np.int64) for j in range(3)]

@@ -250,3 +250,22 @@ def test_search_seeds_in_all_shards(spark, monkeypatch):
     first, second = asked
     assert len(first) == len({n for _, n in first}) == 80 and {s for s, _ in first} == {0, 1, 2, 3}
     assert sorted(first + second) == [(s, n) for s in range(4) for n in sorted({n for _, n in first})]
+
+
+def brute_search(rows, k=5):
+    """(query, rank, id, score) of integer vectors, by plain integers; queries are ids divisible by 5."""
+    out = []
+    for q, a in rows:
+        if q % 5 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in rows if i != q)[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    return sorted(out)
+
+
+def test_search_of_one_id_with_different_vectors(spark):
+    rng = random.Random(5)
+    rows = [(k % 40 if k % 5 else k, [rng.randrange(-99, 99) for _ in range(4)]) for k in range(400)]
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in rows], "vec_id long, embedding array<double>")
+    for shard in (1000, 50):
+        got = topk_search.top_k(df, F.col("id") % 5 == 0, factor=1, shard=shard).collect()
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_search(rows)
