@@ -11,7 +11,8 @@ meets one shard, its own by a hash of its number, and takes its k-th result from
 A query row is sent to every shard, so what moves grows with queries x shards;
 no task holds more than its shard and a batch of queries, and a shard gives at most k
 rows a query.  Work is exact: components are integers, and a score is computed in doubles
-only where its bound is below 2^53 (else in Python integers, held to the range of a long).
+only where its bound is below 2^53, else in Python integers.  Those are compared as they are; only the
+score reported is held to the range of a long, and a key of bytes keeps their order between shards.
 
 Defined results: a vector that is null, or holds a null or non-finite component, takes
 no part; nor does a null id.  Rows with the query's own id are its own and no
@@ -37,12 +38,34 @@ from quadrant.session import materialize
 
 SHARD, LEAF, BATCH = 8192, 64, 1024
 EXACT = 2.0**53
+LAST = 2**63 - 1       # scores are reported from -LAST to LAST
 
 
 def scaled(embedding: str, factor: int = 256) -> Column:
     """floor(factor * x) of every component, null if the vector takes no part."""
     bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(~bad, F.transform(embedding, lambda x: F.floor(x.cast("double") * factor).cast("double")))
+    largest = F.lit(float(np.finfo(np.float64).max))
+
+    def whole(x: Column) -> Column:  # doubles beyond EXACT are integers, and F.floor stops at a long
+        wide = F.greatest(F.least(x.cast("double") * factor, largest), -largest)
+        return F.when(F.abs(wide) < EXACT, F.floor(wide).cast("double")).otherwise(wide)
+
+    return F.when(~bad, F.transform(embedding, whole))
+
+
+def order_key(score: int) -> bytes | None:
+    """Bytes that sort scores at or beyond the ends of a long, the largest first; None inside."""
+    if abs(score) < LAST:
+        return None
+    size = abs(score).bit_length() // 8 + 1
+    raw = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return b"\x01" + raw if score < 0 else b"\x00" + bytes(255 - b for b in raw)
+
+
+def from_key(score: int, key: bytes | None) -> int:
+    if key is None:
+        return score
+    return -int.from_bytes(key[5:], "big") if key[0] else int.from_bytes(bytes(255 - b for b in key[5:]), "big")
 
 
 class BallTree:
@@ -52,8 +75,12 @@ class BallTree:
         self.centres, self.radii, self.low_id, self.children, self.leaf = [], [], [], [], []
         self._build(ids, vectors)
         self.centres, self.radii = np.array(self.centres), np.array(self.radii)
+        self.peak = np.abs(vectors).max(initial=0.0)
+        with np.errstate(over="ignore"):
+            self.reach = np.sqrt((self.centres**2).sum(axis=1)) + self.radii
         self.low_id = np.array(self.low_id)
 
+    @np.errstate(over="ignore", invalid="ignore")
     def _build(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         todo = [(np.arange(len(ids)), -1, 0)]
         while todo:
@@ -65,7 +92,7 @@ class BallTree:
             centre = here.mean(axis=0)
             away = np.sqrt(((here - centre) ** 2).sum(axis=1))
             self.centres.append(centre)
-            self.radii.append(away.max())
+            self.radii.append(away.max() if np.isfinite(away).all() else np.inf)
             self.low_id.append(ids[rows].min())
             self.children.append([-1, -1])
             if len(rows) <= LEAF:
@@ -83,13 +110,16 @@ class BallTree:
 
     def bounds(self, queries: np.ndarray, norms: np.ndarray, node: int) -> np.ndarray:
         """The best integer score that each query can have below a node."""
-        middle, reach = queries @ self.centres[node], norms * self.radii[node]
-        return np.floor(middle + reach + 1e-6 + 1e-9 * (np.abs(middle) + reach))
+        with np.errstate(over="ignore", invalid="ignore"):
+            middle, slack = queries @ self.centres[node], 1e-6 + 1e-9 * norms * self.reach[node]
+            bound = np.floor(middle + norms * self.radii[node] + slack)
+        return np.where(np.isfinite(bound), bound, np.inf)
 
     def search(self, queries: np.ndarray, own: np.ndarray, best: np.ndarray, best_id: np.ndarray,
                here: np.ndarray) -> None:
         """Merge this tree's results into best and best_id (a row a query, best first); here marks them."""
-        norms = np.sqrt((queries**2).sum(axis=1))
+        with np.errstate(over="ignore"):
+            norms = np.sqrt((queries**2).sum(axis=1))
 
         def alive(rows, bound, node):
             kth = best[rows, -1]
@@ -129,38 +159,48 @@ class BallTree:
         ids, vectors = self.leaf[node]
         score = inner(queries[rows], vectors)
         score[own[rows][:, None] == ids[None, :]] = -np.inf
+        score = score.astype(best.dtype, copy=False)
         kth, kth_id = best[rows, -1][:, None], best_id[rows, -1][:, None]
-        hit = ((score > kth) | ((score == kth) & (ids[None, :] < kth_id) & np.isfinite(score))).any(axis=1)
+        hit = ((score > kth) | ((score == kth) & (ids[None, :] < kth_id) & (score > -np.inf))).any(axis=1)
         rows, score = rows[hit], score[hit]
         if len(rows):
             k = best.shape[1]
             all_score = np.concatenate([best[rows], score], axis=1)
             all_id = np.concatenate([best_id[rows], np.broadcast_to(ids, score.shape)], axis=1)
             all_here = np.concatenate([here[rows], np.ones(score.shape, bool)], axis=1)
-            order = np.lexsort((all_id, -all_score), axis=-1)[:, :k]
+            falling = -all_score
+            if best.dtype == object:  # lexsort needs numbers: places among all scores
+                falling = np.unique(falling, return_inverse=True)[1].reshape(falling.shape)
+            order = np.lexsort((all_id, falling), axis=-1)[:, :k]
             here[rows] = np.take_along_axis(all_here, order, 1)
             best[rows] = np.take_along_axis(all_score, order, 1)
             best_id[rows] = np.take_along_axis(all_id, order, 1)
 
 
 def inner(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact integer inner products, as doubles where those are exact and
-    Python integers rounded to doubles beyond."""
+    """Exact integer inner products: doubles if all are exact, else with Python
+    integers in place of those that may not be."""
     with np.errstate(over="ignore", invalid="ignore"):
+        score = queries @ vectors.T
         if not vectors.size or np.abs(queries).max() * np.abs(vectors).max() * vectors.shape[1] < EXACT:
-            return queries @ vectors.T
-    whole = [[int(x) for x in v] for v in vectors]
-    limit = 2**63 - 1024  # the largest double that is a long
-    return np.array([[float(max(-limit, min(limit, sum(int(a) * b for a, b in zip(q, v, strict=True))))) for v in whole]
-                     for q in queries])
+            return score
+        peaks = np.abs(queries).max(axis=1)[:, None] * np.abs(vectors).max(axis=1)[None, :] * vectors.shape[1]
+    score = score.astype(object)
+    wide = ~(peaks < EXACT)
+    whole = {c: [int(x) for x in vectors[c]] for c in np.flatnonzero(wide.any(axis=0)).tolist()}
+    for r in np.flatnonzero(wide.any(axis=1)).tolist():
+        query = [int(x) for x in queries[r]]
+        for c in np.flatnonzero(wide[r]).tolist():
+            score[r, c] = sum(a * b for a, b in zip(query, whole[c], strict=True))
+    return score
 
 
 class Best:
     """k best so far of some queries, from seeds where there are any."""
 
-    def __init__(self, seeds_score: list, seeds_id: list, k: int):
+    def __init__(self, seeds_score: list, seeds_id: list, k: int, wide: bool):
         n = len(seeds_score)
-        self.score, self.id = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        self.score, self.id = np.full((n, k), -np.inf, object if wide else np.float64), np.full((n, k), np.iinfo(np.int64).max)
         self.here = np.zeros((n, k), bool)  # false: a seed, reported by its own shard
         for r, (s, i) in enumerate(zip(seeds_score, seeds_id, strict=True)):
             self.score[r, :len(s or [])], self.id[r, :len(i or [])] = s or [], i or []
@@ -179,10 +219,10 @@ def _vectors(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 
 def _searched(rows: DataFrame, k: int) -> DataFrame:
-    """rows: shard, number (null: a candidate), id, vec, seed_score, seed_id;
-    gives number, id, score: a shard's best k for each query that meets it."""
+    """rows: shard, number (null: a candidate), id, vec, seed_score, seed_key, seed_id;
+    gives number, id, score, key: a shard's best k for each query that meets it."""
     schema = T.StructType([T.StructField("number", T.LongType()), T.StructField("id", T.LongType()),
-                           T.StructField("score", T.LongType())])
+                           T.StructField("score", T.LongType()), T.StructField("key", T.BinaryType())])
     dealt = rows.repartition("shard").sortWithinPartitions("shard", F.col("number").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +244,7 @@ def _searched(rows: DataFrame, k: int) -> DataFrame:
                             trees, gathered = _trees(gathered), []
                         yield _answer(part.slice(n), trees, k)
 
-    return dealt.select("shard", "number", "id", "vec", "seed_score", "seed_id").mapInArrow(run, schema)
+    return dealt.select("shard", "number", "id", "vec", "seed_score", "seed_key", "seed_id").mapInArrow(run, schema)
 
 
 def _trees(parts: list[pa.RecordBatch]) -> dict[int, BallTree]:
@@ -222,17 +262,26 @@ def _trees(parts: list[pa.RecordBatch]) -> dict[int, BallTree]:
 
 def _answer(queries: pa.RecordBatch, trees: dict[int, BallTree], k: int) -> pa.RecordBatch:
     number, own = np.asarray(queries.column(1)), np.asarray(queries.column(2))
-    seeds = queries.column(4).to_pylist(), queries.column(5).to_pylist()
+    scores, keys, seed_ids = (queries.column(c).to_pylist() for c in (4, 5, 6))
+    seeds = [[from_key(*s) for s in zip(ss or [], ks or [], strict=True)] for ss, ks in zip(scores, keys, strict=True)]
     out = []
     for d, (rows, vectors) in _vectors(queries.column(3)).items():
         if d in trees:
-            best = Best([seeds[0][r] for r in rows], [seeds[1][r] for r in rows], k)
+            peak = np.abs(vectors).max(initial=0.0)
+            with np.errstate(over="ignore"):
+                wide = not peak * trees[d].peak * d < EXACT or any(abs(s) >= EXACT for r in rows for s in seeds[r])
+            best = Best([seeds[r] for r in rows], [seed_ids[r] for r in rows], k, wide)
             trees[d].search(vectors, own[rows], best.score, best.id, best.here)
-            new = np.isfinite(best.score) & best.here
-            q, c = np.nonzero(new)
-            out.append((number[rows][q], best.id[q, c], best.score[q, c].astype(np.int64)))
-    cols = [np.concatenate([o[j] for o in out]) if out else np.zeros(0, np.int64) for j in range(3)]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["number", "id", "score"])
+            q, c = np.nonzero((best.score > -np.inf) & best.here)
+            score, key = best.score[q, c], np.full(len(q), None, object)
+            if wide:
+                exact = [int(s) for s in score]
+                key[:] = [order_key(s) for s in exact]
+                score = np.array([max(-LAST, min(LAST, s)) for s in exact], np.int64)
+            out.append((number[rows][q], best.id[q, c], score.astype(np.int64), key))
+    kinds = {"number": pa.int64(), "id": pa.int64(), "score": pa.int64(), "key": pa.binary()}
+    cols = [np.concatenate([o[j] for o in out]) if out else [] for j in range(len(kinds))]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], list(kinds))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding",
@@ -248,18 +297,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     queries = materialize(rows.filter("asks").select("id", "vec").distinct()
                           .select(F.monotonically_increasing_id().alias("number"), "id", "vec"))
     nothing = F.array().cast("array<long>")
-    bare = [F.col("id"), F.col("vec"), nothing.alias("seed_score"), nothing.alias("seed_id")]
+    bare = [F.col("id"), F.col("vec"), nothing.alias("seed_score"), F.array().cast("array<binary>").alias("seed_key"),
+            nothing.alias("seed_id")]
     home = F.pmod(F.xxhash64("number"), F.lit(shards)).cast("int")
     others = candidates.select("shard", "number", *bare)
     first = materialize(_searched(others.union(queries.select(home.alias("shard"), "number", *bare)), k))
     found = first
     if shards > 1:
-        held = first.groupBy("number").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("t"))
+        held = first.groupBy("number").agg(F.sort_array(F.collect_list(
+            F.struct((-F.col("score")).alias("s"), "key", "id"))).alias("t"))
         seeded = queries.join(held.withColumnRenamed("number", "n"), F.col("number") == F.col("n"), "left").select(
             F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != home)).alias("shard"), "number", "id", "vec",
-            F.transform("t", lambda x: -x["s"]).alias("seed_score"), F.col("t.id").alias("seed_id"))
+            F.transform("t", lambda x: -x["s"]).alias("seed_score"), F.col("t.key").alias("seed_key"), F.col("t.id").alias("seed_id"))
         found = first.union(_searched(others.union(seeded), k))
-    rank = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), "id"))
+    rank = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), "key", "id"))
     return (found.withColumn("rank", rank).filter(F.col("rank") <= k)
                  .join(queries.select(F.col("number").alias("n"), F.col("id").alias("query_id")), F.col("number") == F.col("n"))
                  .select("query_id", "rank", F.col("id").alias("vec_id"), "score"))

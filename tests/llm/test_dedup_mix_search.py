@@ -269,3 +269,20 @@ def test_search_of_one_id_with_different_vectors(spark):
     for shard in (1000, 50):
         got = topk_search.top_k(df, F.col("id") % 5 == 0, factor=1, shard=shard).collect()
         assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_search(rows)
+
+
+def test_search_of_very_large_vectors(spark):
+    rng = random.Random(6)
+    rows = [(k, [rng.choice((-1, 1)) * (rng.randrange(4) + base) for _ in range(4)]) for k in range(200)
+            for base in [(5, 2**27, 2**33, 2**52)[k % 4]]]
+    rows += [(200, [2**900] * 4), (201, [-(2**900), 2**900, 1, 0]), (202, [2**62, -(2**62), 3, 1])]
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in rows], "vec_id long, embedding array<double>")
+    assert [[int(x) for x in r.v] for r in df.orderBy("vec_id").select(topk_search.scaled("embedding", 1).alias("v")).collect()] == [v for _, v in rows]
+    want = [(q, n, i, max(-topk_search.LAST, min(topk_search.LAST, s))) for q, n, i, s in brute_search(rows)]
+    assert len({s for *_, s in want if 2**53 < s < 2**63 - 1}) > 10
+    for shard in (1000, 30):
+        got = topk_search.top_k(df, F.col("id") % 5 == 0, factor=1, shard=shard).collect()
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == want
+    scores = sorted([3, -(2**63), 2**63, 2**63 - 1, 1 - 2**63, 2**64, -(2**700), 2**700], reverse=True)
+    order = sorted(scores, key=lambda s: (-max(-topk_search.LAST, min(topk_search.LAST, s)), topk_search.order_key(s) or b""))
+    assert order == scores and [topk_search.from_key(s, topk_search.order_key(s)) for s in scores] == scores
