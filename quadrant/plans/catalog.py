@@ -212,16 +212,19 @@ def _counter_query(counter):
 
 
 def _execute_query(dialect):
+    """A completion without a prompt has nothing to run on: not ok, 'bad matrix'."""
     def q(spark, sf):
         c = with_scripts(spark, sf)
         p = tb.prompts(spark, sf).select("prompt_id", "A", "B", "C")
-        df = dsl.compile_shared(c.drop("completion").join(p, "prompt_id"), "script", dialect)
+        df = dsl.compile_shared(c.drop("completion").join(p, "prompt_id", "left"), "script", dialect)
         df = dsl.execute(df, "prog", "A", "B", "C")
-        res = F.col("exec.result")
-        return df.select("prompt_id", "gen_idx", F.col("exec.ok").alias("ok"), F.col("exec.err").alias("err"),
-                         F.col("exec.eline").alias("eline"),
+        found = F.col("A").isNotNull() & F.col("B").isNotNull()
+        res = F.when(found, F.col("exec.result"))
+        return df.select("prompt_id", "gen_idx", F.when(found, F.col("exec.ok")).otherwise(F.lit(False)).alias("ok"),
+                         F.when(found, F.col("exec.err")).otherwise(F.lit("bad matrix")).alias("err"),
+                         F.when(found, F.col("exec.eline")).alias("eline"),
                          *[mx.at(res, r, c).alias(f"c{r}{c}") for r in (0, 1) for c in (0, 1)],
-                         F.col("exec.correct").alias("correct"))
+                         F.when(found, F.col("exec.correct")).alias("correct"))
     return q
 
 
@@ -299,7 +302,7 @@ def q_j6_lint(spark, sf):
 def _verify_v1(spark, sf, counter):
     c = tb.completions(spark, sf)
     p = tb.prompts(spark, sf).select("prompt_id", "A", "B", "C")
-    v = ev.verify(c.join(p, "prompt_id").withColumnRenamed("completion", "reply"), "reply", "A", "B", "E1", counter, expected="C")
+    v = ev.verify(c.join(p, "prompt_id", "left").withColumnRenamed("completion", "reply"), "reply", "A", "B", "E1", counter, expected="C")
     return v.drop("reply")
 
 

@@ -170,3 +170,25 @@ def test_evaluation_of_nothing_and_failed_records(spark):
     models = spark.createDataFrame([("m",), ("idle",)], "model string")
     got = {r.model: (r.total_tests, r.accuracy_pct) for r in ev.batch_evaluation(v, models).collect()}
     assert got == {"m": (3, "33.3%"), "idle": (0, "0.0%")}
+
+
+SF_SMALL = "/root/testdata/sf0.001"
+
+
+def test_completions_without_a_prompt_are_run_and_verified(spark, tmp):
+    from quadrant.plans import catalog
+    lineitem = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").filter("l_orderkey < 40")
+    lineitem.write.parquet(f"{tmp}/lineitem.parquet")
+    spark.read.parquet(f"{SF_SMALL}/orders.parquet").filter("o_orderkey < 20").write.parquet(f"{tmp}/orders.parquet")
+    rows = lineitem.collect()
+    lone = sorted((r.l_orderkey, r.l_linenumber - 1) for r in rows if r.l_orderkey >= 20)
+    assert 0 < len(lone) < len(rows)
+    ran = catalog._execute_query("E1")(spark, tmp).collect()
+    assert len(ran) == len(rows)
+    found = [r for r in ran if r.prompt_id >= 20]
+    assert sorted((r.prompt_id, r.gen_idx) for r in found) == lone
+    assert {(r.ok, r.err, r.eline, r.c00, r.c11, r.correct) for r in found} == {(False, "bad matrix", None, None, None, None)}
+    assert any(r.ok and r.correct for r in ran if r.prompt_id < 20)
+    verified = catalog.q_r7_verify_v1(spark, tmp).collect()
+    assert sorted((r.prompt_id, r.gen_idx) for r in verified if r.prompt_id >= 20) == lone
+    assert {(r.status, r.correct, r.e00) for r in verified if r.prompt_id >= 20} == {("FAILED", False, None)}
