@@ -79,3 +79,8 @@ def test_inference_prompt(spark):
     df = spark.createDataFrame([("q", [[1, 2], [3, 4]], [[5, 6], [7, 8]])],
                                "u string, a array<array<bigint>>, b array<array<bigint>>")
     assert df.select(tx.inference_prompt("u", "a", "b")).first()[0] == "q (Using A=[[1, 2], [3, 4]], B=[[5, 6], [7, 8]])"
+
+
+def test_truncate(spark):
+    df = spark.createDataFrame([("x" * 99 + "é!",), ("short",), (None,)], "m string")
+    assert [r[0] for r in df.select(tx.truncate("m")).collect()] == ["x" * 99 + "é", "short", None]
