@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from quadrant.llm import exact_dedup, language_id, quality_classifier, secret_scan, sentencepiece_codec, simhash_neardup, source_mix, token_counts, tool_calls, topk_search
+from quadrant.llm import exact_dedup, fill_in_middle, language_id, lexical_search, lm_scoring, quality_classifier, secret_scan, sentencepiece_codec, simhash_neardup, source_mix, token_counts, tool_calls, topk_search
 from quadrant.llm.common import id_remainder, table
 
 
@@ -72,6 +72,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scoring.score(table(spark, sf_dir, "documents"), id_remainder("id", 5) != 1)
+    return scored.select("doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score", "bits_per_byte")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digest(c):
+        return F.sha2(c.cast("binary"), 256)
+
+    return (fill_in_middle.transform(table(spark, sf_dir, "documents"), seed=7)
+            .select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+                    digest(fill_in_middle.restored()).alias("restored_sha256")))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 ORACLE_OP4 = r"""
 WITH RECURSIVE turns AS (
   SELECT conv_id, turn, role, text, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM conversations
@@ -150,6 +169,68 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+ORACLE_OP12 = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), parts AS (
+  SELECT doc_id, t, string_split(t, chr(10)) AS p,
+         [('0x' || substr(h, 8 * k + 1, 8))::BIGINT FOR k IN range(4)] AS h FROM texts
+), lines AS (
+  SELECT doc_id, t, h, list_filter(list_transform(p, lambda x, i: CASE WHEN i < len(p) THEN x || chr(10) ELSE x END),
+                                   lambda x: x <> '') AS units FROM parts
+), cuts AS (
+  SELECT *, len(units) AS n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a,
+         greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain'
+              WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM lines
+), pieces AS (
+  SELECT doc_id, t, n, form, coalesce(array_to_string(units[1:a], ''), '') AS prefix,
+         coalesce(array_to_string(units[a + 1:b], ''), '') AS middle,
+         coalesce(array_to_string(units[b + 1:], ''), '') AS suffix FROM cuts
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM pieces
+"""
+
+ORACLE_OP13 = r"""
+WITH terms AS (
+  SELECT d, doc_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS d, doc_id, text FROM documents)
+), asked AS (
+  SELECT item_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), wanted AS (
+  SELECT item_id, term, count(*) AS times FROM asked GROUP BY ALL
+), lengths AS (
+  SELECT d, any_value(doc_id) AS doc_id, count(*) AS n FROM terms GROUP BY d
+), corpus AS (
+  SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM lengths
+), postings AS (
+  SELECT d, term, count(*) AS tf FROM terms SEMI JOIN wanted USING (term) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM postings, corpus GROUP BY term, docs
+), impacts AS (
+  SELECT p.d, p.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // total))) AS impact
+  FROM postings p JOIN weights USING (term) JOIN lengths USING (d), corpus
+), scores AS (
+  SELECT item_id, d, sum(times * impact)::BIGINT AS score FROM wanted JOIN impacts USING (term) GROUP BY ALL
+), ranked AS (
+  SELECT item_id, doc_id, score,
+         row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank
+  FROM scores JOIN lengths USING (d) WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -162,6 +243,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_topk_search": op9_topk_search,
         "op10_token_counts": op10_token_counts,
+        "op11_lm_scoring": op11_lm_scoring,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
@@ -170,4 +254,6 @@ def oracles() -> dict[str, str]:
         "op4_tool_calls": ORACLE_OP4,
         "op6_exact_dedup": ORACLE_OP6,
         "op9_topk_search": ORACLE_OP9,
+        "op12_fill_in_middle": ORACLE_OP12,
+        "op13_lexical_search": ORACLE_OP13,
     }
