@@ -78,9 +78,9 @@ class Shard:
         self.by_doc = np.lexsort((self.doc, term))  # positions in document order, list by list
         self.docs_sorted = self.doc[self.by_doc]
 
-    def search(self, query: dict[int, int], k: int, floor: int) -> list[tuple[int, int]]:
+    def search(self, query: dict[int, int], k: int, floor: int, step: int = STEP) -> list[tuple[int, int]]:
         """(score, row) of every document that can be among the k best, if it scores at least ``floor``.
-        ``query``: times each term is asked for."""
+        ``query``: times each term is asked for; ``step``: positions read first."""
         lists = [(t, n) for t, n in query.items() if self.first[t] < self.first[t + 1]]
         if not lists:
             return []
@@ -91,7 +91,7 @@ class Shard:
         best = np.zeros(len(lists), np.int64)         # length of the seen run
         met = np.zeros(len(self.ids), bool)
         rows, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        read, step, kth = 0, STEP, floor
+        read, kth = 0, floor
         while True:
             new = np.unique(np.concatenate([self.doc[b + read:b + min(read + step, n)] for b, n in zip(begin, size)
                                             if read < n] or [np.zeros(0, np.int64)]))
@@ -174,11 +174,11 @@ def _searched(postings: DataFrame, queries: list[tuple], asked: list[dict[int, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, own, w = sent.value
         top: list[list] = [[] for _ in names]
-        for shard in _shards(batches):
+        for shard in _shards(batches, SHARD):
             lists = Shard(*shard, w, documents, total)
             for i, query in enumerate(own):
                 floor = top[i][-1][0] if len(top[i]) == k else 1
-                best = [(s, lists.ids[r]) for s, r in lists.search(query, k, floor)]
+                best = [(s, lists.ids[r]) for s, r in lists.search(query, k, floor, STEP)]
                 if best:
                     top[i] = sorted(top[i] + best, key=_order)[:k]
         rows = [(i, names[i], d, s) for i, best in enumerate(top) for s, d in best]
@@ -191,17 +191,17 @@ def _searched(postings: DataFrame, queries: list[tuple], asked: list[dict[int, i
     return postings.mapInArrow(run, f"query int, item_id {item_kind.simpleString()}, doc_id {doc_kind.simpleString()}, score long")
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list, list]]:
-    """The rows of a partition, ``SHARD`` at a time."""
+def _shards(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[list, list, list, list]]:
+    """The rows of a partition, so many at a time."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         at = 0
         while at < batch.num_rows:
-            part = batch.slice(at, SHARD - size)
+            part = batch.slice(at, rows - size)
             held.append(part)
             at, size = at + part.num_rows, size + part.num_rows
-            if size == SHARD:
+            if size == rows:
                 yield tuple(pa.Table.from_batches(held).to_pydict().values())
                 held, size = [], 0
     if size:

@@ -7,13 +7,13 @@ with one more byte of context; a prediction mixes the estimates of all depths by
 that training left on its path.  The model's log10 probability of a text is the sum over its bytes, A-Z
 lower-cased, and an end symbol (0xFF, which UTF-8 never holds); before a text stand ``depth`` zero bytes.
 
-How it runs: texts are dealt into blocks of about ``BLOCK`` bytes and stored.  Each block reports its different
+How it runs: texts are dealt into blocks of about ``BLOCK`` bytes and stored, packed.  Each block reports its different
 grams (context and byte) and words with their training counts, zero for held-out texts, so the tree has a path
 for all that will be asked.  Counts are summed by Spark.  Grams that share their last two context
 bytes are one subtree (at most 2^24 grams at depth 4, whatever the corpus): every subtree is weighted in one task, up for
 block probabilities and, after the two top levels (at most 65,280 nodes) are done on the driver, down for the price
-of each gram.  Prices go back to the blocks that hold the gram, by joins, and each
-block adds up its texts.  Nothing is cut off: tables of grams and words grow with the corpus.
+of each gram.  Prices go back to the blocks that hold the gram, by a join, and counts of words to the
+blocks whose own count is not all there is; each block adds up its texts.  Nothing is cut off: tables of grams and words grow with the corpus.
 
 Beside it stands the base score: words and one end per text, priced by smoothed counts of training tokens.
 
@@ -33,16 +33,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quadrant.llm.common import narrow
 from quadrant.session import checkpoint_dir
 
 DEPTH = 4               # bytes of context
-BLOCK = 8 << 20         # bytes of text priced together
-FLAT = 4 << 20          # bytes of a block worked on at once
+BLOCK = 10 << 20        # bytes of text priced together
+FLAT = 1 << 20          # bytes of a block packed and worked on at once
 SUBTREE_ROWS = 1 << 18  # grams of whole subtrees worked on at once
 END = b"\xff"
 LOG_HALF = math.log(0.5)
@@ -53,27 +55,15 @@ LOG_HALF = math.log(0.5)
 def _flat(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The texts' grams one after the other, and where each text's begin and end.  A gram holds
     the latest byte of context highest, then older ones, and the predicted byte lowest."""
-    pad = b"\0" * depth
-    data = np.frombuffer(b"".join(pad + t + END for t in texts), np.uint8).astype(np.uint64)
-    ends = np.cumsum([len(t) + 1 + depth for t in texts])
-    begins = ends - [len(t) + 1 for t in texts]
-    grams = data[depth:].copy()
-    for d in range(1, depth + 1):
-        grams |= data[depth - d:len(data) - d] << np.uint64(8 * (depth - d + 1))
-    return grams, begins - depth, ends - depth
-
-
-def _pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
-    """Runs of texts of about ``FLAT`` bytes."""
-    piece, size = [], 0
-    for t in texts:
-        piece.append(t)
-        size += len(t) + 1
-        if size >= FLAT:
-            yield piece
-            piece, size = [], 0
-    if piece:
-        yield piece
+    pad = b"\0" * 8
+    data = b"".join(part for t in texts for part in (pad, t, END))
+    # at every place the eight bytes before it, as one number: the latest is the highest
+    before = np.ndarray(len(data) - 8, "<u8", data, strides=(1,))
+    grams = before >> np.uint64(64 - 8 * depth)
+    grams <<= np.uint64(8)
+    grams |= np.frombuffer(data, np.uint8, offset=8)
+    ends = np.cumsum([len(t) + 9 for t in texts])
+    return grams, ends - [len(t) + 9 for t in texts], ends - 8
 
 
 def _tallied(grams: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -91,31 +81,33 @@ def _tallied(grams: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.n
     return grams[first], np.diff(np.append(first, len(grams)))
 
 
-def _block_grams(texts: list[bytes], trains: list[bool], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The different grams of a block and how often its training texts hold each."""
-    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+def _piece_grams(texts: list[bytes], trains: list[bool], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Different grams of a piece's training texts with their counts, and of its other texts with zeros."""
     for wanted in (True, False):
-        for piece in _pieces([t for t, own in zip(texts, trains) if own is wanted]):
-            grams, begins, ends = _flat(piece, depth)
+        own = [t for t, x in zip(texts, trains) if x is wanted]
+        if own:
+            grams, begins, ends = _flat(own, depth)
             inside = np.zeros(len(grams) + 1, np.int8)
             inside[begins] += 1
             inside[ends] -= 1
             keys, n = _tallied(grams[np.cumsum(inside[:-1], dtype=np.int8).view(bool)])
-            found.append((keys, n if wanted else np.zeros(len(keys), np.int64)))
+            yield keys, n if wanted else np.zeros(len(keys), np.int64)
+
+
+def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     return _tallied(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]))
 
 
-def _block_words(texts: list[bytes], trains: list[bool]) -> Counter:
-    """The different words of a block and how often its training texts hold each; b'' is the end."""
-    words: Counter = Counter()
+def _count_words(words: Counter, texts: list[bytes], trains: list[bool]) -> None:
+    """Add a piece's words, with their number in training texts; b'' is the end."""
     for t, own in zip(texts, trains):
         if own:
             words.update(t.split())
             words[b""] += 1
         else:
-            words.update(dict.fromkeys(t.split(), 0))
-            words[b""] += 0
-    return words
+            for w in t.split():
+                words.setdefault(w, 0)
+            words.setdefault(b"", 0)
 
 
 # ---- the weighted tree ---------------------------------------------------------
@@ -193,7 +185,7 @@ def _down(levels: list[dict], start: np.ndarray, plane: int) -> np.ndarray:
     return np.stack([zero[own], one[own]])
 
 
-def _subtrees(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _subtrees(batches: Iterator[pa.RecordBatch], depth: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Whole subtrees of a partition, some at a time: sorted grams and counts."""
     tables = [b for b in batches if b.num_rows]
     if not tables:
@@ -206,7 +198,7 @@ def _subtrees(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[n
     borders = np.append(np.flatnonzero(tree[1:] != tree[:-1]) + 1, len(keys))
     begin = 0
     while begin < len(keys):
-        end = borders[min(np.searchsorted(borders, begin + SUBTREE_ROWS), len(borders) - 1)]
+        end = borders[min(np.searchsorted(borders, begin + rows), len(borders) - 1)]
         yield keys[begin:end], n[begin:end]
         begin = end
 
@@ -217,7 +209,7 @@ def _tops(counts: DataFrame, depth: int) -> np.ndarray:
 
     def run(batches):
         sums = np.zeros((3, 8 * 256 * 128))
-        for keys, n in _subtrees(batches, depth):
+        for keys, n in _subtrees(batches, depth, SUBTREE_ROWS):
             for plane in range(8):
                 level = _up(keys, n, plane, depth)[-1]
                 at = _top(level["node"], plane).astype(np.int64)
@@ -247,7 +239,7 @@ def _prices(counts: DataFrame, start: np.ndarray, depth: int) -> DataFrame:
     """gram, value: log10 probability of the gram's byte after its context."""
 
     def run(batches):
-        for keys, n in _subtrees(batches, depth):
+        for keys, n in _subtrees(batches, depth, SUBTREE_ROWS):
             value = np.zeros(len(keys))
             for plane in range(8):
                 both = _down(_up(keys, n, plane, depth), start, plane)
@@ -261,32 +253,52 @@ def _prices(counts: DataFrame, start: np.ndarray, depth: int) -> DataFrame:
 
 # ---- jobs ----------------------------------------------------------------------
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """id, trains, text (lower-cased bytes) and the block each row belongs to."""
+def _packed(docs: DataFrame) -> DataFrame:
+    """Pieces of about ``FLAT`` bytes of texts, lower-cased and compressed, with the block they belong to."""
 
     def run(batches):
-        block, size = TaskContext.get().partitionId() << 33, 0
+        pack = zstandard.ZstdCompressor(level=3).compress
+        block, filled = TaskContext.get().partitionId() << 33, 0
+        ids, trains, texts, size = [], [], [], 0
+        names = ["block", "ids", "trains", "lengths", "texts"]
+
+        def piece():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([trains], pa.list_(pa.bool_())),
+                 pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([pack(b"".join(texts))], pa.binary())],
+                names=names)
+
         for batch in batches:
-            own = []
-            for length in pc.binary_length(batch.column("text")).to_pylist():
-                if size and size + length > BLOCK:
-                    block, size = block + 1, 0
-                size += length + 1
-                own.append(block)
-            text = pa.array([t.lower() for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), batch.column("id"), batch.column("trains"), text],
-                                             names=["block", "id", "trains", "text"])
+            for i, own, t in zip(*[batch.column(c).to_pylist() for c in ("id", "trains", "text")]):
+                ids.append(i)
+                trains.append(own)
+                texts.append(t.lower())
+                size += len(t) + 1
+                if size >= FLAT:
+                    yield piece()
+                    filled += size
+                    ids, trains, texts, size = [], [], [], 0
+                    if filled >= BLOCK:
+                        block, filled = block + 1, 0
+        if ids:
+            yield piece()
+
+    kind = docs.schema["id"].dataType
+    id_type = to_arrow_type(kind)
+    return docs.mapInArrow(run, f"block long, ids array<{kind.simpleString()}>, trains array<boolean>, lengths array<long>, texts binary")
+
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"block long, id {kind}, trains boolean, text binary")
+def _unpacked(blob: bytes, lengths: list[int]) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(blob, max_output_size=max(1, sum(lengths)))
+    ends = np.cumsum(lengths).tolist()
+    return [data[e - n:e] for e, n in zip(ends, lengths)]
 
 
-def _seen(stored: DataFrame, depth: int) -> DataFrame:
+def _seen(packed: DataFrame, depth: int) -> DataFrame:
     """block, gram or word, n: what each block holds, with its number in training texts."""
 
-    def report(block, texts, trains):
-        keys, n = _block_grams(texts, trains, depth)
-        words = _block_words(texts, trains)
+    def report(block, grams, words):
+        keys, n = _merged(grams)
         size = len(keys) + len(words)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(size, block)),
@@ -296,19 +308,20 @@ def _seen(stored: DataFrame, depth: int) -> DataFrame:
             names=["block", "gram", "word", "n"])
 
     def run(batches):
-        block, texts, trains = None, [], []
+        block, grams, words = None, [], Counter()
         for batch in batches:
-            for b, t, own in zip(*[batch.column(c).to_pylist() for c in ("block", "text", "trains")]):
-                if b != block and texts:
-                    yield from report(block, texts, trains)
-                    texts, trains = [], []
+            for b, trains, lengths, blob in zip(*[batch.column(c).to_pylist() for c in ("block", "trains", "lengths", "texts")]):
+                if b != block and grams:
+                    yield from report(block, grams, words)
+                    grams, words = [], Counter()
                 block = b
-                texts.append(t)
-                trains.append(own)
-        if texts:
-            yield from report(block, texts, trains)
+                texts = _unpacked(blob, lengths)
+                grams += _piece_grams(texts, trains, depth)
+                _count_words(words, texts, trains)
+        if grams:
+            yield from report(block, grams, words)
 
-    return stored.select("block", "trains", "text").mapInArrow(run, "block long, gram long, word binary, n long")
+    return packed.drop("ids").mapInArrow(run, "block long, gram long, word binary, n long")
 
 
 def score(docs: DataFrame, trains: Column, text: str = "text", doc_id: str = "doc_id", depth: int = DEPTH) -> DataFrame:
@@ -322,56 +335,70 @@ def score(docs: DataFrame, trains: Column, text: str = "text", doc_id: str = "do
     folder = f"{checkpoint_dir(spark)}/lm-{uuid.uuid4().hex}"
 
     def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
+        df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
     given = narrow(docs, id=doc_id, text=text).select(
         "id", F.coalesce(trains, F.lit(False)).alias("trains"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    stored = kept(_blocks(given), "texts")
-    seen = kept(_seen(stored, depth), "seen")
+    packed = kept(_packed(given), "texts")
+    seen = kept(_seen(packed, depth), "seen")
 
     counts = kept(seen.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")), "counts")
     counts = counts.repartition(F.shiftright("gram", 8 * (depth - 1)))  # a subtree stays together
     grams = _prices(counts, _tops(counts, depth), depth)
 
-    words = kept(seen.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total, known = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    below = total + 0.5 * (known + 1)
+    # a word's rows are one a block at most; where a block holds all of a word, its own count is right
+    of_word = Window.partitionBy("word")
+    everywhere = seen.filter("word IS NOT NULL").select(
+        "block", "word", "n", F.sum("n").over(of_word).alias("c"), F.row_number().over(of_word.orderBy("block")).alias("nth"))
+    words = kept(everywhere.filter("c <> n OR nth = 1").select(
+        "block", F.when(F.col("c") != F.col("n"), F.col("word")).alias("word"), "c",
+        ((F.col("nth") == 1) & (F.col("c") > 0)).alias("known")), "words")
+    total = seen.filter("word IS NOT NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    below = total + 0.5 * (words.filter("known").count() + 1)
     unknown = math.log10(0.5 / below)
-    priced = words.select("word", F.col("n").cast("double").alias("value"))
+
     blocks = (seen.filter("gram IS NOT NULL").select("block", "gram").join(grams, "gram")
               .select("block", "gram", F.lit(None).cast("binary").alias("word"), "value")
-              .unionByName(seen.filter("word IS NOT NULL").select("block", "word").join(priced, "word")
-                           .select("block", F.lit(None).cast("long").alias("gram"), "word", "value")))
+              .unionByName(words.filter("word IS NOT NULL").select(
+                  "block", F.lit(None).cast("long").alias("gram"), "word", F.col("c").cast("double").alias("value"))))
 
-    def run(key, texts: pa.Table, prices: pa.Table) -> pa.Table:
+    def run(key, pieces: pa.Table, prices: pa.Table) -> pa.Table:
         is_gram = pc.is_valid(prices.column("gram"))
         own = prices.filter(is_gram)
         keys, values = own.column("gram").combine_chunks(), own.column("value").to_numpy()
-        rest = prices.filter(pc.invert(is_gram))
-        price = {w: math.log10((n + 0.5) / below)
-                 for w, n in zip(rest.column("word").to_pylist(), rest.column("value").to_pylist())}
-        data = texts.column("text").to_pylist()
-        model = []
-        for piece in _pieces(data):
-            grams, begins, ends = _flat(piece, depth)
+        elsewhere = prices.filter(pc.invert(is_gram)).select(["word", "value"])
+        del prices, own
+        price, n_bytes, n_tokens, n_known, base, model = Counter(), [], [], [], [], []
+        held = pieces.select(["trains", "lengths", "texts"]).to_pylist()
+        for p in held:
+            _count_words(price, _unpacked(p["texts"], p["lengths"]), p["trains"])
+        for batch in elsewhere.to_batches(max_chunksize=1 << 14):
+            for w, n in zip(batch.column("word").to_pylist(), batch.column("value").to_pylist()):
+                price[w] = n
+        by_count = {n: math.log10((n + 0.5) / below) for n in set(price.values())}
+        for w, n in price.items():
+            price[w] = by_count[n]
+        for p in held:
+            texts = _unpacked(p["texts"], p["lengths"])
+            grams, begins, ends = _flat(texts, depth)
             at = pc.fill_null(pc.index_in(pa.array(grams.astype(np.int64)), value_set=keys), -1).to_numpy()
             value = np.append(np.where(at < 0, np.nan, values[at]), 0.0)  # between texts: not asked
             model += np.add.reduceat(value, np.stack([begins, ends], 1).ravel())[::2].tolist()
-        n_tokens, n_known, base = [], [], []
-        for t in data:
-            each = [price[w] for w in t.split()] + [price[b""]]
-            n_tokens.append(len(each))
-            n_known.append(len(each) - each.count(unknown))
-            base.append(sum(each))
-        return pa.table({"doc_id": texts.column("id"), "trains": texts.column("trains"),
-                         "n_bytes": pa.array([len(t) for t in data], pa.int64()),
+            n_bytes += p["lengths"]
+            for t in texts:
+                each = [price[w] for w in t.split()] + [price[b""]]
+                n_tokens.append(len(each))
+                n_known.append(len(each) - each.count(unknown))
+                base.append(sum(each))
+        return pa.table({"doc_id": pc.list_flatten(pieces.column("ids")), "trains": pc.list_flatten(pieces.column("trains")),
+                         "n_bytes": pa.array(n_bytes, pa.int64()),
                          "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
                          "base_score": pa.array(base, pa.float64()), "score": pa.array(model, pa.float64())})
 
     kind = given.schema["id"].dataType.simpleString()
-    scored = (stored.groupBy("block").cogroup(blocks.groupBy("block"))
+    scored = (packed.groupBy("block").cogroup(blocks.groupBy("block"))
               .applyInArrow(run, f"doc_id {kind}, trains boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double"))
     return (scored.withColumn("train_tokens", F.lit(int(total)))
             .withColumn("bits_per_byte", -F.col("score") / math.log10(2) / (F.col("n_bytes") + 1)))

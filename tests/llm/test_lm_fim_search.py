@@ -119,7 +119,7 @@ def test_results_do_not_depend_on_blocks(spark, monkeypatch):
 def test_predictions_are_a_distribution(spark):
     """Over all next bytes of a context, probabilities sum to one."""
     texts = [prose(1, 30).encode(), b"abcabcabd"]
-    keys, n = lm._block_grams(texts, [True, True], 4)
+    keys, n = lm._merged(list(lm._piece_grams(texts, [True, True], 4)))
     context = np.uint64(int.from_bytes(b" eht", "big"))  # the latest byte first
     asked = (context << np.uint64(8)) | np.arange(256, dtype=np.uint64)
     keys, n = lm._tallied(np.concatenate([keys, asked]), np.concatenate([n, np.zeros(256, np.int64)]))
