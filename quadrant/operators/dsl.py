@@ -266,7 +266,7 @@ RTERM_T = T.StructType([T.StructField("s", T.IntegerType()), T.StructField("f1",
 CODE_T = T.ArrayType(T.ArrayType(RTERM_T))
 
 
-def _digits_mod(text: Column, p: int) -> Column:
+def digits_mod(text: Column, p: int) -> Column:
     """Residue of a (possibly long) signed integer literal modulo p."""
     digits = F.regexp_replace(text, "^-", "")
     m = F.aggregate(F.split(digits, ""), F.lit(0).cast("bigint"),
@@ -282,8 +282,8 @@ def _resolve_atom(a: Column, names: Column, idx: Column) -> Column:
         return F.struct(
             a["s"].alias("s"), slot.cast("int").alias("i"),
             F.when(kind == 1, text.try_cast("bigint")).alias("v"),
-            F.when(kind == 1, _digits_mod(text, P1)).alias("m1"),
-            F.when(kind == 1, _digits_mod(text, P2)).alias("m2"),
+            F.when(kind == 1, digits_mod(text, P1)).alias("m1"),
+            F.when(kind == 1, digits_mod(text, P2)).alias("m2"),
             F.when(kind > 0, text.try_cast("double")).alias("d"),
         )
     first = F.substring(a["a"], 1, 1)
@@ -362,6 +362,7 @@ class _Lane:
         self.name, self.dtype, self.zero, self.one = name, dtype, zero, one
         self.add, self.mul, self.sign = add, mul, sign
         self.lit_field, self.from_input = lit_field, from_input
+        self.literal = lambda v: v  # a literal's field as a value of the lane
 
 
 def _mod_lane(name: str, p: int) -> _Lane:
@@ -383,15 +384,15 @@ LANES = {
 }
 
 
-def lane_values(prog, a, b, lane: str) -> Column:
+def lane_values(prog, a, b, lane: str | _Lane) -> Column:
     """All SSA slot values of one lane: array of 8 inputs + one per statement."""
-    L = LANES[lane]
+    L = LANES[lane] if isinstance(lane, str) else lane
     prog, a, b = col(prog), col(a), col(b)
     init = F.array(*[L.from_input(F.get(F.get(m, r), c)) for m in (a, b) for r in (0, 1) for c in (0, 1)])
 
     def factor(f, vs):
         def atom_val(x):
-            v = F.when(x["i"] > 0, F.element_at(vs, F.greatest(x["i"], F.lit(1)))).otherwise(x[L.lit_field])
+            v = F.when(x["i"] > 0, F.element_at(vs, F.greatest(x["i"], F.lit(1)))).otherwise(L.literal(x[L.lit_field]))
             return L.sign(v, x["s"])
         return F.aggregate(f, L.zero(), lambda acc, x: L.add(acc, atom_val(x)))
 
@@ -417,7 +418,8 @@ def execute(df: DataFrame, prog: str = "prog", a: str = "A", b: str = "B", expec
     ``floating`` holds (matrices that are no integers) or the script has a decimal literal.
 
     Adds struct ``out``: ``ok, err, eline, result, correct, lane``.
-    ``result`` is ``array<array<bigint>>`` (NULL cells where BIGINT overflowed)
+    ``result`` is ``array<array<bigint>>`` (NULL cells where BIGINT overflowed on the way
+    to anything but the expected value; see ``exact`` for their decimal text)
     or ``array<array<double>>`` for double inputs; rows whose script has a
     decimal literal put the double result in ``result_double``.  ``correct``
     stays exact through overflow: an overflowed cell is compared by its
@@ -428,7 +430,7 @@ def execute(df: DataFrame, prog: str = "prog", a: str = "A", b: str = "B", expec
     if floating is not None:
         use_double = use_double | floating
     run = p["ok"]
-    tmp = {k: f"__{out}_{k}" for k in ("v", "d", "cv", "cd", "m1", "m2")}
+    tmp = {k: f"__{out}_{k}" for k in ("v", "d", "cv", "cd", "m1", "m2", "shown")}
     if double_inputs:
         df = df.withColumn(tmp["d"], F.when(run, lane_values(p, a, b, "d")))
         df = df.withColumn(tmp["cd"], _cells(F.col(tmp["d"]), p))
@@ -450,7 +452,7 @@ def execute(df: DataFrame, prog: str = "prog", a: str = "A", b: str = "B", expec
         fields.append(F.when(run, as_matrix(cd)).alias("result"))
     else:
         cv = F.col(tmp["cv"])
-        fields.append(F.when(run & ~use_double, as_matrix(cv)).alias("result"))
+        fields.append(F.when(run & ~use_double, as_matrix(cv if expected is None else F.col(tmp["shown"]))).alias("result"))
         fields.append(F.when(run & use_double, as_matrix(cd)).alias("result_double"))
     if expected is not None:
         e = F.flatten(F.col(expected))
@@ -465,6 +467,8 @@ def execute(df: DataFrame, prog: str = "prog", a: str = "A", b: str = "B", expec
                 (F.element_at(m1, k) == F.pmod(F.element_at(e, k).cast("bigint"), F.lit(P1)))
                 & (F.element_at(m2, k) == F.pmod(F.element_at(e, k).cast("bigint"), F.lit(P2)))))
             correct = F.when(use_double, eq_d).otherwise(eq_v)
+            # a cell that overflowed on the way to the right value has that value
+            df = df.withColumn(tmp["shown"], F.when(overflowed & correct, F.transform(e, lambda x: x.cast("bigint"))).otherwise(cv))
         fields.append(F.when(run, F.coalesce(correct, F.lit(False))).alias("correct"))
     fields.append(F.when(use_double, F.lit("double")).otherwise(F.lit("int")).alias("lane"))
     return df.withColumn(out, F.when(p.isNotNull(), F.struct(*fields))).drop(*[c for c in tmp.values() if c in df.columns])
@@ -545,6 +549,13 @@ def compile_shared(df: DataFrame, script: str = "script", dialect: str = "E1", d
 
 # ---- lint in the row (J5-J7) -----------------------------------------------------
 
+def names_read(st: Column) -> Column:
+    """The distinct names that a statement reads."""
+    atoms = F.flatten(F.transform(st["terms"], lambda t: F.concat(t["f1"], F.coalesce(t["f2"], F.array().cast(ATOMS_T)))))
+    names = F.filter(atoms, lambda a: ~a["a"].rlike(INT_LIT_RE) & ~a["a"].rlike(FLOAT_LIT_RE))
+    return F.array_distinct(F.transform(names, lambda a: a["a"]))
+
+
 def lint_script(script, dialect: str = "E1") -> Column:
     """Reads and definitions of a script as one fold over its statements:
     struct(n_uses, n_undefined, first_undefined_line, n_missing_cells).
@@ -555,18 +566,13 @@ def lint_script(script, dialect: str = "E1") -> Column:
     init = F.struct(F.array(*[F.lit(n) for n in INPUT_NAMES]).alias("names"), F.lit(0).alias("uses"),
                     F.lit(0).alias("undefined"), F.lit(None).cast("int").alias("first"))
 
-    def reads(st):
-        atoms = F.flatten(F.transform(st["terms"], lambda t: F.concat(t["f1"], F.coalesce(t["f2"], F.array().cast(ATOMS_T)))))
-        names = F.filter(atoms, lambda a: ~a["a"].rlike(INT_LIT_RE) & ~a["a"].rlike(FLOAT_LIT_RE))
-        return F.array_distinct(F.transform(names, lambda a: a["a"]))
-
     def step(acc, st):
         def with_reads(r):
             return let(F.size(F.array_except(r, acc["names"])), lambda unknown: F.struct(
                 F.array_union(acc["names"], F.array(st["t"])).alias("names"), (acc["uses"] + F.size(r)).alias("uses"),
                 (acc["undefined"] + unknown).alias("undefined"),
                 F.coalesce(acc["first"], F.when(unknown > 0, st["line"])).alias("first")))
-        return F.when(st["err"].isNotNull() | st["skip"], acc).otherwise(let(reads(st), with_reads))
+        return F.when(st["err"].isNotNull() | st["skip"], acc).otherwise(let(names_read(st), with_reads))
 
     def finish(acc):
         missing = F.size(F.array_except(F.array(*[F.lit(n) for n in OUTPUT_NAMES]), acc["names"]))

@@ -183,14 +183,18 @@ def first_key_containing(logs: Column, fragment: str) -> Column:
     return F.get(hits, 0)["value"]
 
 
+def metric_columns(metric_log: DataFrame) -> DataFrame:
+    """The columns entropy, kl and adv of a log's metric maps."""
+    return metric_log.withColumns({name: first_key_containing(F.col("logs"), fragment) for name, fragment in (
+        ("entropy", ENTROPY_KEY), ("kl", KL_KEY), ("adv", ADVANTAGE_KEY))})
+
+
 def entropy_monitor(metric_log: DataFrame) -> DataFrame:
     """Entropy, KL and advantage per log step, and entropy as a percent
     of the run's first logged entropy.  The baseline is a grouped aggregate
     (min_by over steps with an entropy) joined back on the run: no window
     over a whole run."""
-    df = (metric_log.withColumn("entropy", first_key_containing(F.col("logs"), ENTROPY_KEY))
-          .withColumn("kl", first_key_containing(F.col("logs"), KL_KEY))
-          .withColumn("adv", first_key_containing(F.col("logs"), ADVANTAGE_KEY)))
+    df = metric_columns(metric_log)
     base = (df.where(F.col("entropy").isNotNull()).groupBy("run")
             .agg(F.min_by("entropy", "step").alias("entropy0")))
     df = df.join(base, "run", "left")

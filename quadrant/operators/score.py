@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quadrant.functions import matrix as mx
 from quadrant.functions import text as tx
 from quadrant.operators import dsl
+from quadrant.operators.scan import prefix_scan
 from quadrant.session import materialize
 
 # ---- fixed values: reward constants -------------------------------------------
@@ -202,35 +203,24 @@ def pass_at_k(scored: DataFrame, ks=(1, 2, 4)) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_prompts"), F.avg("p").alias("pass_at_k")))
 
 
-def improvement_events(correct: DataFrame, key: Column, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row with ``events``: the strict improvements of n_mults in key order, as
-    an array of (key, n_mults, carried columns), the first first.
+def improvements(correct: DataFrame, order: tuple[str, ...], carry: tuple[str, ...] = ()) -> DataFrame:
+    """The strict improvements of n_mults in the order of ``order``: those columns, n_mults, ``carry``.
 
-    The first row that reaches each count is a grouped minimum (one row a count);
-    a fold over these, in key order, keeps those that beat all before."""
-    first = F.min(F.struct(key.alias("key"), "n_mults", *carry))
-    firsts = correct.groupBy("n_mults").agg(first.alias("e")).agg(F.array_sort(F.collect_list("e")).alias("all"))
-    none = F.filter(F.col("all"), lambda e: F.lit(False))
-    return firsts.select(F.aggregate("all", none, lambda kept, e: F.when(
-        (F.size(kept) == 0) | (e["n_mults"] < F.get(kept, F.size(kept) - 1)["n_mults"]),
-        F.concat(kept, F.array(e))).otherwise(kept)).alias("events"))
+    Only the first row that reaches each count can be one (a grouped minimum, one row a count);
+    a prefix scan over these finds those that beat all before."""
+    first = F.min(F.struct(*order, *carry)).alias("e")
+    firsts = correct.groupBy("n_mults").agg(first).select("e.*", "n_mults")
+    found = prefix_scan(firsts, "min", "n_mults", order, "best_before", inclusive=False)
+    return found.where(F.col("best_before").isNull() | (F.col("n_mults") < F.col("best_before"))).drop("best_before")
 
 
 def running_best(scored: DataFrame, prompts_per_call: int = 4, cut: bool = True) -> DataFrame:
     """Best multiplication count among correct completions
     strictly before each row in (call, prompt_id, gen_idx) order, and whether
-    the row is a strict improvement.
-
-    No window over all rows: the improvements (at most one a distinct count) are one
-    sorted array, a scalar subquery of the plan, in which each row finds the last event before it."""
+    the row is a strict improvement: a prefix scan over key ranges."""
     df = with_call(materialize(scored) if cut else scored, prompts_per_call)
-    key = F.struct("call", "prompt_id", "gen_idx")
-    if cut:
-        df = materialize(df)
-    events = improvement_events(df.where(F.col("correct")), key).scalar()
-    df = df.withColumn("_events", events)
-    before = F.aggregate("_events", F.lit(None).cast("int"), lambda best, e: F.when(e["key"] < key, e["n_mults"]).otherwise(best))
-    df = df.withColumn("best_before", before).drop("_events")
+    reached = F.when(F.col("correct"), F.col("n_mults"))
+    df = prefix_scan(df, "min", reached, ["call", "prompt_id", "gen_idx"], "best_before", inclusive=False)
     is_event = F.col("correct") & (F.col("best_before").isNull() | (F.col("n_mults") < F.col("best_before")))
     return df.withColumn("is_event", F.coalesce(is_event, F.lit(False)))
 

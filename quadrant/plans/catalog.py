@@ -8,6 +8,7 @@ BIGINT so results compare exactly with the DuckDB oracles in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +18,13 @@ from quadrant.functions import matrix as mx
 from quadrant.functions import text as tx
 from quadrant.operators import dsl
 from quadrant.operators import evaluate as ev
+from quadrant.operators import exact, lint
 from quadrant.operators import score as sc
+from quadrant.session import checkpoint_dir, materialize
 from quadrant.sources import derive as dv
 from quadrant.sources import tables as tb
 from quadrant.sources.sqlgen import SPARK
+from quadrant.streaming import best, monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
 PROMPTS_PER_CALL = 4
@@ -269,6 +273,13 @@ def q_w1_running_best(spark, sf):
                     "is_event")
 
 
+def q_z1_best_stream(spark, sf):
+    """Completions replayed through the scoring stream in three available-now runs: the strict improvements."""
+    folder = f"{checkpoint_dir(spark)}/best-stream-{uuid.uuid4().hex}"
+    found = best.replay(tb.completions(spark, sf), scoring_prompts(spark, sf), folder)
+    return found.select("prompt_id", "gen_idx", F.col("n_mults").cast("bigint").alias("n_mults"), "script")
+
+
 def q_w5_full_batches(spark, sf):
     """On keys with gaps: ordinals come from ranks, not from the keys' values."""
     li = tb.read_table(spark, sf, "lineitem", ["l_orderkey"])
@@ -299,6 +310,29 @@ def q_j6_lint(spark, sf):
                       F.col("n_missing_cells").cast("bigint").alias("n_missing_cells"))
 
 
+CHECK_PRIME = 998_244_353  # not one of the primes that exact results are computed with
+
+
+def q_d5_exact_results(spark, sf):
+    """Exact results in decimal text, beyond BIGINT too, each cell shown by its residue modulo a prime and its last nine digits
+    (of the least non-negative residue), both read from the text."""
+    c = with_scripts(spark, sf).drop("completion")
+    p = tb.prompts(spark, sf).select("prompt_id", "A", "B")
+    df = materialize(dsl.compile_shared(c.join(p, "prompt_id"), "script", "E1"))
+    df = exact.with_exact_results(df)
+    cells = [F.element_at("exact", k + 1) for k in range(4)]
+    return df.select("prompt_id", "gen_idx", *[dsl.digits_mod(cell, m).alias(f"c{rc}_{name}") for cell, rc in zip(cells, ("00", "01", "10", "11"))
+                                               for name, m in (("prime", CHECK_PRIME), ("digits", 10 ** 9))])
+
+
+def q_j5_def_use(spark, sf):
+    """Reads matched with the definitions they see by the as-of join, summed per completion."""
+    c = materialize(with_scripts(spark, sf).select("prompt_id", "gen_idx", "script"))
+    out = lint.lint(c, ["prompt_id", "gen_idx"])
+    return out.select("prompt_id", "gen_idx", *[F.col(c).cast("bigint").alias(c) for c in (
+        "n_uses", "n_undefined", "first_undefined_line", "n_missing_cells", "sum_distance", "max_distance")])
+
+
 def _verify_v1(spark, sf, counter):
     c = tb.completions(spark, sf)
     p = tb.prompts(spark, sf).select("prompt_id", "A", "B", "C")
@@ -404,6 +438,13 @@ def q_w2_entropy_ratio(spark, sf):
                     _r(F.col("adv")).alias("adv"), _r(F.col("entropy_pct")).alias("entropy_pct"))
 
 
+def q_z2_metric_stream(spark, sf):
+    """The log of W2, replayed through the stateful monitor in four available-now runs of its stream."""
+    folder = f"{checkpoint_dir(spark)}/metric-stream-{uuid.uuid4().hex}"
+    m = monitor.replay(metric_log(spark, sf), folder)
+    return m.select("run", "step", *[_r(F.col(c)).alias(c) for c in ("entropy", "kl", "adv", "entropy_pct")])
+
+
 def q_r5_format_reward(spark, sf):
     t = reasoning_turns(spark, sf)
     return t.select("conv_id", "turn", ev.format_reward("content").alias("format_reward"))
@@ -445,6 +486,7 @@ def queries() -> dict[str, Query]:
         "d5_execute_e2": _execute_query("E2"),
         "d5_execute_e3": _execute_query("E3"),
         "d5_execute_e4": _execute_query("E4"),
+        "j5_def_use": q_j5_def_use,
         "j6_lint": q_j6_lint,
         "r3_reward_v1": _reward_query(1),
         "r4_reward_v2": _reward_query(2),
@@ -462,10 +504,13 @@ def queries() -> dict[str, Query]:
         "r8_verify_v2": q_r8_verify_v2,
         "r9_batch_eval": q_r9_batch_eval,
         "w2_entropy_ratio": q_w2_entropy_ratio,
+        "z1_best_stream": q_z1_best_stream,
+        "z2_metric_stream": q_z2_metric_stream,
         "r5_format_reward": q_r5_format_reward,
         "r6_answer_reward": q_r6_answer_reward,
         "p9_chat_text": q_p9_chat_text,
         "g6_program_corpus": q_g6_program_corpus,
+        "d5_exact_results": q_d5_exact_results,
         "j4_script_cases": q_j4_script_cases,
         "r7_summary": q_r7_summary,
         "r9_overall": q_r9_overall,

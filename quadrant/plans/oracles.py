@@ -237,11 +237,16 @@ def counter_oracle(counter: str):
     return o
 
 
+def shown(k: int, expected: str) -> str:
+    """A result cell; one that overflowed on the way to the right value has that value."""
+    return f"coalesce(__cv[{k + 1}], CASE WHEN exec_correct THEN CAST(flatten({expected})[{k + 1}] AS BIGINT) END)"
+
+
 def execute_oracle(dialect: str):
     def o():
         body = nest_stages("(SELECT s.prompt_id, s.gen_idx, g.prog, p.A, p.B, p.C FROM q_scripts s JOIN q_prompts p USING (prompt_id) "
                            "JOIN q_progs g ON s.script = g.script)", Q.execute_cols("prog", "A", "B", "C"))
-        cells = ", ".join(f"CASE WHEN prog.ok AND NOT prog.has_float THEN __cv[{k + 1}] END AS c{rc}"
+        cells = ", ".join(f"CASE WHEN prog.ok AND NOT prog.has_float THEN {shown(k, 'C')} END AS c{rc}"
                           for k, rc in enumerate(("00", "01", "10", "11")))
         return with_(f"{prompts_cte()},\n{completions_cte()},\n{scripts_cte()},\n{Q.compiled('q_scripts', 'script', dialect)}",
                      f"SELECT prompt_id, gen_idx, prog.ok AS ok, prog.err AS err, prog.eline AS eline, {cells}, "
@@ -249,6 +254,19 @@ def execute_oracle(dialect: str):
     return o
 
 
+def o_d5_exact_results() -> str:
+    """Residues of the results, folded modulo numbers that the Spark side does not compute with."""
+    names = {"x1": cat.CHECK_PRIME, "x2": 10 ** 9}
+    stages = [(f"__{x}", f"CASE WHEN prog.ok AND NOT prog.has_float THEN {Q.cells(Q.lane_values('prog', 'A', 'B', Q.residue_lane(m)), 'prog')} END")
+              for x, m in names.items()]
+    body = nest_stages("(SELECT s.prompt_id, s.gen_idx, g.prog, p.A, p.B FROM q_scripts s JOIN q_prompts p USING (prompt_id) "
+                       "JOIN q_progs g ON s.script = g.script)", stages)
+    shown_cells = ", ".join(f"__{x}[{k + 1}] AS c{rc}_{m}" for k, rc in enumerate(("00", "01", "10", "11"))
+                            for x, m in (("x1", "prime"), ("x2", "digits")))
+    return with_(f"{prompts_cte()},\n{completions_cte()},\n{scripts_cte()},\n{Q.compiled('q_scripts', 'script', 'E1')}",
+                 f"SELECT prompt_id, gen_idx, {shown_cells} FROM {body}")
+
+
 def o_j4_script_cases() -> str:
     cases = ", ".join(f"({k}, {json.dumps(a)}::BIGINT[][], {json.dumps(b)}::BIGINT[][])" for k, (a, b) in enumerate(cat.SCRIPT_CASES))
     body = nest_stages(f"(SELECT g.script, g.prog, c.k, c.A, c.B, {product('c.A', 'c.B')} AS C FROM q_progs g, (VALUES {cases}) c(k, A, B))",
@@ -313,6 +331,13 @@ SELECT prompt_id, gen_idx, call, CAST(best_before AS BIGINT) AS best_before,
   coalesce(correct AND (best_before IS NULL OR n_mults < best_before), false) AS is_event FROM x""")
 
 
+def o_z1_best_stream() -> str:
+    return with_(scored_ctes(2), """x AS (SELECT prompt_id, gen_idx, n_mults, script, correct,
+  min(CASE WHEN correct THEN n_mults END) OVER (ORDER BY prompt_id, gen_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM q_scored)
+SELECT prompt_id, gen_idx, CAST(n_mults AS BIGINT) AS n_mults, script FROM x WHERE correct AND (before IS NULL OR n_mults < before)""")
+
+
 def o_w5_full_batches() -> str:
     return (f"SELECT call, count(DISTINCT prompt_id) AS n_prompts, count(*) AS n_completions "
             f"FROM (SELECT prompt_id, {CALL} AS call FROM (SELECT l_orderkey * 5 + l_orderkey % 3 AS prompt_id FROM lineitem)) "
@@ -358,6 +383,30 @@ SELECT s.prompt_id, s.gen_idx, coalesce(nu.n_uses, 0) AS n_uses, coalesce(nd.n_u
 FROM q_scripts s LEFT JOIN nu USING (script) LEFT JOIN nd USING (script) LEFT JOIN miss USING (script)""")
 
 
+def o_j5_def_use() -> str:
+    """The same reads and definitions, matched by DuckDB's own as-of join."""
+    t = Q.var()
+    inputs = "[" + ", ".join(Q.q(n) for n in Q.INPUT_NAMES) + "]"
+    outputs = ", ".join(Q.q(n) for n in Q.OUTPUT_NAMES)
+    return with_(f"{completions_cte()},\n{scripts_cte()}", f"""{Q.compiled('q_scripts', 'script', 'E1')},
+ok AS (SELECT * FROM (SELECT script, unnest(stmts) AS s FROM q_stmts) WHERE s.err IS NULL AND NOT s.skip),
+defs AS (SELECT script, s.t AS name, s.line AS def_line FROM ok
+  UNION ALL SELECT script, unnest({inputs}) AS name, 0 AS def_line FROM q_dist),
+uses AS (SELECT DISTINCT script, use_line, a.a AS name FROM (SELECT script, s.line AS use_line,
+    unnest(flatten(list_transform(s.terms, lambda {t}: list_concat({t}.f1, coalesce({t}.f2, []))))) AS a FROM ok)
+  WHERE NOT {Q.rx('a.a', Q.INT_LIT_RE)} AND NOT {Q.rx('a.a', Q.FLOAT_LIT_RE)}),
+seen AS (SELECT u.script, u.use_line, d.def_line FROM uses u
+  ASOF LEFT JOIN defs d ON d.script = u.script AND d.name = u.name AND d.def_line < u.use_line),
+sums AS (SELECT script, count(*) AS n_uses, count_if(def_line IS NULL) AS n_undefined,
+  min(CASE WHEN def_line IS NULL THEN use_line END) AS first_undefined_line,
+  sum(use_line - def_line) AS sum_distance, max(use_line - def_line) AS max_distance FROM seen GROUP BY script),
+cells AS (SELECT script, count(DISTINCT name) AS n FROM defs WHERE name IN ({outputs}) GROUP BY script)
+SELECT s.prompt_id, s.gen_idx, coalesce(n_uses, 0)::BIGINT AS n_uses, coalesce(n_undefined, 0)::BIGINT AS n_undefined,
+  first_undefined_line::BIGINT AS first_undefined_line, 4 - coalesce(cells.n, 0) AS n_missing_cells,
+  coalesce(sum_distance, 0)::BIGINT AS sum_distance, max_distance::BIGINT AS max_distance
+FROM q_scripts s LEFT JOIN sums USING (script) LEFT JOIN cells USING (script)""")
+
+
 def verify_ctes(source: str, reply: str, a: str, b: str, expected: str, dialect: str, counter: str,
                 drop_comments: bool, double_inputs: bool, failed: bool) -> str:
     """Verification over CTE ``source``; ``failed``: FAILED rows report false / 0, else nothing."""
@@ -367,7 +416,7 @@ def verify_ctes(source: str, reply: str, a: str, b: str, expected: str, dialect:
     reason = (f"CASE WHEN {sentinel} THEN 'no valid script' WHEN NOT _valid THEN 'bad matrix' "
               f"WHEN NOT coalesce(exec_ok, false) THEN prog.err || coalesce(' on line ' || CAST(prog.eline AS VARCHAR), '') END")
     no, zero = ("false", "0") if failed else ("NULL", "NULL")
-    cells = "__cd" if double_inputs else "CASE WHEN NOT prog.has_float THEN __cv END"
+    cells = "__cd" if double_inputs else f"CASE WHEN NOT prog.has_float THEN [{', '.join(shown(k, expected) for k in range(4))}] END"
     return f"""q_v0 AS MATERIALIZED (SELECT *, {script} AS _script FROM {source}),
 q_v1 AS MATERIALIZED (SELECT *, ({valid_2x2(a)} AND {valid_2x2(b)}) AS _valid,
   CASE WHEN NOT {sentinel} AND {valid_2x2(a)} AND {valid_2x2(b)} THEN _script END AS _run FROM q_v0),
@@ -550,6 +599,7 @@ def oracles() -> dict[str, str]:
         "d5_execute_e2": execute_oracle("E2"),
         "d5_execute_e3": execute_oracle("E3"),
         "d5_execute_e4": execute_oracle("E4"),
+        "j5_def_use": o_j5_def_use,
         "j6_lint": o_j6_lint,
         "r3_reward_v1": reward_oracle(1),
         "r4_reward_v2": reward_oracle(2),
@@ -567,10 +617,13 @@ def oracles() -> dict[str, str]:
         "r8_verify_v2": o_r8_verify_v2,
         "r9_batch_eval": o_r9_batch_eval,
         "w2_entropy_ratio": o_w2_entropy_ratio,
+        "z1_best_stream": o_z1_best_stream,
+        "z2_metric_stream": o_w2_entropy_ratio,
         "r5_format_reward": o_r5_format_reward,
         "r6_answer_reward": o_r6_answer_reward,
         "p9_chat_text": o_p9_chat_text,
         "g6_program_corpus": o_g6_program_corpus,
+        "d5_exact_results": o_d5_exact_results,
         "j4_script_cases": o_j4_script_cases,
         "r7_summary": o_r7_summary,
         "r9_overall": o_r9_overall,

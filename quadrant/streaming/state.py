@@ -1,4 +1,4 @@
-"""Small state tables kept beside a stream."""
+"""State kept beside a stream."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def read_if_there(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame | None:
     """The table at ``path``, or None while nothing was written there; any other error is raised."""
@@ -15,3 +17,16 @@ def read_if_there(spark: SparkSession, path: str, schema: StructType | str) -> D
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
+
+
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose streams keep their keyed state in RocksDB: on the executors' disks
+    with changes logged to the checkpoint, so neither the driver nor a task's heap holds it."""
+    own = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        value = spark.conf.get(key, None)
+        if value is not None:
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    return own

@@ -81,25 +81,62 @@ def test_stream_best_over_batches_and_replay(spark, tmp):
     again = spark.read.schema("prompt_id bigint, gen_idx int, completion string").json(os.path.join(folder, "part-1.json"))
     best.on_batch(again, 1, prompts, disc)  # a replayed batch
     assert found() == got
+    assert best.stored_best(spark, f"{disc}_state", 3) == 7 and best.stored_best(spark, f"{disc}_state", 0) is None
+    assert sorted(x for x in os.listdir(disc) if x.startswith("batch")) == ["batch_id=0", "batch_id=1"]  # none without rows
 
 
-def test_stream_monitor_over_batches_and_replay(spark, tmp):
-    rows = [(f"r{k % 2}", k, {"old/entropy": None, ("train/Entropy" if k % 3 else "kl"): float(k)}) for k in range(30)]
-    logs = spark.createDataFrame(rows, "run string, step bigint, logs map<string,double>")
-    folder, base, out = (os.path.join(tmp, x) for x in ("logs", "base", "out"))
-    os.makedirs(folder)
-    for i in range(3):
-        path = os.path.join(folder, f"part-{i}.json")
-        with open(path, "w") as f:
-            f.writelines(json.dumps({"run": r, "step": s, "logs": x}) + "\n" for r, s, x in rows[i * 10:(i + 1) * 10])
-        os.utime(path, (1_000_000 + i, 1_000_000 + i))
-    monitor.start(spark, folder, base, out, os.path.join(tmp, "ck2"), files_per_batch=1).awaitTermination(600)
+LOG = "run string, step bigint, logs map<string,double>"
+LOG_ROWS = [(f"r{k % 2}", k, {"old/entropy": None, ("train/Entropy" if k % 3 else "kl"): float(k)}) for k in range(30)]
 
-    def found():
-        return sorted(map(tuple, spark.read.parquet(out).select("run", "step", F.round("entropy_pct", 6)).collect()), key=str)
-    got = found()
+
+def _write_log(folder, rows, i):
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"part-{i}.json")
+    with open(path, "w") as f:
+        f.writelines(json.dumps({"run": r, "step": s, "logs": x}) + "\n" for r, s, x in rows)
+    os.utime(path, (1_000_000 + i, 1_000_000 + i))
+
+
+def _monitored(spark, out):
+    return sorted(map(tuple, spark.read.parquet(out).where("NOT closed").select("run", "step", F.round("entropy_pct", 6)).collect()), key=str)
+
+
+def test_stream_monitor_state_and_restart(spark, tmp):
+    """Batches of one file each; stopped after the first two and started again from its checkpoint."""
+    logs = spark.createDataFrame(LOG_ROWS, LOG)
+    folder, out, ck = (os.path.join(tmp, x) for x in ("logs", "out", "ck"))
+    for i in range(2):
+        _write_log(folder, LOG_ROWS[i * 10:(i + 1) * 10], i)
+    monitor.start(spark, folder, out, ck, files_per_batch=1).awaitTermination(600)
+    state = {r.key.run: r.value for r in spark.read.format("statestore").option("stateVarName", "run_state").load(ck).collect()}
+    _write_log(folder, LOG_ROWS[20:], 2)
+    monitor.start(spark, folder, out, ck, files_per_batch=1).awaitTermination(600)
     want = ev.entropy_monitor(logs).select("run", "step", F.round("entropy_pct", 6)).collect()
-    assert got == sorted(map(tuple, want), key=str) and len(os.listdir(base)) >= 3
-    again = spark.read.schema("run string, step bigint, logs map<string,double>").json(os.path.join(folder, "part-1.json"))
-    monitor.on_batch(again, 1, base, out)
-    assert found() == got
+    assert _monitored(spark, out) == sorted(map(tuple, want), key=str)
+    after = {r.key.run: r.value for r in spark.read.format("statestore").option("stateVarName", "run_state").load(ck).collect()}
+    # one value a run, whatever the number of batches; the baseline is the first run's, the step moved on
+    assert set(state) == set(after) == {"r0", "r1"}
+    assert [after[r].entropy0 for r in ("r0", "r1")] == [state[r].entropy0 for r in ("r0", "r1")] == [2.0, 1.0]
+    assert (after["r0"].last_step, after["r1"].last_step) == (28, 29)
+
+
+def test_stream_monitor_closes_silent_runs(spark, tmp):
+    folder, out, ck = (os.path.join(tmp, x) for x in ("logs", "out", "ck"))
+    _write_log(folder, LOG_ROWS[0:10:2], 0)  # r0 only
+    monitor.start(spark, folder, out, ck, idle_ms=1).awaitTermination(600)
+    _write_log(folder, LOG_ROWS[1:10:2], 1)  # r1 only: r0's timer fires
+    monitor.start(spark, folder, out, ck, idle_ms=1).awaitTermination(600)
+    closed = spark.read.parquet(out).where("closed").collect()
+    assert [(r.run, r.step) for r in closed if r.run == "r0"] == [("r0", 8)]
+
+
+def test_monitor_replay_and_rows_without_entropy(spark, tmp):
+    rows = [("a", 3, {"kl": 1.0}), ("a", 5, {"entropy": 4.0}), ("a", 4, {"entropy": 2.0}), ("a", 9, {"entropy": 1.0}),
+            ("b", 1, {"loss": 2.0}), ("b", 8, None), (None, 2, {"entropy": 8.0}), (None, 7, {"entropy": 4.0})]
+    logs = spark.createDataFrame(rows, LOG)
+    got = monitor.replay(logs, os.path.join(tmp, "x"), slices=3)
+    pct = {(r.run, r.step): r.entropy_pct for r in got.collect()}
+    assert len(pct) == len(rows)
+    assert {k: round(v) for k, v in pct.items() if v is not None} == {
+        ("a", 4): 100, ("a", 5): 200, ("a", 9): 50, (None, 2): 100, (None, 7): 50}
+    assert monitor.replay(logs.limit(0), os.path.join(tmp, "y")).count() == 0
