@@ -82,14 +82,20 @@ def monitored(logs: DataFrame, idle_ms: int | None = None) -> DataFrame:
 
 
 def start(spark: SparkSession, log_dir: str, output: str, checkpoint: str, source: str = "json",
-          trigger_once: bool = True, files_per_batch: int | None = None, idle_ms: int | None = None) -> StreamingQuery:
-    """Stream a folder of metric logs to Parquet files; started again, it goes on where it ended."""
+          trigger_once: bool = True, files_per_batch: int | None = None, idle_ms: int | None = None,
+          interval: str = "10 seconds") -> StreamingQuery:
+    """Stream a folder of metric logs to Parquet files; started again, it goes on where it ended.
+
+    ``trigger_once`` consumes what is there and ends.  Timers of silent runs need a stream that goes on (one
+    with open timers has always another batch to run), so ``idle_ms`` is for ``trigger_once=False``."""
+    if trigger_once and idle_ms is not None:
+        raise ValueError("idle_ms needs trigger_once=False")
     reader = stateful_session(spark).readStream.schema(schemas.METRIC_LOG).format(source)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     w = (monitored(reader.load(log_dir), idle_ms).writeStream.format("parquet").outputMode("append")
          .option("path", output).option("checkpointLocation", checkpoint))
-    return (w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="10 seconds")).start()
+    return (w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime=interval)).start()
 
 
 def replay(log: DataFrame, folder: str, slices: int = 4) -> DataFrame:

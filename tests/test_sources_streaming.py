@@ -122,12 +122,19 @@ def test_stream_monitor_state_and_restart(spark, tmp):
 
 def test_stream_monitor_closes_silent_runs(spark, tmp):
     folder, out, ck = (os.path.join(tmp, x) for x in ("logs", "out", "ck"))
-    _write_log(folder, LOG_ROWS[0:10:2], 0)  # r0 only
-    monitor.start(spark, folder, out, ck, idle_ms=1).awaitTermination(600)
-    _write_log(folder, LOG_ROWS[1:10:2], 1)  # r1 only: r0's timer fires
-    monitor.start(spark, folder, out, ck, idle_ms=1).awaitTermination(600)
-    closed = spark.read.parquet(out).where("closed").collect()
-    assert [(r.run, r.step) for r in closed if r.run == "r0"] == [("r0", 8)]
+    _write_log(folder, LOG_ROWS[:10], 0)
+    with pytest.raises(ValueError):
+        monitor.start(spark, folder, out, ck, idle_ms=1)
+    query = monitor.start(spark, folder, out, ck, idle_ms=1, trigger_once=False, interval="1 second")
+    closed = []
+    for _ in range(60):
+        query.awaitTermination(1)
+        if os.path.exists(os.path.join(out, "_spark_metadata")):
+            closed = sorted((r.run, r.step) for r in spark.read.schema(monitor.OUTPUT).parquet(out).where("closed").collect())
+        if len(closed) == 2:
+            break
+    query.stop()
+    assert closed == [("r0", 8), ("r1", 9)]
 
 
 def test_monitor_replay_and_rows_without_entropy(spark, tmp):
