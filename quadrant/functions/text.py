@@ -215,16 +215,45 @@ def inference_prompt(user, a, b, style: str = "using") -> Column:
     return F.concat(col(user), F.lit("\nA = "), py_repr(a), F.lit("\nB = "), py_repr(b))
 
 
+def normalize_variant(c) -> Column:
+    """P11 / X20, decided per row: a VARIANT completion - text, a message object with ``content``, a
+    list of one of either, or anything else - as text.
+
+    A message's content counts if it is text; whatever is neither text nor such a message (longer lists, empty
+    lists, numbers, objects without content) gives its JSON text, keys in order; a JSON null or NULL gives NULL."""
+    c = col(c)
+    single = F.size(F.try_variant_get(c, "$", "array<variant>")) == 1
+    one = F.when(single, F.try_variant_get(c, "$[0]", "variant")).otherwise(c)
+
+    def text(x):
+        kind = F.schema_of_variant(x)
+        content = F.try_variant_get(x, "$.content", "variant")
+        is_text = kind.startswith("OBJECT") & F.coalesce(F.schema_of_variant(content) == "STRING", F.lit(False))
+        return (F.when(x.isNull() | F.is_variant_null(x), F.lit(None)).when(kind == "STRING", F.variant_get(x, "$", "string"))
+                 .when(is_text, F.try_variant_get(content, "$", "string")).otherwise(F.to_json(x)))
+
+    return let(one, text)
+
+
+def normalize_json(raw) -> Column:
+    """P11 for completions logged as JSON of any shape; a line that is no JSON counts as plain text."""
+    raw = col(raw)
+    parsed = F.try_parse_json(raw)
+    return F.when(parsed.isNull(), raw).otherwise(normalize_variant(parsed))
+
+
 def normalize_completion(df, name: str, out: str = "completion"):
     """A completion given as text, a {role, content} message, or a
     list of either becomes text; the branch is chosen from the column's type
     at analysis time (a one-element list yields its element's content; other
-    lists and shapes their JSON text)."""
+    lists and shapes their JSON text); a VARIANT is decided row by row."""
     from pyspark.sql import types as T
     dt = df.schema[name].dataType
     c = F.col(name)
     if isinstance(dt, T.StringType):
         v = c
+    elif isinstance(dt, T.VariantType):
+        v = normalize_variant(c)
     elif isinstance(dt, T.StructType) and "content" in dt.fieldNames():
         v = c["content"]
     elif isinstance(dt, T.ArrayType) and isinstance(dt.elementType, T.StructType) \

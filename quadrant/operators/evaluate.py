@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quadrant.functions import matrix as mx
 from quadrant.functions import text as tx
-from quadrant.operators import dsl
+from quadrant.operators import algebra, dsl
 from quadrant.operators.score import EFFICIENT_MAX_MULTS
 
 # ---- fixed values -------------------------------------------------------------
@@ -124,7 +124,7 @@ def lint(df: DataFrame, key_cols: list[str], script: str = "script", dialect: st
 
 # ---- reasoning-format rewards (R5, R6, X10) ----------------------------------------------
 
-BOXED_RE = "\\\\boxed\\{([^{}]*)\\}"
+BOXED_RE = "\\\\boxed\\{((?:[^{}]|\\{(?:[^{}]|\\{[^{}]*\\})*\\})*)\\}"  # braces inside up to two deep
 DOLLAR_RE = "\\$([^$]+)\\$"
 
 
@@ -139,10 +139,11 @@ def _math_value(text: Column) -> Column:
 
 def _equivalent(a: Column, b: Column) -> Column:
     """Numeric equality when both read as numbers, else blank-insensitive
-    text equality."""
+    text equality or equality as expressions (``algebra``)."""
     na, nb = a.try_cast("double"), b.try_cast("double")
-    return F.when(na.isNotNull() & nb.isNotNull(), na == nb).otherwise(
-        F.regexp_replace(a, "\\s+", "") == F.regexp_replace(b, "\\s+", ""))
+    text = F.regexp_replace(a, "\\s+", "") == F.regexp_replace(b, "\\s+", "")
+    alike = algebra.same(algebra.residues(a), algebra.residues(b))
+    return F.when(na.isNotNull() & nb.isNotNull(), na == nb).when(text, True).otherwise(F.coalesce(alike, F.lit(False)))
 
 
 def format_reward(content) -> Column:

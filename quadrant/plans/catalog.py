@@ -426,6 +426,45 @@ def q_p11_normalize(spark, sf):
                     F.col("masked_advantage").alias("masked"))
 
 
+def q_p11_mixed_shapes(spark, sf):
+    """P11 / X20 on one column of JSON completions whose shape differs from row to row: text, a message, a list of one
+    of either, longer and empty lists, an object without content, a number, null, and lines that are no JSON."""
+    c = tb.read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
+    k = F.pmod(mx.mix(F.col("conv_id") * 16 + F.col("turn"), 801), F.lit(10))
+    message = F.struct(F.col("text").alias("content"), "role")
+    quoted = F.to_json(F.array("text"))
+    raw = (F.when(k == 0, F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+           .when(k == 1, F.to_json(message)).when(k == 2, quoted).when(k == 3, F.to_json(F.array(message)))
+           .when(k == 4, F.to_json(F.array(F.col("role"), F.col("role")))).when(k == 5, F.lit("[]"))
+           .when(k == 6, F.to_json(F.struct("role"))).when(k == 7, F.col("turn").cast("string"))
+           .when(k == 8, F.lit("null")).otherwise(F.concat(F.lit("{"), F.col("text"))))
+    return c.select("conv_id", "turn", tx.normalize_json(raw).alias("completion"))
+
+
+def _quarters(n):
+    """n / 4 as a decimal."""
+    return F.concat(F.floor(n / 4).cast("string"), F.lit("."), F.lpad((F.pmod(n, F.lit(4)) * 25).cast("string"), 2, "0"))
+
+
+def q_r6_symbolic(spark, sf):
+    """R6 on answers that are expressions, the solution spelled in another way or (every third) of another value."""
+    c = tb.read_table(spark, sf, "conversations", ["conv_id", "turn", "role"]).where(F.col("role") == "assistant")
+    key = F.col("conv_id") * 7 + F.col("turn")
+    n, off, k = F.pmod(key, F.lit(10)), F.when(F.pmod(key, F.lit(3)) == 0, F.lit(1)).otherwise(F.lit(0)), F.pmod(key, F.lit(7))
+    s = n.cast("string")
+
+    def t(*parts):
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+
+    answer = (F.when(k == 0, t(r"\frac{", s, "}{4}")).when(k == 1, t("(x+", s, ")^2")).when(k == 2, t(r"\sqrt{", n * n * 2, "}"))
+              .when(k == 3, t("2^{", s, "}")).when(k == 4, t("(a+b)(a-", s, ")")).when(k == 5, t(s)).otherwise(t("answer ", s)))
+    solution = (F.when(k == 0, _quarters(n + off)).when(k == 1, t("x^2+", n * 2, "x+", n * n + off))
+                .when(k == 2, t(n + off, r"\sqrt{2}")).when(k == 3, t((F.pow(F.lit(2), n) + off).cast("bigint")))
+                .when(k == 4, t("a^2+ab-", s, "a-", n + off, "b")).when(k == 5, t("x = ", n + off)).otherwise(t("answer ", n + off)))
+    rows = c.select("conv_id", "turn", t("<answer>$", answer, "$</answer>").alias("content"), t(r"\boxed{", solution, "}").alias("solution"))
+    return rows.select("conv_id", "turn", ev.accuracy_reward("content", "solution").alias("reward"))
+
+
 def q_u1_remove_tokens(spark, sf):
     tokens = tx.token_list(["<|im_end|>", None, "", "<DSL>"])  # a tokenizer's own, with repeats
     c = tb.completions(spark, sf)
@@ -516,6 +555,8 @@ def queries() -> dict[str, Query]:
         "r9_overall": q_r9_overall,
         "p8_inference_prompt": q_p8_inference_prompt,
         "p11_normalize": q_p11_normalize,
+        "p11_mixed_shapes": q_p11_mixed_shapes,
+        "r6_symbolic": q_r6_symbolic,
         "u1_remove_tokens": q_u1_remove_tokens,
     }
     return q

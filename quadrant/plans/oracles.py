@@ -570,6 +570,19 @@ def o_p11_normalize() -> str:
 FROM conversations WHERE {v} < 2"""
 
 
+def o_p11_mixed_shapes() -> str:
+    k = f"({mix('conv_id * 16 + turn', 801)} % 10)"
+    return f"""SELECT conv_id, turn, CASE WHEN {k} <= 3 THEN text WHEN {k} = 4 THEN to_json([role, role])::VARCHAR WHEN {k} = 5 THEN '[]'
+  WHEN {k} = 6 THEN to_json({{'role': role}})::VARCHAR WHEN {k} = 7 THEN CAST(turn AS VARCHAR) WHEN {k} = 9 THEN '{{' || text END AS completion
+FROM conversations"""
+
+
+def o_r6_symbolic() -> str:
+    """By construction: the solution's value is the answer's unless the offset was added."""
+    return ("SELECT conv_id, turn, CASE WHEN (conv_id * 7 + turn) % 3 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS reward "
+            "FROM conversations WHERE role = 'assistant'")
+
+
 def o_u1_remove_tokens() -> str:
     out = "completion"
     for t in ("<|im_end|>", "<|endoftext|>", "<|file_separator|>", "<DSL>"):
@@ -629,6 +642,8 @@ def oracles() -> dict[str, str]:
         "r9_overall": o_r9_overall,
         "p8_inference_prompt": o_p8_inference_prompt,
         "p11_normalize": o_p11_normalize,
+        "p11_mixed_shapes": o_p11_mixed_shapes,
+        "r6_symbolic": o_r6_symbolic,
         "u1_remove_tokens": o_u1_remove_tokens,
     }
     return {k: f() for k, f in fns.items()}
