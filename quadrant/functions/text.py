@@ -216,7 +216,7 @@ def inference_prompt(user, a, b, style: str = "using") -> Column:
 
 
 def normalize_variant(c) -> Column:
-    """P11 / X20, decided per row: a VARIANT completion - text, a message object with ``content``, a
+    """P11 / X20, decided per row: a VARIANT completion - text, a message object with ``role`` and ``content``, a
     list of one of either, or anything else - as text.
 
     A message's content counts if it is text; whatever is neither text nor such a message (longer lists, empty
@@ -228,7 +228,8 @@ def normalize_variant(c) -> Column:
     def text(x):
         kind = F.schema_of_variant(x)
         content = F.try_variant_get(x, "$.content", "variant")
-        is_text = kind.startswith("OBJECT") & F.coalesce(F.schema_of_variant(content) == "STRING", F.lit(False))
+        is_text = (kind.startswith("OBJECT") & F.try_variant_get(x, "$.role", "variant").isNotNull()
+                   & F.coalesce(F.schema_of_variant(content) == "STRING", F.lit(False)))
         return (F.when(x.isNull() | F.is_variant_null(x), F.lit(None)).when(kind == "STRING", F.variant_get(x, "$", "string"))
                  .when(is_text, F.try_variant_get(content, "$", "string")).otherwise(F.to_json(x)))
 

@@ -526,18 +526,22 @@ COUNTERS = {"stars": count_stars, "pattern": count_by_pattern, "product_lines":
 
 # ---- DataFrame-level helpers ---------------------------------------------------
 
+GROUP_ROWS = 1 << 12  # a power of two
+
+
 def compile_shared(df: DataFrame, script: str = "script", dialect: str = "E1", drop_comments: bool = False,
                    per_script: dict | None = None) -> DataFrame:
     """Attach ``prog`` (compiled script), plus ``per_script`` columns (name ->
     function of the script column, e.g. a multiplication counter): D1, parse
     once per distinct script.
 
-    Rows are grouped by script and by the partition they come from, the script is
+    Rows are grouped by script and by the run of ``GROUP_ROWS`` rows of a partition they come from, the script is
     compiled once for the group, and the rows are exploded again.  So the input is
     computed once, nothing is joined back, and a script that a third of all
-    rows carry is a group in every partition, each no larger than that partition."""
+    rows carry is many groups, none of more than ``GROUP_ROWS`` rows."""
     others = [c for c in df.columns if c != script]
-    grouped = df.groupBy(F.col(script).alias("__script"), F.spark_partition_id().alias("__part")).agg(
+    run = F.shiftright(F.monotonically_increasing_id(), GROUP_ROWS.bit_length() - 1)
+    grouped = df.groupBy(F.col(script).alias("__script"), run.alias("__run")).agg(
         F.collect_list(F.struct(*others)).alias("__rows"))
     extra = {name: fn(F.col("__script")) for name, fn in (per_script or {}).items()}
     done = grouped.select(F.col("__script").alias(script), "__rows",

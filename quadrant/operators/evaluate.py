@@ -114,6 +114,31 @@ def script_cases(scripts: DataFrame, cases: list[tuple[list, list]], script: str
               .withColumn("correct", F.coalesce(F.col("_exec.correct"), F.lit(False))).drop("_exec", "prog", "_expected"))
 
 
+def evaluation_rollup(verified: DataFrame, *levels: str) -> DataFrame:
+    """2.6: counts per combination of ``levels`` and of all its prefixes in one pass, the grand total included.
+
+    ``level`` is Spark's grouping id (a bit for each column that is summed over, the last the lowest), which tells a
+    total's NULL from a NULL key."""
+    return verified.rollup(*levels).agg(
+        F.grouping_id().cast("bigint").alias("level"), F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("correct"),
+        F.count_if("efficient").alias("efficient"), F.sum(F.coalesce("multiplications", F.lit(0))).cast("bigint").alias("multiplications"))
+
+
+SKETCH_LOG2 = 12  # buckets of a sketch; relative standard error 1.04 / sqrt(2^12) = 1.6 %
+
+
+def distinct_sketches(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    """A mergeable sketch of the distinct values per key, a few KB whatever their number."""
+    return df.groupBy(*keys).agg(F.hll_sketch_agg(value, F.lit(SKETCH_LOG2)).alias("sketch"), F.count(value).alias("n"))
+
+
+def reuse_ratio(sketches: DataFrame, *keys: str) -> DataFrame:
+    """Rows per distinct value, estimated from sketches merged over all but ``keys`` (BASELINE's reuse ratio)."""
+    merged = sketches.groupBy(*keys).agg(F.hll_union_agg("sketch").alias("sketch"), F.sum("n").alias("n"))
+    distinct = F.hll_sketch_estimate("sketch")
+    return merged.select(*keys, "n", distinct.alias("n_distinct"), F.try_divide("n", distinct).alias("reuse"))
+
+
 # ---- lint (J5, J6, J7) ---------------------------------------------------------------
 
 def lint(df: DataFrame, key_cols: list[str], script: str = "script", dialect: str = "E1") -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quadrant.functions import matrix as mx
@@ -109,6 +109,31 @@ def status_tally(scored: DataFrame) -> DataFrame:
     return scored.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+STATUSES = ("correct", "incorrect", "failed", "empty", "bad_matrix")
+
+
+def score_metrics() -> list[Column]:
+    """A4, A5, A14 as metrics to observe on scored rows: rows per status, rows, sum of rewards, best count."""
+    return [*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES], F.count(F.lit(1)).alias("n"),
+            F.sum("reward").alias("total_reward"), F.min(F.when(F.col("correct"), F.col("n_mults"))).alias("best_n_mults")]
+
+
+def observed(scored: DataFrame, name: str = "scores") -> DataFrame:
+    """``scored`` with its metrics observed under ``name``: a stream reports them in the progress of each micro-batch."""
+    return scored.observe(name, *score_metrics())
+
+
+def write_observed(scored: DataFrame, path: str) -> dict:
+    """Write scored rows and return the metrics of ``score_metrics`` (and ``mean_reward``), gathered by the same pass.
+
+    Spark counts the rows of every task that ends well, so a task that runs again because its output was lost
+    counts twice; over rows read back from ``path``, the aggregates themselves are exact."""
+    seen = Observation("scores")
+    scored.observe(seen, *score_metrics()).write.mode("overwrite").parquet(path)
+    found = dict(seen.get)
+    return found | {"mean_reward": found["total_reward"] / found["n"] if found["n"] else None}
+
+
 def call_ordinals(keys: DataFrame, prompts_per_call: int = 4, key: str = "prompt_id") -> DataFrame:
     """(key, call): which reward call scores a prompt, the prompts in key order,
     ``prompts_per_call`` to a call.  Right for any keys, dense or not.

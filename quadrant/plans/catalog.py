@@ -8,6 +8,7 @@ BIGINT so results compare exactly with the DuckDB oracles in
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -18,7 +19,7 @@ from quadrant.functions import matrix as mx
 from quadrant.functions import text as tx
 from quadrant.operators import dsl
 from quadrant.operators import evaluate as ev
-from quadrant.operators import exact, lint
+from quadrant.operators import exact, lint, rewards
 from quadrant.operators import score as sc
 from quadrant.session import checkpoint_dir, materialize
 from quadrant.sources import derive as dv
@@ -441,6 +442,54 @@ def q_p11_mixed_shapes(spark, sf):
     return c.select("conv_id", "turn", tx.normalize_json(raw).alias("completion"))
 
 
+THINK_ANSWER = re.compile(r"^<think>.*?</think>\s*<answer>.*?</answer>$", re.DOTALL)
+
+
+def python_format_reward(completions, **_):
+    """R5 as a user would write it."""
+    return [1.0 if THINK_ANSWER.match(c) else 0.0 for c in completions]
+
+
+def python_share_reward(completions, conv_id, **_):
+    """Raises on every fifth conversation."""
+    return [1.0 / (k % 5) for k in conv_id]
+
+
+def q_q2_user_rewards(spark, sf):
+    """Two users' functions in one Arrow pass beside the built-in format reward; one of them fails on some rows."""
+    t = reasoning_turns(spark, sf).withColumn("builtin", ev.format_reward("content"))
+    r = rewards.with_user_rewards(t, {"format": python_format_reward, "share": python_share_reward}, "content", ["conv_id"])
+    total = F.col("reward_format") + F.coalesce("reward_share", F.lit(0.0))
+    return r.select("conv_id", "turn", "builtin", "reward_format", _r(F.col("reward_share")).alias("reward_share"),
+                    "error_share", _r(total).alias("total"))
+
+
+def q_a14_observed(spark, sf):
+    """Tally, mean and best of the scored rows, observed while these are written."""
+    rows = scored(spark, sf, 2).select("prompt_id", "gen_idx", "status", "reward", "correct", "n_mults")
+    m = sc.write_observed(rows, f"{checkpoint_dir(spark)}/scored-{uuid.uuid4().hex}")
+    return spark.createDataFrame([(*[m[s] for s in sc.STATUSES], m["n"], m["best_n_mults"], round(m["mean_reward"], 6) if m["n"] else None)],
+                                 ", ".join(f"{s} long" for s in sc.STATUSES) + ", n long, best_n_mults long, mean_reward double")
+
+
+def q_a8_rollup(spark, sf):
+    """Verified replies counted per (model, status), per model and over all, in one pass."""
+    v = verified_responses(spark, sf)
+    return ev.evaluation_rollup(v.withColumn("correct", F.coalesce("correct", F.lit(False))).withColumn(
+        "efficient", F.coalesce("efficient", F.lit(False))), "model", "status")
+
+
+def q_a10_reuse_sketch(spark, sf):
+    """Distinct scripts by merged sketches (per generation, then over all), against the exact count."""
+    c = materialize(with_scripts(spark, sf).select("gen_idx", "script"))
+    kept = materialize(ev.distinct_sketches(c, "script", "gen_idx"))
+    both = ev.reuse_ratio(kept, "gen_idx").unionByName(ev.reuse_ratio(kept.withColumn("gen_idx", F.lit(-1)), "gen_idx"))
+    exact_counts = (c.groupBy("gen_idx").agg(F.count_distinct("script").alias("n_exact"))
+                    .unionByName(c.agg(F.count_distinct("script").alias("n_exact")).withColumn("gen_idx", F.lit(-1))))
+    close = F.abs(F.col("n_distinct") - F.col("n_exact")) <= F.ceil(F.col("n_exact") * 0.05)  # three standard errors
+    return both.join(exact_counts, "gen_idx").select(F.col("gen_idx").cast("bigint").alias("gen_idx"), "n", "n_exact", close.alias("within"))
+
+
 def _quarters(n):
     """n / 4 as a decimal."""
     return F.concat(F.floor(n / 4).cast("string"), F.lit("."), F.lpad((F.pmod(n, F.lit(4)) * 25).cast("string"), 2, "0"))
@@ -557,6 +606,10 @@ def queries() -> dict[str, Query]:
         "p11_normalize": q_p11_normalize,
         "p11_mixed_shapes": q_p11_mixed_shapes,
         "r6_symbolic": q_r6_symbolic,
+        "q2_user_rewards": q_q2_user_rewards,
+        "a14_observed": q_a14_observed,
+        "a8_rollup": q_a8_rollup,
+        "a10_reuse_sketch": q_a10_reuse_sketch,
         "u1_remove_tokens": q_u1_remove_tokens,
     }
     return q

@@ -570,6 +570,31 @@ def o_p11_normalize() -> str:
 FROM conversations WHERE {v} < 2"""
 
 
+def o_q2_user_rewards() -> str:
+    fmt = f"CASE WHEN {Q.rx('content', FORMAT_RE)} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+    share = "CASE WHEN conv_id % 5 <> 0 THEN 1.0::DOUBLE / (conv_id % 5) END"
+    return with_(reasoning_cte(), f"""SELECT conv_id, turn, {fmt} AS builtin, {fmt} AS reward_format, {r6(share)} AS reward_share,
+  CASE WHEN conv_id % 5 = 0 THEN 'ZeroDivisionError: float division by zero' END AS error_share, {r6(f'{fmt} + coalesce({share}, 0.0::DOUBLE)')} AS total
+FROM q_rt""")
+
+
+def o_a14_observed() -> str:
+    statuses = ", ".join(f"count_if(status = '{s}') AS {s}" for s in sc.STATUSES)
+    return with_(scored_ctes(2), f"SELECT {statuses}, count(*) AS n, CAST(min(CASE WHEN correct THEN n_mults END) AS BIGINT) AS best_n_mults, "
+                                 f"{r6('avg(reward)')} AS mean_reward FROM q_scored")
+
+
+def o_a8_rollup() -> str:
+    return with_(responses_ctes(), """SELECT model, status, GROUPING(model, status)::BIGINT AS level, count(*) AS n,
+  count_if(coalesce(correct, false)) AS correct, count_if(coalesce(efficient, false)) AS efficient,
+  CAST(sum(coalesce(multiplications, 0)) AS BIGINT) AS multiplications FROM q_verified2 GROUP BY ROLLUP (model, status)""")
+
+
+def o_a10_reuse_sketch() -> str:
+    return with_(f"{completions_cte()},\n{scripts_cte()}", """SELECT CAST(coalesce(gen_idx, -1) AS BIGINT) AS gen_idx, count(script) AS n,
+  count(DISTINCT script) AS n_exact, true AS within FROM q_scripts GROUP BY ROLLUP (gen_idx)""")
+
+
 def o_p11_mixed_shapes() -> str:
     k = f"({mix('conv_id * 16 + turn', 801)} % 10)"
     return f"""SELECT conv_id, turn, CASE WHEN {k} <= 3 THEN text WHEN {k} = 4 THEN to_json([role, role])::VARCHAR WHEN {k} = 5 THEN '[]'
@@ -644,6 +669,10 @@ def oracles() -> dict[str, str]:
         "p11_normalize": o_p11_normalize,
         "p11_mixed_shapes": o_p11_mixed_shapes,
         "r6_symbolic": o_r6_symbolic,
+        "q2_user_rewards": o_q2_user_rewards,
+        "a14_observed": o_a14_observed,
+        "a8_rollup": o_a8_rollup,
+        "a10_reuse_sketch": o_a10_reuse_sketch,
         "u1_remove_tokens": o_u1_remove_tokens,
     }
     return {k: f() for k, f in fns.items()}

@@ -100,7 +100,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = deal(read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey"]))
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_brand"])
     a, b = dv.test_matrices(SPARK, "l_orderkey")
-    df = li.join(part, li.l_partkey == part.p_partkey)
+    df = li.join(part, li.l_partkey == part.p_partkey, "left")  # a reply of no known model stays
     return df.select(F.col("l_orderkey").alias("test_id"), F.col("l_linenumber").cast("int").alias("attempt"),
                      F.col("p_brand").alias("model"), F.expr(a).alias("A"), F.expr(b).alias("B"),
                      F.expr(dv.response_text(SPARK, "l_orderkey * 8 + l_linenumber")).alias("response"))
