@@ -12,7 +12,7 @@ import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrant.functions import matrix as mx
@@ -33,6 +33,11 @@ GENERATIONS = 4
 PASS_KS = (1, 2, 4)
 
 
+def _sha(c) -> Column:
+    """SHA-256 of a text, so that queries over long texts compare them whole."""
+    return F.sha2((F.col(c) if isinstance(c, str) else c).cast("binary"), 256)
+
+
 def _r(c, n: int = 6):
     return F.round(c, n)
 
@@ -145,19 +150,20 @@ def answered_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_x1_clean_text(spark, sf):
     d = tb.read_table(spark, sf, "documents", ["doc_id", "text"])
+    d = d.withColumn("clean", tx.clean_lines(tx.remove_tokens("text")))
     return d.select("doc_id",
                     F.size(tx.split_lines("text")).cast("bigint").alias("n_lines"),
                     F.size(tx.clean_line_array("text")).cast("bigint").alias("n_clean"),
                     F.size(tx.clean_line_array("text", drop_comments=True)).cast("bigint").alias("n_code"),
-                    F.length(tx.clean_lines(tx.remove_tokens("text"))).cast("bigint").alias("clean_len"),
+                    F.length("clean").cast("bigint").alias("clean_len"), _sha("clean").alias("clean_sha256"),
                     dsl.count_stars("text").cast("bigint").alias("stars"))
 
 
 def q_f5_tag_extract(spark, sf):
-    c = with_scripts(spark, sf)
+    c = with_scripts(spark, sf).withColumn("body", tx.tag_body("completion"))
     return c.select("prompt_id", "gen_idx", tx.has_tag("completion").alias("tagged"),
-                    F.length(tx.tag_body("completion")).cast("bigint").alias("body_len"),
-                    F.length("script").cast("bigint").alias("script_len"),
+                    F.length("body").cast("bigint").alias("body_len"), _sha("body").alias("body_sha256"),
+                    F.length("script").cast("bigint").alias("script_len"), _sha("script").alias("script_sha256"),
                     F.size(tx.clean_line_array("script")).cast("bigint").alias("n_lines"),
                     tx.is_sentinel("script").alias("empty"))
 
@@ -188,7 +194,8 @@ def q_p1_prepare_prompts(spark, sf):
     return p.select("prompt_id", "A_matrix_str", "B_matrix_str", "expected_C_str",
                     F.get(F.col("prompt"), 1)["content"].alias("user_content"),
                     F.aggregate(F.col("prompt"), F.lit(0).cast("bigint"),
-                                lambda acc, m: acc + F.length(m["content"])).alias("prompt_chars"))
+                                lambda acc, m: acc + F.length(m["content"])).alias("prompt_chars"),
+                    _sha(F.array_join(F.transform("prompt", lambda m: F.concat_ws("\n", m["role"], m["content"])), "\n")).alias("prompt_sha256"))
 
 
 def q_f4_valid_matrices(spark, sf):
@@ -299,7 +306,7 @@ def q_a11_reward_sum(spark, sf):
 def q_p10_expand_generations(spark, sf):
     p = tb.prompts(spark, sf)
     return p.select("prompt_id", F.explode(F.sequence(F.lit(0), F.lit(GENERATIONS - 1))).alias("gen_idx"),
-                    F.length("user_query").cast("bigint").alias("query_len"))
+                    F.length("user_query").cast("bigint").alias("query_len"), _sha("user_query").alias("query_sha256"))
 
 
 def q_j6_lint(spark, sf):
@@ -517,7 +524,8 @@ def q_r6_symbolic(spark, sf):
 def q_u1_remove_tokens(spark, sf):
     tokens = tx.token_list(["<|im_end|>", None, "", "<DSL>"])  # a tokenizer's own, with repeats
     c = tb.completions(spark, sf)
-    return c.select("prompt_id", "gen_idx", F.length(tx.remove_tokens("completion", tokens)).cast("bigint").alias("n_chars"))
+    c = c.withColumn("plain", tx.remove_tokens("completion", tokens))
+    return c.select("prompt_id", "gen_idx", F.length("plain").cast("bigint").alias("n_chars"), _sha("plain").alias("text_sha256"))
 
 
 def q_w2_entropy_ratio(spark, sf):

@@ -122,15 +122,16 @@ def o_x1_clean_text() -> str:
     return f"""SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines,
   CAST(len({Q.clean_lines('text')}) AS BIGINT) AS n_clean,
   CAST(len({Q.clean_lines('text', True)}) AS BIGINT) AS n_code,
-  CAST(length(array_to_string({Q.clean_lines(Q.remove_tokens('text'))}, chr(10))) AS BIGINT) AS clean_len,
-  CAST({Q.count_stars('text')} AS BIGINT) AS stars FROM documents"""
+  CAST(length(clean) AS BIGINT) AS clean_len, sha256(clean) AS clean_sha256,
+  CAST({Q.count_stars('text')} AS BIGINT) AS stars
+FROM (SELECT doc_id, text, array_to_string({Q.clean_lines(Q.remove_tokens('text'))}, chr(10)) AS clean FROM documents)"""
 
 
 def o_f5_tag_extract() -> str:
     body = Q.strip(f"regexp_extract(completion, {Q.q(Q.TAG_RE)}, 1)")
     return with_(f"{completions_cte()},\n{scripts_cte()}", f"""SELECT prompt_id, gen_idx,
-  {Q.rx('completion', Q.TAG_RE)} AS tagged, CAST(length({body}) AS BIGINT) AS body_len,
-  CAST(length(script) AS BIGINT) AS script_len, CAST(len({Q.clean_lines('script')}) AS BIGINT) AS n_lines,
+  {Q.rx('completion', Q.TAG_RE)} AS tagged, CAST(length({body}) AS BIGINT) AS body_len, sha256({body}) AS body_sha256,
+  CAST(length(script) AS BIGINT) AS script_len, sha256(script) AS script_sha256, CAST(len({Q.clean_lines('script')}) AS BIGINT) AS n_lines,
   {Q.is_sentinel('script')} AS empty FROM q_scripts""")
 
 
@@ -203,7 +204,8 @@ b AS (SELECT prompt_id, user_query,
 c AS (SELECT *, CASE WHEN {product_ok('_A')} AND {product_ok('_B')} THEN [[{cell(1, 1)}, {cell(1, 2)}], [{cell(2, 1)}, {cell(2, 2)}]] ELSE {zeros} END AS _C,
   coalesce(user_query, {Q.q(tb.DEFAULT_USER_PROMPT)}) AS user_content FROM b)
 SELECT prompt_id, {shown('_A')} AS A_matrix_str, {shown('_B')} AS B_matrix_str, {shown('_C')} AS expected_C_str,
-  user_content, CAST(length({Q.q(tb.SYSTEM_MESSAGE)}) + length(user_content) AS BIGINT) AS prompt_chars FROM c"""  )
+  user_content, CAST(length({Q.q(tb.SYSTEM_MESSAGE)}) + length(user_content) AS BIGINT) AS prompt_chars,
+  sha256('system' || chr(10) || {Q.q(tb.SYSTEM_MESSAGE)} || chr(10) || 'user' || chr(10) || user_content) AS prompt_sha256 FROM c""")
 
 
 def o_f4_valid_matrices() -> str:
@@ -354,7 +356,7 @@ def o_a11_reward_sum() -> str:
 
 def o_p10_expand_generations() -> str:
     return with_(prompts_cte(), f"SELECT prompt_id, CAST(unnest(range(0, {cat.GENERATIONS})) AS INTEGER) AS gen_idx, "
-                                f"CAST(length(user_query) AS BIGINT) AS query_len FROM q_prompts")
+                                f"CAST(length(user_query) AS BIGINT) AS query_len, sha256(user_query) AS query_sha256 FROM q_prompts")
 
 
 def o_j6_lint() -> str:
@@ -612,7 +614,7 @@ def o_u1_remove_tokens() -> str:
     out = "completion"
     for t in ("<|im_end|>", "<|endoftext|>", "<|file_separator|>", "<DSL>"):
         out = f"replace({out}, {Q.q(t)}, '')"
-    return with_(completions_cte(), f"SELECT prompt_id, gen_idx, CAST(length({out}) AS BIGINT) AS n_chars FROM q_completions")
+    return with_(completions_cte(), f"SELECT prompt_id, gen_idx, CAST(length({out}) AS BIGINT) AS n_chars, sha256({out}) AS text_sha256 FROM q_completions")
 
 
 def o_g6_program_corpus() -> str:
