@@ -27,6 +27,8 @@ decimal literal.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -529,26 +531,28 @@ COUNTERS = {"stars": count_stars, "pattern": count_by_pattern, "product_lines":
 GROUP_ROWS = 1 << 12  # a power of two
 
 
-def compile_shared(df: DataFrame, script: str = "script", dialect: str = "E1", drop_comments: bool = False,
-                   per_script: dict | None = None) -> DataFrame:
-    """Attach ``prog`` (compiled script), plus ``per_script`` columns (name ->
-    function of the script column, e.g. a multiplication counter): D1, parse
-    once per distinct script.
+def per_script(df: DataFrame, script: str, columns: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """``df`` with ``columns`` (name -> function of the script column), each computed once for the equal scripts
+    of a run of rows (D1).
 
-    Rows are grouped by script and by the run of ``GROUP_ROWS`` rows of a partition they come from, the script is
-    compiled once for the group, and the rows are exploded again.  So the input is
+    Rows are grouped by script and by the run of ``GROUP_ROWS`` rows of a partition they come from, the columns are
+    computed once for the group, and the rows are exploded again.  So the input is
     computed once, nothing is joined back, and a script that a third of all
     rows carry is many groups, none of more than ``GROUP_ROWS`` rows."""
     others = [c for c in df.columns if c != script]
     run = F.shiftright(F.monotonically_increasing_id(), GROUP_ROWS.bit_length() - 1)
     grouped = df.groupBy(F.col(script).alias("__script"), run.alias("__run")).agg(
         F.collect_list(F.struct(*others)).alias("__rows"))
-    extra = {name: fn(F.col("__script")) for name, fn in (per_script or {}).items()}
     done = grouped.select(F.col("__script").alias(script), "__rows",
-                          compile_script(F.col("__script"), dialect, drop_comments).alias("prog"),
-                          *[c.alias(name) for name, c in extra.items()])
+                          *[fn(F.col("__script")).alias(name) for name, fn in columns.items()])
     return (done.withColumn("__row", F.explode("__rows"))
-                .select(*[F.col("__row")[c].alias(c) for c in others], script, "prog", *extra))
+                .select(*[F.col("__row")[c].alias(c) for c in others], script, *columns))
+
+
+def compile_shared(df: DataFrame, script: str = "script", dialect: str = "E1", drop_comments: bool = False,
+                   per_script_columns: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Attach ``prog`` (compiled script), plus ``per_script_columns`` (e.g. a multiplication counter), as ``per_script``."""
+    return per_script(df, script, {"prog": lambda s: compile_script(s, dialect, drop_comments), **(per_script_columns or {})})
 
 
 # ---- lint in the row (J5-J7) -----------------------------------------------------

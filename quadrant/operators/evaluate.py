@@ -42,7 +42,7 @@ def verify(df: DataFrame, reply: str, a: str, b: str, dialect: str, counter: str
     sentinel = tx.is_sentinel("script") if not drop_comments else (F.col("script") == "")
     df = df.withColumn("_sentinel", sentinel).withColumn("_valid", mx.is_2x2(a) & mx.is_2x2(b))
     df = df.withColumn("_run", F.when(~F.col("_sentinel") & F.col("_valid"), F.col("script")))
-    df = dsl.compile_shared(df, "_run", dialect, per_script={"_n": dsl.COUNTERS[counter]})
+    df = dsl.compile_shared(df, "_run", dialect, per_script_columns={"_n": dsl.COUNTERS[counter]})
     df = dsl.execute(df, "prog", a, b, "expected", out="_exec", double_inputs=double_inputs)
     ok = F.coalesce(F.col("_exec.ok"), F.lit(False))
     reason = (F.when(F.col("_sentinel"), F.lit("no valid script"))
@@ -107,7 +107,7 @@ def script_cases(scripts: DataFrame, cases: list[tuple[list, list]], script: str
     compiled once for all of them."""
     pair = "array<struct<case_id:bigint,A:array<array<bigint>>,B:array<array<bigint>>>>"
     given = F.from_json(F.lit(json.dumps([{"case_id": k, "A": a, "B": b} for k, (a, b) in enumerate(cases)])), pair)
-    df = dsl.compile_shared(scripts, script, dialect, per_script={"multiplications": dsl.COUNTERS[counter]})
+    df = dsl.compile_shared(scripts, script, dialect, per_script_columns={"multiplications": dsl.COUNTERS[counter]})
     df = df.withColumn("_case", F.explode(given)).select(*df.columns, "_case.*")
     df = dsl.execute(df.withColumn("_expected", mx.product("A", "B")), "prog", "A", "B", "_expected", out="_exec")
     return (df.withColumn("ok", F.coalesce(F.col("_exec.ok"), F.lit(False)))
@@ -142,9 +142,10 @@ def reuse_ratio(sketches: DataFrame, *keys: str) -> DataFrame:
 # ---- lint (J5, J6, J7) ---------------------------------------------------------------
 
 def lint(df: DataFrame, key_cols: list[str], script: str = "script", dialect: str = "E1") -> DataFrame:
-    """Per row: n_uses, n_undefined, first_undefined_line, n_missing_cells, from one fold
-    over the row's statements (no join, no shuffle)."""
-    return df.select(*key_cols, dsl.lint_script(script, dialect).alias("found")).select(*key_cols, "found.*")
+    """Per row: n_uses, n_undefined, first_undefined_line, n_missing_cells, from one fold over the statements
+    of a script, which equal scripts of a run of rows share (see ``dsl.compile_shared``)."""
+    found = dsl.per_script(df.select(*key_cols, script), script, {"found": lambda s: dsl.lint_script(s, dialect)})
+    return found.select(*key_cols, "found.*")
 
 
 # ---- reasoning-format rewards (R5, R6, X10) ----------------------------------------------

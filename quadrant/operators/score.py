@@ -86,7 +86,7 @@ def score_rows(df: DataFrame, version: int, counter: str = "pattern") -> DataFra
     valid = mx.is_2x2("Ad") & mx.is_2x2("Bd")
     df = df.withColumn("readable", readable).withColumn("valid", valid)
     df = df.withColumn("_run_script", F.when(F.col("readable") & ~F.col("empty") & F.col("valid"), F.col("script")))
-    df = dsl.compile_shared(df, "_run_script", "E1" if version == 1 else "E2", per_script={"_n": dsl.COUNTERS[counter]})
+    df = dsl.compile_shared(df, "_run_script", "E1" if version == 1 else "E2", per_script_columns={"_n": dsl.COUNTERS[counter]})
     # the count is only read for runnable rows (others score without it)
     df = df.withColumn("n_mults", F.coalesce(F.col("_n"), F.lit(0))).drop("_n", "_run_script")
     floating = F.col("A").isNull() | F.col("B").isNull() | F.col("E").isNull()

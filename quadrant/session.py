@@ -54,6 +54,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of our own in shared storage, on whatever file system it is."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df):
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder
     (never ``localCheckpoint``): a table read twice (grouped statistics joined
