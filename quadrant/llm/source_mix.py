@@ -6,19 +6,20 @@ holds one block.
 
 * Targets: sources, in code-point order, weigh as ``WEIGHTS`` repeats; a target stops
   at ``REPEATS`` times its source's size, and the excess goes to the others by weight.
-* Every source has a fixed number of slots: its target in blocks of its mean length, and
+* A source's share of all slots is its target in blocks of its mean length, and
   what is left under one block is one more slot or none, by a draw seeded with (seed, source), so that the
-  words expected are the target, also of a source smaller than a block.  How many of them
-  fall into each shard is a multinomial draw: the shards are halved again and again,
-  and each halving draws binomially from a generator seeded with (seed, source, range); so
-  any task finds the count and offset of its shard on its own, and counts add up.
+  words expected are the target, also of a source smaller than a block.
+* A shard has ``SHARD`` slots.  Each slot draws its source by a seeded hash from the target shares, so a shard's
+  source counts are one multinomial draw; the draw is an as-of join with the shares laid end to end.  A source's
+  offset in a shard is the sum of its draws in the shards before (a prefix scan).
+* Balancing: draws beyond a source's share leave their slots empty, and what a source was drawn too seldom fills
+  shards after the last.  So every source comes to its share, and ``taken`` is the sum over the slots drawn and balanced.
 * Slot j of a source maps to pass j / blocks and, by a pseudorandom permutation
   (seeded with source and pass; a Feistel network) of j mod blocks, to a block:
   a pass takes each block at most once, so nothing is taken more often than passes begin.
 * Slots and documents' pieces are joined on (source, block).
 
-``mixed_shards`` gives the mix itself, slot by slot.  ``taken`` and ``mixed_documents`` add up over
-all shards: totals and permutations decide them, the draw over shards does not.
+``mixed_shards`` gives the mix itself, slot by slot; ``taken`` and ``mixed_documents`` add up over all shards.
 
 A document's place on its line is a prefix sum in levels: documents are dealt by hash
 into buckets, places inside a bucket come from a window over that bucket, sums of buckets are accumulated
@@ -43,11 +44,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrant.llm.common import narrow
+from quadrant.operators.scan import asof_join, prefix_scan
 from quadrant.session import materialize
 
 WEIGHTS, REPEATS = (5, 2, 1), 3
 BLOCK = 64             # words in a block
-SHARD = 1 << 16        # slots in an output shard, on average
+SHARD = 1 << 16        # slots in an output shard
 BUCKET = 256           # documents in a bucket of the prefix sum, on average
 GROUP = 1024           # buckets of a source accumulated by one task
 DRAW = 1 << 52         # resolution of the draw that settles a rest under one block
@@ -122,20 +124,6 @@ def _placed(runs: DataFrame, weights: tuple[int, ...], repeats: int) -> tuple[Da
     return rows.select("doc_id", "line", "key", "copy", "number", "size", "source_size", "target", "start"), sources
 
 
-def share_of_shard(total: int, shards: int, shard: int, seed: int, source: int) -> tuple[int, int]:
-    """(offset, count): the slots of a source that fall into one shard."""
-    low, high, offset = 0, shards, 0
-    while high - low > 1:
-        middle = (low + high) // 2
-        rng = np.random.default_rng(np.random.SeedSequence([seed, source, low, high]))
-        left = int(rng.binomial(total, (middle - low) / (high - low)))
-        if shard < middle:
-            high, total = middle, left
-        else:
-            low, offset, total = middle, offset + left, total - left
-    return offset, total
-
-
 def permuted(index: np.ndarray, n: int, seed: int, source: int, turn: int) -> np.ndarray:
     """The places of ``index`` (each below n) under a pseudorandom permutation of range(n)."""
     half = max(1, math.ceil(math.log2(max(2, n)) / 2))
@@ -167,27 +155,44 @@ def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int
                .withColumn("more", F.col("rest") * F.col("blocks") / F.col("source_size"))
                .withColumn("drawn", F.pmod(F.xxhash64(F.lit(seed), "number"), F.lit(DRAW)) / DRAW < F.col("more") % 1)
                .withColumn("total", F.col("turns") * F.col("blocks") + F.floor("more") + F.col("drawn").cast("long")))
-    total = counted.agg(F.sum("total")).first()[0] or 0
-    shards = max(1, math.ceil(total / shard))
-    dealt = (counted.select("number", "blocks", "total",
-                            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-                    .repartition("number", "shard"))
+    counted = materialize(counted.select("number", "blocks", "total").filter("total > 0"))
+    everything = counted.agg(F.sum("total")).first()[0] or 0
+    shares = (prefix_scan(counted, "sum", "total", ["number"], "end")
+              .withColumn("begin", F.col("end") - F.col("total")).drop("end"))
+
+    # every slot of a shard draws its source: together, multinomial counts from the target shares
+    places = counted.sparkSession.range(everything).select(
+        F.floor(F.col("id") / shard).alias("shard"), (F.col("id") % shard).alias("slot"),
+        F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(everything, 1))).alias("drawn"))
+    drawn = asof_join(places, shares, [], "drawn", "begin", ["begin", "number", "blocks", "total"], strict=False)
+    # a source's draws in the shards before, and those before in the shard: the slot's number within the source
+    ranked = materialize(prefix_scan(drawn, "count", F.lit(1), ["shard", "slot"], "nth", by=["number"]))
+    within = ranked.filter("nth <= total").select("number", "blocks", "shard", "slot", (F.col("nth") - 1).alias("j"))
+
+    # balancing shards after the last: what sources were drawn less often than their totals
+    owing = (counted.join(ranked.groupBy("number").agg(F.count("*").alias("had")), "number", "left")
+             .withColumn("had", F.coalesce("had", F.lit(0))).filter("had < total").withColumn("owed", F.col("total") - F.col("had")))
+    owed = (prefix_scan(owing, "sum", "owed", ["number"], "upto")
+            .withColumn("j", F.explode(F.sequence(F.col("had"), F.col("total") - 1)))
+            .withColumn("place", F.col("upto") - F.col("total") + F.col("j")))
+    after = math.ceil(everything / shard)
+    balancing = owed.select("number", "blocks", (F.floor(F.col("place") / shard) + after).alias("shard"),
+                            (F.col("place") % shard).alias("slot"), "j")
     names = ["number", "block", "shard", "slot", "turn"]
     schema = T.StructType([T.StructField(n, T.LongType()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, blocks, total, shard in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                offset, count = share_of_shard(total, shards, shard, seed, number)
-                for at in range(0, count, 1 << 16):
-                    j = np.arange(offset + at, offset + min(count, at + (1 << 16)))
-                    turn, place = j // blocks, np.zeros(len(j), np.int64)
-                    for t in np.unique(turn).tolist():
-                        place[turn == t] = permuted(j[turn == t] % blocks, blocks, seed, number, t)
-                    cols = [np.full(len(j), number), place, np.full(len(j), shard), j - offset, turn]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+            number, blocks, of, slot, j = (c.to_numpy() for c in batch.columns)
+            turn, place = j // blocks, np.zeros(len(j), np.int64)
+            order = np.lexsort((turn, number))
+            edges = np.flatnonzero(np.diff(number[order], prepend=-1).astype(bool) | np.diff(turn[order], prepend=-1).astype(bool))
+            for own in np.split(order, edges[1:]) if len(order) else []:
+                n, size, t = int(number[own[0]]), int(blocks[own[0]]), int(turn[own[0]])
+                place[own] = permuted(j[own] % size, size, seed, n, t)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (number, place, of, slot, turn)], names)
 
-    return dealt.mapInArrow(run, schema)
+    return within.unionByName(balancing).mapInArrow(run, schema)
 
 
 def _pieces(rows: DataFrame, block: int) -> DataFrame:
@@ -242,7 +247,9 @@ def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, re
     mine = ["__mix_key", "__mix_takes", "__mix_parts", "__mix_line"]
     keyed = (documents.withColumn(mine[0], F.xxhash64(F.col(f"`{doc_id}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))))
              .withColumn(mine[3], _line(source)))
-    copy = F.row_number().over(Window.partitionBy(mine[0], F.col(f"`{doc_id}`"), mine[3]).orderBy(F.lit(0))) - 1
+    # equal rows are numbered by all their columns, so a task that runs again numbers them alike
+    told = [F.col(f"`{f.name}`") for f in documents.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    copy = F.row_number().over(Window.partitionBy(mine[0], F.col(f"`{doc_id}`"), mine[3]).orderBy(*told)) - 1
     joined = (keyed.join(takes, (F.col(mine[0]) == F.col("__mix_k")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("__mix_d"))
                          & (F.col(mine[3]) == F.col("__mix_l")))
               .withColumn(mine[0], copy)
@@ -271,8 +278,8 @@ def mixed_shards(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, repea
                  block: int = BLOCK, shard: int = SHARD, seed: int = SEED, doc_id: str = "doc_id",
                  text: str = "text", source: str = "source") -> DataFrame:
     """shard, slot, source, text: the mix as its shards, a row a slot, with the words of the
-    slot's block; parts of different rows are on lines of their own.  Slots count from 0 in each
-    shard's part of a source."""
+    slot's block; parts of different rows are on lines of their own.  A slot is a place in its
+    shard; the places of draws beyond a source's share are missing."""
     rows, sources = _placed(materialize(_runs(documents, doc_id, text, source)), weights, repeats)
     key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     texts = (narrow(documents, doc_id=doc_id, text=text, source=source)

@@ -117,12 +117,44 @@ def test_deduplicate_without_ids_and_with_ids_on_unrelated_texts(spark):
     assert sorted(((label[r.nth], r.doc_id) for r in got), key=str) == sorted(want.items(), key=str)
 
 
-def test_permutation_and_shares():
+def test_permutation():
     for n in (1, 2, 3, 10, 1000):
         assert sorted(source_mix.permuted(np.arange(n), n, 1, 2, 3).tolist()) == list(range(n))
-    shares = [source_mix.share_of_shard(1000, 7, k, 1, 2) for k in range(7)]
-    assert sum(c for _, c in shares) == 1000 and [o for o, _ in shares] == [sum(c for _, c in shares[:k]) for k in range(7)]
-    assert len({c for _, c in shares}) > 1
+
+
+def plain_slots(sources, shard, seed, drawn):
+    """(number, block, turn) -> (shard, slot) of every slot: draws in order, and what is owed after them.
+    sources: (number, blocks, total); drawn: the place on the line of all shares that each slot draws."""
+    line = [(n, b, t) for n, b, t in sorted(sources) for _ in range(t)]
+    had, out = {n: 0 for n, _, _ in sources}, {}
+    for place, at in enumerate(drawn):
+        n, blocks, total = line[at]
+        if had[n] < total:
+            j = had[n]
+            out[n, int(source_mix.permuted(np.array([j % blocks]), blocks, seed, n, j // blocks)[0]), j // blocks] = divmod(place, shard)
+        had[n] += 1
+    place = -(-len(line) // shard) * shard
+    for n, blocks, total in sorted(sources):
+        for j in range(had[n], total):
+            out[n, int(source_mix.permuted(np.array([j % blocks]), blocks, seed, n, j // blocks)[0]), j // blocks] = divmod(place, shard)
+            place += 1
+    return out
+
+
+def test_slots_are_drawn_per_shard(spark):
+    sizes = [(0, 64 * 40, 64.0 * 55), (1, 64 * 200, 64.0 * 90), (2, 64 * 3, 64.0 * 9), (3, 64 * 500, 64.0 * 146)]
+    sources = spark.createDataFrame([(n, s, t) for n, s, t in sizes], "number long, source_size long, target double")
+    got = source_mix.slots(sources, shard=32, seed=5).collect()
+    total = {n: int(t // 64) for n, _, t in sizes}
+    everything = sum(total.values())
+    drawn = [r.d for r in spark.range(everything).selectExpr("id", f"pmod(xxhash64(5, id), {everything}L) AS d").orderBy("id").collect()]
+    want = plain_slots([(n, s // 64, total[n]) for n, s, _ in sizes], 32, 5, drawn)
+    assert {(r.number, r.block, r.turn): (r.shard, r.slot) for r in got} == want and len(got) == everything
+    # the counts of a shard are a draw from the shares, not the shares themselves
+    first = [sum(r.number == n for r in got if r.shard == 0) for n in total]
+    assert sum(first) <= 32 and len({tuple(sum(r.number == n for r in got if r.shard == k) for n in total) for k in range(9)}) > 1
+    last = -(-everything // 32)
+    assert 0 < sum(r.shard >= last for r in got) < everything // 4  # balancing shards
 
 
 def level_targets(sizes, weights=(5, 2, 1), repeats=3):
@@ -183,22 +215,16 @@ def test_mixed_shards_hold_the_drawn_slots(spark):
     docs = documents(spark, [prose(k, 30 + k % 90) for k in range(120)], lambda k: ["a", "b", None][k % 3]).union(
         awkward(spark).select(*documents(spark, ["x"]).columns))
     got = source_mix.mixed_shards(docs, shard=16).collect()
-    slots, words, want = {}, {}, {}
+    places, words, want = [], {}, {}
     for r in got:
-        slots.setdefault((r.source, r.shard), []).append(r.slot)
+        places.append((r.shard, r.slot))
         words.setdefault(r.source, []).extend(WORD.findall(r.text))
         assert 0 < len(WORD.findall(r.text)) <= source_mix.BLOCK
     for r in source_mix.mixed_documents(docs, shard=16).collect():
         want.setdefault(r.source, []).extend(WORD.findall(r.text))
     assert {s: sorted(w) for s, w in words.items()} == {s: sorted(w) for s, w in want.items()}
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    names = [s for s in sorted({r.source for r in docs.select("source").collect()} - {None})] + [None]
-    shards = max(k for _, k in slots) + 1
-    assert shards > 1
-    for source, number in ((s, names.index(s)) for s in words):
-        total = sum(len(v) for (s, _), v in slots.items() if s == source)
-        for k in range(shards):
-            assert len(slots.get((source, k), [])) == source_mix.share_of_shard(total, shards, k, source_mix.SEED, number)[1]
+    assert len(set(places)) == len(places) and all(0 <= slot < 16 for _, slot in places)
+    assert max(shard for shard, _ in places) > 1
     assert source_mix.mixed_shards(empty(spark)).count() == 0
 
 
