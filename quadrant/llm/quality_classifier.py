@@ -11,8 +11,8 @@ small part (``TILT``) of the score is a logistic curve, so that features on a
 level stretch keep their order.
 
 Learning reads at most about ``SAMPLE`` documents a class for the dictionaries, and as
-many others for the calibration, chosen by a hash of their id; of one document
-at most ``PIECES`` pieces, spread over the whole text.  Only these pieces and the calibration's
+many others for the calibration, chosen by a hash of their id (of several documents with one id the one with the smallest
+text); of one document at most ``PIECES`` pieces, spread over the whole text: a bound of the training sample beside that on rows.  Only these pieces and the calibration's
 features come to the driver; the dictionaries, of fixed size, go to the tasks.
 
 Defined results: a null or empty text has feature 0 and gets that feature's score; a document
@@ -156,8 +156,9 @@ def learn(documents: DataFrame, labels: DataFrame, usable: Column, doc_id: str =
     # About 4 x sample ids by the choice above, whatever the number of labels: counted, then sent to the
     # documents, so that no text is shuffled.
     side = F.broadcast(chosen) if chosen.count() <= 8 * sample else chosen.hint("merge")
+    # one row an id, however many documents carry it, so what comes to the driver is bounded by the ids
     rows = (narrow(documents, id=doc_id, text=text).join(side, F.col("id") == F.col("i"))
-            .select("label", "text", "teaches").repartition(TASKS))
+            .groupBy("i", "label", "teaches").agg(F.min("text").alias("text")).drop("i").repartition(TASKS))
     rows = materialize(rows)
     dictionaries = _pieces(rows.filter("teaches"))
     model = Model(*[_dictionary(dictionaries.get(k, [])) for k in (1, 0)])

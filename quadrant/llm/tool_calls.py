@@ -9,8 +9,9 @@
   joins on (conversation, id), checkpointed after each round.  Calls on or behind a cycle have no level.
 * Arguments (JSON) are parsed as variants and checked against the tool's schema in the row: the
   schemas are configuration, and stand as a constant in the plan.
-* A call is serialised as canonical JSON: keys in code-point order, no white space,
-  numbers without trailing zeros, absent values left out.
+* A call is serialised as JSON of one form: keys in code-point order, no white space, absent values left out, numbers as
+  Spark's variants print them (1.0 as 1, but 1e0 as 1.0; integers beyond 38 digits as doubles).  A number is an
+  integer if its value is, however it is spelled.
 
 Defined results: a call without conversation or id has status ``no_id`` and is neither
 linked nor a dependency; results without them, and messages without a role, are left out; a result that no call
@@ -58,7 +59,8 @@ def argument_errors(name: str, arguments: str, schemas: dict[str, list[Param]])
         value = given[p["name"]]
         kind = F.schema_of_variant(value)
         fits = (F.when(p["type"] == "string", kind == "STRING")
-                 .when(p["type"] == "integer", kind.rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$"))
+                 .when(p["type"] == "integer", kind.rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$") | (
+                     kind.rlike(r"^(DOUBLE|FLOAT)$") & (value.try_cast("double") % 1 == 0)))
                  .when(p["type"] == "number", kind.rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"))
                  .when(p["type"] == "boolean", kind == "BOOLEAN")
                  .when(p["type"] == "array", kind.startswith("ARRAY"))

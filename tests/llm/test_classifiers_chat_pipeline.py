@@ -4,7 +4,7 @@ import random
 
 import public_tokenizers
 import sentencepiece
-from llm.fixtures import DOCUMENTS, awkward, empty
+from llm.fixtures import DOCUMENTS, awkward, empty, prose
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -179,3 +179,23 @@ def test_queries_need_only_their_columns(spark):
     import zlib
     got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").select(id_remainder("doc_id", 5)).collect()]
     assert got == [zlib.crc32(str(i).encode()) % 5 for i in ids]
+
+
+def test_a_labelled_id_on_many_documents(spark):
+    """An id that thousands of rows carry teaches once, so it neither outweighs others nor fills the driver."""
+    from quadrant.llm import quality_classifier
+    good = [(k, prose(k, 60), "en", "s", 1) for k in range(0, 60, 2)]
+    bad = [(k, "BUY now!!! $$$ click " * 20 + str(k), "en", "s", 1) for k in range(1, 60, 2)]
+    docs = spark.createDataFrame(good + bad, DOCUMENTS)
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(60)], "doc_id long, quality int")
+    once = quality_classifier.learn(docs, labels, F.lit(True))
+    again = quality_classifier.learn(docs.union(spark.range(3000).selectExpr("4L", "'zzz'", "'en'", "'s'", "1L")), labels, F.lit(True))
+    assert (once.good, once.bad) == (again.good, again.bad)
+
+
+def test_integers_however_spelled(spark):
+    calls = spark.createDataFrame([(k, "c", 0, "find", '{"text":"ab","n":%s}' % n, []) for k, n in enumerate(["3", "3.0", "3e0", "30E-1", "2.5", "25e-1", "1e2"])],
+                                  "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    got = [r.errors for r in tool_calls.link(calls, results, SCHEMAS).orderBy("conv_id").collect()]
+    assert got == ["", "", "", "", "type n", "type n", "range n"]
