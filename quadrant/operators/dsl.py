@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrant.functions.text import WS, WS_CHARS, canonical_name, clean_line_array, col, drop_trailing_semicolon, let, may_change_name, py_strip
+from quadrant.session import materialize
 
 # ---- fixed values: the accepted grammar ------------------------------------
 NAME = f"[A-Za-z_][A-Za-z0-9_]*(?:\\[[0-9,{WS_CHARS}]*\\])?"
@@ -555,6 +556,37 @@ def compile_shared(df: DataFrame, script: str = "script", dialect: str = "E1", d
     return per_script(df, script, {"prog": lambda s: compile_script(s, dialect, drop_comments), **(per_script_columns or {})})
 
 
+def script_hash(script) -> Column:
+    """128 bits that stand for a script."""
+    return F.md5(col(script).cast("binary"))
+
+
+def script_dictionary(df: DataFrame, script: str = "script", dialect: str = "E1", drop_comments: bool = False,
+                      columns: dict[str, Callable[[Column], Column]] | None = None, path: str | None = None) -> DataFrame:
+    """D1 for a whole table: every different script once, compiled once - script_hash, script, n_rows, ``prog``, ``columns``.
+
+    Rows are reduced to different scripts before the shuffle, and these are dealt out evenly before they are
+    compiled (that costs far more than their bytes suggest).  The dictionary is kept: as Parquet at ``path``, for
+    other jobs over the same scripts, or as a checkpoint.  NULL is no script."""
+    # kept, so that a script derived in the plan is computed once, not again by every use below
+    counted = materialize(df.groupBy(F.col(script).alias("script")).agg(F.count(F.lit(1)).alias("n_rows")))
+    counted = (counted.where("script IS NOT NULL").select(script_hash("script").alias("script_hash"), "script", "n_rows")
+               .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "script_hash"))
+    made = counted.select("*", compile_script(F.col("script"), dialect, drop_comments).alias("prog"),
+                          *[fn(F.col("script")).alias(name) for name, fn in (columns or {}).items()])
+    if path is None:
+        return materialize(made)
+    made.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def with_dictionary(df: DataFrame, dictionary: DataFrame, script: str = "script") -> DataFrame:
+    """``df`` with the dictionary's columns, joined on the hash; a script that many rows carry
+    is a skewed join partition, which adaptive execution splits."""
+    found = dictionary.drop("script", "n_rows").withColumnRenamed("script_hash", "__hash")
+    return df.join(found, script_hash(script) == F.col("__hash"), "left").drop("__hash")
+
+
 # ---- lint in the row (J5-J7) -----------------------------------------------------
 
 def names_read(st: Column) -> Column:

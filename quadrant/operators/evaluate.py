@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quadrant.functions import matrix as mx
 from quadrant.functions import text as tx
 from quadrant.operators import algebra, dsl
+from quadrant.operators.scan import prefix_scan
 from quadrant.operators.score import EFFICIENT_MAX_MULTS
 
 # ---- fixed values -------------------------------------------------------------
@@ -229,6 +230,13 @@ def entropy_monitor(metric_log: DataFrame) -> DataFrame:
     return df.withColumn("entropy_pct", F.when(F.col("entropy").isNotNull(), ratio))
 
 
+def running_monitor(metric_log: DataFrame) -> DataFrame:
+    """W2 as a callback sees it: ``entropy0`` at a step is the run's first entropy logged up to it (NULL before), found by a
+    prefix scan, so steps may come in any order and a run may be as long as the table."""
+    df = prefix_scan(metric_columns(metric_log), "first", "entropy", ["step"], "entropy0", by=["run"])
+    return df.withColumn("entropy_pct", F.lit(100.0) * F.col("entropy") / (F.col("entropy0") + F.lit(ENTROPY_EPS)))
+
+
 def prepare_reasoning(df: DataFrame, system: str = REASONING_SYSTEM) -> DataFrame:
     """P4 + P7 (Q1 row map): a reasoning row (problem, solution, messages, ..)
     becomes (prompt = [system, user], solution); the raw columns are dropped."""

@@ -18,8 +18,7 @@ from quadrant.session import materialize
 
 def distinct_scripts(df: DataFrame, script: str = "script") -> DataFrame:
     """script_hash, script: every different script once (NULL is none)."""
-    hashed = df.where(F.col(script).isNotNull()).select(F.md5(F.col(script).cast("binary")).alias("script_hash"),
-                                                        F.col(script).alias("script"))
+    hashed = df.where(F.col(script).isNotNull()).select(dsl.script_hash(script).alias("script_hash"), F.col(script).alias("script"))
     return hashed.groupBy("script_hash").agg(F.min("script").alias("script"))
 
 
@@ -69,5 +68,5 @@ def lint(df: DataFrame, keys: list[str], script: str = "script", dialect: str =
         "script_hash", F.coalesce("n_uses", F.lit(0)).alias("n_uses"), F.coalesce("n_undefined", F.lit(0)).alias("n_undefined"),
         "first_undefined_line", (len(dsl.OUTPUT_NAMES) - F.coalesce("n_cells", F.lit(0))).alias("n_missing_cells"),
         F.coalesce("sum_distance", F.lit(0)).alias("sum_distance"), "max_distance")
-    rows = df.select(*keys, F.md5(F.col(script).cast("binary")).alias("script_hash"))
+    rows = df.select(*keys, dsl.script_hash(script).alias("script_hash"))
     return rows.join(found, "script_hash", "left").drop("script_hash")

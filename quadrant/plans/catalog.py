@@ -338,6 +338,14 @@ def q_d5_exact_results(spark, sf):
                                                for name, m in (("prime", CHECK_PRIME), ("digits", 10 ** 9))])
 
 
+def q_d1_script_dictionary(spark, sf):
+    """Every different script once, compiled once for the whole table, with its number of rows."""
+    found = dsl.script_dictionary(with_scripts(spark, sf).select("script"), "script", "E1",
+                                  columns={"n": dsl.COUNTERS["pattern"]})
+    return found.select("script_hash", "n_rows", F.col("prog.ok").alias("ok"), F.col("prog.err").alias("err"),
+                        F.col("prog.eline").alias("eline"), F.col("n").cast("bigint").alias("multiplications"))
+
+
 def q_j5_def_use(spark, sf):
     """Reads matched with the definitions they see by the as-of join, summed per completion."""
     c = materialize(with_scripts(spark, sf).select("prompt_id", "gen_idx", "script"))
@@ -539,6 +547,12 @@ def q_w2_entropy_ratio(spark, sf):
                     _r(F.col("adv")).alias("adv"), _r(F.col("entropy_pct")).alias("entropy_pct"))
 
 
+def q_w2_running_baseline(spark, sf):
+    """The baseline as known at each step, by a prefix scan."""
+    m = ev.running_monitor(metric_log(spark, sf))
+    return m.select("run", "step", _r(F.col("entropy0")).alias("entropy0"), _r(F.col("entropy_pct")).alias("entropy_pct"))
+
+
 def q_z2_metric_stream(spark, sf):
     """The log of W2, replayed through the stateful monitor in four available-now runs of its stream."""
     folder = f"{checkpoint_dir(spark)}/metric-stream-{uuid.uuid4().hex}"
@@ -605,12 +619,14 @@ def queries() -> dict[str, Query]:
         "r8_verify_v2": q_r8_verify_v2,
         "r9_batch_eval": q_r9_batch_eval,
         "w2_entropy_ratio": q_w2_entropy_ratio,
+        "w2_running_baseline": q_w2_running_baseline,
         "z1_best_stream": q_z1_best_stream,
         "z2_metric_stream": q_z2_metric_stream,
         "r5_format_reward": q_r5_format_reward,
         "r6_answer_reward": q_r6_answer_reward,
         "p9_chat_text": q_p9_chat_text,
         "g6_program_corpus": q_g6_program_corpus,
+        "d1_script_dictionary": q_d1_script_dictionary,
         "d5_exact_results": q_d5_exact_results,
         "j4_script_cases": q_j4_script_cases,
         "r7_summary": q_r7_summary,

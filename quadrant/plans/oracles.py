@@ -256,6 +256,12 @@ def execute_oracle(dialect: str):
     return o
 
 
+def o_d1_script_dictionary() -> str:
+    return with_(f"{completions_cte()},\n{scripts_cte()},\n{Q.compiled('q_scripts', 'script', 'E1', {'n': Q.count_by_pattern('d.script')})}",
+                 "SELECT md5(script) AS script_hash, s.n AS n_rows, prog.ok AS ok, prog.err AS err, prog.eline AS eline, "
+                 "CAST(g.n AS BIGINT) AS multiplications FROM q_progs g JOIN (SELECT script, count(*) AS n FROM q_scripts GROUP BY script) s USING (script)")
+
+
 def o_d5_exact_results() -> str:
     """Residues of the results, folded modulo numbers that the Spark side does not compute with."""
     names = {"x1": cat.CHECK_PRIME, "x2": 10 ** 9}
@@ -512,6 +518,16 @@ SELECT run, step, {r6('entropy')} AS entropy, {r6('kl')} AS kl, {r6('adv')} AS a
 FROM m LEFT JOIN b USING (run)"""
 
 
+
+def o_w2_running_baseline() -> str:
+    """A running window over each run's steps."""
+    whole = o_w2_entropy_ratio()
+    m = whole[:whole.index("b AS (SELECT run")].rstrip().rstrip(",")
+    return f"""{m},
+x AS (SELECT run, step, entropy, first_value(entropy IGNORE NULLS) OVER (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING) AS e0 FROM m)
+SELECT run, step, {r6('e0')} AS entropy0, {r6(f'100.0::DOUBLE * entropy / (e0 + {ev.ENTROPY_EPS}::DOUBLE)')} AS entropy_pct FROM x"""
+
+
 def reasoning_cte() -> str:
     k = "(conv_id * 16 + turn)"
     n = "CAST((conv_id * 7 + turn) % 10 AS VARCHAR)"
@@ -657,12 +673,14 @@ def oracles() -> dict[str, str]:
         "r8_verify_v2": o_r8_verify_v2,
         "r9_batch_eval": o_r9_batch_eval,
         "w2_entropy_ratio": o_w2_entropy_ratio,
+        "w2_running_baseline": o_w2_running_baseline,
         "z1_best_stream": o_z1_best_stream,
         "z2_metric_stream": o_w2_entropy_ratio,
         "r5_format_reward": o_r5_format_reward,
         "r6_answer_reward": o_r6_answer_reward,
         "p9_chat_text": o_p9_chat_text,
         "g6_program_corpus": o_g6_program_corpus,
+        "d1_script_dictionary": o_d1_script_dictionary,
         "d5_exact_results": o_d5_exact_results,
         "j4_script_cases": o_j4_script_cases,
         "r7_summary": o_r7_summary,

@@ -124,3 +124,19 @@ def test_lint_of_a_script_of_many_lines(spark):
     uses = 2 + sum(len({k - 1, k // 2}) for k in range(1, n - 1)) + 2
     assert (big.n_uses, big.n_undefined, big.first_undefined_line, big.n_missing_cells) == (uses, 1, n, 3)
     assert big.max_distance == n - 8 and small.n_missing_cells == 3
+
+
+def test_dictionary_compiles_each_script_once(spark, tmp):
+    rows = [(k, ["C[0,0] = 1", "M1 = A[0,0] * B[0,0]\nC[0,0] = M1", "hot = 1", None][min(k % 7, 3) if k % 7 < 3 else (2 if k % 5 else 3)])
+            for k in range(2_000)]
+    df = spark.createDataFrame(rows, "k int, script string").repartition(4)
+    made = dsl.script_dictionary(df, columns={"n": dsl.count_stars}, path=f"{tmp}/scripts")
+    assert made.count() == 3 and made.agg(F.sum("n_rows")).first()[0] == sum(s is not None for _, s in rows)
+    got = dsl.with_dictionary(df, made)
+    want = dsl.compile_shared(df, "script", "E1", per_script_columns={"n": dsl.count_stars})
+    assert got.count() == 2_000
+
+    def told(x):
+        return sorted((r.k, r.script, r.ok if r.script else None, r.err if r.script else None, r.n) for r in x.select("k", "script", "prog.ok", "prog.err", "n").collect())
+    assert [t[:1] + t[2:] for t in told(got.where("script IS NOT NULL"))] == [t[:1] + t[2:] for t in told(want.where("script IS NOT NULL"))]
+    assert got.where("script IS NULL AND prog IS NOT NULL").count() == 0

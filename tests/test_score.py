@@ -52,7 +52,7 @@ def test_shared_compile_equals_row_compile(spark):
     from quadrant.operators import dsl
     rows = [(k, [G.STRASSEN, G.NAIVE8_STEPS, None, G.SPACED_E2][k % 4]) for k in range(40)]
     df = spark.createDataFrame(rows, "k int, script string").repartition(3)
-    a = dsl.compile_shared(df, "script", "E2", per_script={"n": dsl.count_by_pattern}).select("k", "prog", "n")
+    a = dsl.compile_shared(df, "script", "E2", per_script_columns={"n": dsl.count_by_pattern}).select("k", "prog", "n")
     b = df.select("k", dsl.compile_script("script", "E2").alias("prog"), dsl.count_by_pattern("script").alias("n"))
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count() == 40
 
