@@ -4,7 +4,8 @@ Five stages, each on all that the stage before kept: reject low quality, drop
 exact copies, keep one of each group of near copies, mix the sources to their weights,
 encode.  A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each stage's result as Parquet beside the session's checkpoints (storage that all
-executors share) and reads it again as the next stage's documents.
+executors share) and reads it again as the next stage's documents; when the next result is
+written, the one before is deleted.
 
 Every stage takes documents with nulls in any column, empty and very long
 texts, repeated rows, no rows, and extra columns: the stages in between
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quadrant.llm import exact_dedup, quality_classifier, sentencepiece_codec, simhash_neardup, source_mix
 from quadrant.llm.common import id_remainder, table
-from quadrant.session import checkpoint_dir
+from quadrant.session import checkpoint_dir, delete_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 REJECT_BELOW = 0.3  # quality score
@@ -74,4 +75,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            delete_folder(spark, f"{folder}/{k - 1}")
     return docs
