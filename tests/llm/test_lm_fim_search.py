@@ -285,3 +285,36 @@ def test_contract_columns(spark):
     assert queries.op12_fill_in_middle(spark, SF).columns == [
         "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"]
     assert queries.op13_lexical_search(spark, SF).columns == ["item_id", "rank", "doc_id", "score"]
+
+
+# ---- token counts: chunks on real lengths ----------------------------------------
+
+def test_counts_splice_many_documents(spark):
+    """Hundreds of boundaries are spliced in the given documents, and every count is the library's."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quadrant.llm import token_counts
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    counter = token_counts.TokenCounter(path)
+    assert counter.by_word
+    want = [len(e) for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert counter.count(texts)[1] == want
+    assert sum(len(t) > token_counts.CHUNK for t in texts) >= 9 and counter.splices >= 9
+    assert counter.count(texts, 4096, 64)[1] == want
+    assert sum(len(t) > 4096 for t in texts) > 100 and counter.splices > 200
+
+
+def test_counts_of_a_tokenizer_that_keeps_spaces():
+    """Tokens that hold white space: the word path is refused, chunks still give the library's counts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quadrant.llm import token_counts
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [prose(k, 30) + "\n\n  " + prose(k + 1, 30) for k in range(20)] + ["", "  a  b ", prose(3, 900)]
+    counter = token_counts.TokenCounter(path)
+    assert not counter.by_word
+    want = [len(e) for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert counter.count(texts)[1] == want
