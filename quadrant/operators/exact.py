@@ -1,21 +1,20 @@
 """Exact results of integer scripts of any size, as decimal text.
 
-A run whose BIGINT lane overflows is folded again modulo as many primes as a bound on its
-results asks for (a fold of its own gives the bound, in bits).  The residues become mixed-radix digits, whose
-last one, of a prime more than needed, tells the sign; these become limbs of nine decimal digits.  All in
-expressions, and only on rows that overflow.  Primes are just below 10^9, so products fit a
-BIGINT and a digit is at most one limb."""
+A run whose BIGINT lane overflows is run again in Python integers modulo a power of two beyond a bound on its
+results (a run of its own gives the bound, in bits), so nothing on the way grows larger; see ``steps.exact_cells``.
+``mixed_radix`` and ``decimal_text`` turn residues modulo primes below 10^9 into decimal text, in expressions."""
 
 from __future__ import annotations
 
 import math
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrant.functions.text import let
-from quadrant.operators import dsl
+from quadrant.operators import dsl, steps
 
 LIMB = 10 ** 9
 MAX_BITS = 16_000  # results that may be larger keep NULL unless they are known to be correct
@@ -47,26 +46,6 @@ def _div(x: Column, y: Column | int) -> Column:
     return F.call_function("div", x, F.lit(y) if isinstance(y, int) else y)
 
 
-def _mod_lane(p: Column) -> dsl._Lane:
-    return dsl._Lane("mod", "bigint", lambda: F.lit(0).cast("bigint"), lambda: F.lit(1).cast("bigint"),
-                     lambda x, y: F.pmod(x + y, p), lambda x, y: F.pmod(x * y, p),
-                     lambda x, s: F.pmod(F.pmod(x, p) * s, p), "v", lambda x: F.pmod(x.cast("bigint"), p))
-
-
-def _bits_lane() -> dsl._Lane:
-    """Of a value, bits b such that it is at most 2^b in size."""
-    def size(v):
-        return F.log2(F.greatest(F.abs(v.cast("double")), F.lit(1.0)))
-
-    def added(x, y):  # nothing is added to the zero that a sum starts from
-        return F.when(x < 0, y).when(y < 0, x).otherwise(F.greatest(x, y) + 1)
-
-    lane = dsl._Lane("bits", "double", lambda: F.lit(-1.0), lambda: F.lit(0.0), added,
-                     lambda x, y: x + y, lambda x, s: x, "v", size)
-    lane.literal = size
-    return lane
-
-
 def _inverse(x: Column, p: Column) -> Column:
     """x^(p-2) modulo the prime p."""
     start = F.struct(F.lit(1).cast("bigint").alias("r"), x.alias("b"))
@@ -115,39 +94,10 @@ def with_exact_results(df: DataFrame, prog: str = "prog", a: str = "A", b: str =
 
     NULL where the script fails, has a decimal literal or the matrices are NULL, and where a cell may need more
     than ``max_bits`` bits."""
-    p = F.col(prog)
-    count = math.ceil((max_bits + 2) / math.log2(LIMB - 20_000 * 2)) + 2
-    primes = F.lit(list(primes_below(LIMB, count))).cast("array<bigint>")
-    bits_each = math.log2(primes_below(LIMB, count)[-1])
-    t = {k: f"__{out}_{k}" for k in ("v", "bits", "k", "res", "dig", "neg")}
-
-    def cells(lane):
-        return dsl._cells(dsl.lane_values(p, a, b, lane), p)
-
-    given = F.forall(F.concat(F.flatten(F.col(a)), F.flatten(F.col(b))), lambda x: x.isNotNull())
-    df = df.withColumn(t["v"], F.when(p["ok"] & ~p["has_float"] & given, cells("v")))
-    overflowed = F.exists(t["v"], lambda x: x.isNull())
-    df = df.withColumn(t["bits"], F.when(overflowed, F.array_max(cells(_bits_lane()))))
-    df = df.withColumn(t["k"], F.when(F.col(t["bits"]) <= max_bits, F.ceil((F.col(t["bits"]) + 2) / bits_each).cast("int") + 1))
-    df = df.withColumn(t["res"], F.when(F.col(t["k"]).isNotNull(), F.transform(
-        F.slice(primes, F.lit(1), F.col(t["k"])), lambda q: cells(_mod_lane(q)))))
-
-    def each_cell(fn):
-        return F.transform(F.sequence(F.lit(1), F.lit(4)), fn)
-
-    def residues(c):
-        return F.transform(F.col(t["res"]), lambda r: F.element_at(r, c))
-
-    def negated(c):
-        return F.zip_with(residues(c), F.slice(primes, F.lit(1), F.col(t["k"])), lambda r, q: F.pmod(-r, q))
-
-    some = F.col(t["res"]).isNotNull()
-    df = df.withColumn(t["dig"], F.when(some, each_cell(lambda c: mixed_radix(residues(c), primes))))
-    # a digit beyond what the size needs: 0 of numbers from zero up, p - 1 of negative ones
-    df = df.withColumn(t["neg"], F.when(some, F.transform(t["dig"], lambda d: F.element_at(d, -1) != 0)))
-    df = df.withColumn(t["dig"], F.when(some, each_cell(lambda c: F.when(
-        F.element_at(t["neg"], c), mixed_radix(negated(c), primes)).otherwise(F.element_at(t["dig"], c)))))
-    text = F.when(some, each_cell(lambda c: F.concat(F.when(F.element_at(t["neg"], c), F.lit("-")).otherwise(F.lit("")),
-                                                     decimal_text(F.element_at(t["dig"], c), primes))))
-    plain = F.transform(t["v"], lambda x: x.cast("string"))
-    return df.withColumn(out, F.when(overflowed, text).otherwise(plain)).drop(*t.values())
+    def run(code: pa.Array, literals: pa.Array, slots: pa.Array, cells: pa.Array, wanted: pa.Array) -> pa.Array:
+        rows = zip(dsl._lists(code), dsl._lists(literals), dsl._lists(slots), dsl._lists(cells), wanted.to_pylist())
+        return pa.array([steps.exact_cells(c, lit, o, x, max_bits) if w else None for c, lit, o, x, w in rows], pa.list_(pa.string()))
+
+    p, cells = F.col(prog), dsl.cells_of(a, b, "bigint")
+    wanted = p["ok"] & ~p["has_float"] & F.forall(cells, lambda x: x.isNotNull())
+    return df.withColumn(out, dsl._column(run, "array<string>", p["code"], p["literals"], p["out"], cells, wanted))

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrant.functions.text import clean_line_array, col
 from quadrant.operators import dsl
 from quadrant.operators.scan import asof_join
 from quadrant.session import materialize
@@ -23,17 +22,9 @@ def distinct_scripts(df: DataFrame, script: str = "script") -> DataFrame:
 
 
 def statements(scripts: DataFrame, dialect: str = "E1") -> DataFrame:
-    """script_hash, line, target, names: the statements that parse, with the distinct names they read.
-
-    Each distinct line is parsed once, dealt out to all tasks (parsing costs far more than a line's bytes
-    suggest), so neither a long script nor a frequent line is one task's work."""
-    lines = scripts.select("script_hash", F.posexplode(clean_line_array(col("script"))).alias("pos", "text"))
-    texts = lines.select("text").repartition(int(scripts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "text").distinct()
-    # the generator keeps the optimizer from copying the parser into the filter and every column after it
-    parsed = (texts.select("text", F.explode(F.array(dsl.parse_line(F.col("text"), F.lit(0), dialect))).alias("st"))
-              .where("st.err IS NULL AND NOT st.skip")
-              .select("text", F.col("st.t").alias("target"), dsl.names_read(F.col("st")).alias("names")))
-    return lines.join(parsed, "text").select("script_hash", (F.col("pos") + 1).alias("line"), "target", "names")
+    """script_hash, line, target, names: the statements that parse, with the distinct names they read."""
+    parsed = scripts.select("script_hash", dsl.statements("script", dialect).alias("found"))
+    return parsed.select("script_hash", F.explode("found").alias("st")).select("script_hash", "st.line", "st.target", "st.names")
 
 
 def definitions(stmts: DataFrame, scripts: DataFrame) -> DataFrame:
