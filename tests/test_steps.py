@@ -187,5 +187,7 @@ def test_cases_equal_compiled_programs(monkeypatch):
                 n += any(want)
                 assert tuple(got.values()) == (err is None if cases else got["ok"], g.count_pattern(s), want), (dialect, s)
             assert n > 3 or not cases
+        wrong = dsl.cases_batch(pa.array(["C[0,0] = Q", "x"]), [([1] * 8, [1.0] * 8, [2] * 4)] * 3, dialect, "pattern").to_pylist()
+        assert wrong == [{"ok": False, "n_mults": 0, "correct": [False] * 3}] * 2
     monkeypatch.setattr(dsl.batches, "MAX_LINES", 0)  # one by one
     assert dsl.cases_batch(pa.array([G.STRASSEN]), [([1] * 8, [1.0] * 8, [2] * 4)], "E2", "stars").to_pylist() == [{"ok": True, "n_mults": 7, "correct": [True]}]
